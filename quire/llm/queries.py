@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import simhash
+from quire.llm import bpe, quality, simhash
 from quire.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,3 +24,16 @@ def query(function: Query) -> Query:
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents under SimHash of 3-word shingles at two bits."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3)
+
+
+@query
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line-first quality counts and verdicts of all documents."""
+    return quality.score(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents and the bytes they decode to, as digests."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, quality, simhash
+from quire.llm import bpe, chat, mixing, quality, simhash, urls
 from quire.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,3 +37,40 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents and the bytes they decode to, as digests."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
+@query
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to source weights 5, 2, 1, repeating."""
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("first")
+
+
+@query
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one that quotes control strings, formatted and read back."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    quoted = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", quoted), (-7, 1, "assistant", quoted)], "conv_id long, turn long, role string, text string")
+    return chat.digests(turns.unionByName(more))
+
+
+ORACLES["op4_chat"] = r"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+    UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(3 + sum(8 + length(regexp_replace(role || text, '[\[\]<\\]', '..', 'g'))) AS BIGINT) AS formatted_chars,
+       regexp_full_match(string_agg(role, '>' ORDER BY turn, role, text), '(system>)?user>assistant(>user>assistant)*') AS valid
+FROM turns GROUP BY conv_id
+"""
+
+
+@query
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page's url."""
+    return urls.judge(table(spark, sf_dir, "pages"))

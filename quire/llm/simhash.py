@@ -74,8 +74,8 @@ def cells(fp: Column, segments: int = SEGMENTS) -> Column:
     """Structs (cell, segment, up) of the cells at Manhattan distance 0 or 1; segment is null for the own cell."""
     width = BITS // segments
     digit = (width + 1).bit_length() if width > 1 else 1
-    if digit * segments > BITS:
-        raise ValueError("the cell does not fit 64 bits")
+    if digit * segments >= BITS:
+        raise ValueError("the cell does not fit 63 bits")
     counts = [F.bit_count(F.shiftrightunsigned(fp, i * width).bitwiseAND(F.lit((1 << width) - 1))) for i in range(segments)]
     own = sum((F.shiftleft(c.cast("long"), i * digit) for i, c in enumerate(counts)), F.lit(0).cast("long"))
 

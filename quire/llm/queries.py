@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, chat, mixing, quality, simhash, urls
+from quire.llm import bpe, chat, html_blocks, mixing, quality, simhash, urls
 from quire.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,3 +74,9 @@ FROM turns GROUP BY conv_id
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule and verdict of every page's url."""
     return urls.judge(table(spark, sf_dir, "pages"))
+
+
+@query
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_blocks.extract(table(spark, sf_dir, "pages"))

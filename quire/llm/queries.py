@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, chat, html_blocks, mixing, quality, simhash, urls
+from quire.llm import bpe, chat, html_blocks, mixing, pii, quality, simhash, urls
 from quire.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,3 +80,9 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_blocks.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data spans of all documents."""
+    return pii.digests(table(spark, sf_dir, "documents"))

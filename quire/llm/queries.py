@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, chat, html_blocks, mixing, pii, quality, simhash, urls
+from quire.llm import bpe, chat, ctph, html_blocks, mixing, pii, quality, simhash, urls
 from quire.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,3 +86,9 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data spans of all documents."""
     return pii.digests(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_ctph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piecewise-hash fingerprints of all documents and of their edited texts."""
+    return ctph.edited_likeness(table(spark, sf_dir, "documents"))

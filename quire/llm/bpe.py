@@ -229,12 +229,14 @@ def decode(coded: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataF
     return coded.mapInArrow(run, schema)
 
 
+def tokenized(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """(doc_id, ids, n_tokens, decoded) of every document: encoded, and decoded from the ids again."""
+    coded = decode(encode(docs, path, pattern), path, pattern)
+    return coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), "decoded")
+
+
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Per document: number of tokens, and SHA-256 of its ids joined by a space and of its decoded bytes."""
-    coded = decode(encode(docs, path, pattern), path, pattern)
-    return coded.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    done = tokenized(docs, path, pattern)
+    return done.select("doc_id", "n_tokens", F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

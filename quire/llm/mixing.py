@@ -28,10 +28,11 @@ SHARD_ROWS = 1024
 SEED = 17
 
 
-def sizes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(doc_id, source, size): the words of each document, 0 for null."""
-    words = F.regexp_count(F.col(text).cast("string"), F.lit(WORD))
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(source).cast("string").alias("source"), F.coalesce(words, F.lit(0)).cast("long").alias("size"))
+def sizes(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """(doc_id, source, size): the words of each document, 0 for null; with carry the row as well."""
+    words = F.regexp_count(F.col("text").cast("string"), F.lit(WORD))
+    row = [F.struct(*docs.columns).alias("row")] if carry else []
+    return docs.select("doc_id", F.col("source").cast("string").alias("source"), F.coalesce(words, F.lit(0)).cast("long").alias("size"), *row)
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, most: int = MAX_REPEATS) -> DataFrame:
@@ -87,13 +88,21 @@ def _key(source: Column) -> Column:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, seed: int = SEED) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, first) of every document.
+    """(doc_id, size, source_size, target, taken) of every document.
 
-    taken counts the words that the mix takes, repeats counted; first is the word, counted from
-    0, at which a partial copy starts (it runs on from the document's start where it passes its
-    end). The same documents and seed give the same mix. Null texts have size 0, null sources
-    are one source, ordered last; documents of size 0 give nothing; repeated rows count each;
-    null ids are allowed; an empty table gives an empty result.
+    taken counts the words that the mix takes, repeats counted. The same documents and seed
+    give the same mix. Null texts have size 0, null sources are one source, ordered last;
+    documents of size 0 give nothing; repeated rows count each; null ids are allowed; an empty
+    table gives an empty result.
+    """
+    return _laid(docs, weights, share, seed, False).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def _laid(docs: DataFrame, weights: tuple[int, ...], share: float, seed: int, carry: bool) -> DataFrame:
+    """Documents with what is taken of them; first is the word, from 0, at which a partial copy starts.
+
+    A partial copy runs on from the document's start where it passes its end. With carry each
+    document's row moves along with its place in the ring, so texts are shuffled once.
     """
     sized = materialize(sizes(docs).withColumn("key", _key(F.col("source"))))
     sources = sized.groupBy("key", "source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
@@ -104,7 +113,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0,
     shards = F.greatest(F.lit(1), F.ceil(F.col("docs") / SHARD_ROWS)).cast("long")
     lot = F.xxhash64(F.lit(seed), "doc_id", "size")
     plan = planned.select("key", "source_no", "source_size", "target", "block", "source_quota", shards.alias("shards"))
-    dealt = sized.join(broadcast_if_small(plan), "key").select("doc_id", "size", "source_no", F.pmod(F.xxhash64(F.lit(seed + 1), lot), "shards").alias("shard"), lot.alias("lot"))
+    rows = sizes(docs, carry).withColumn("key", _key(F.col("source"))) if carry else sized
+    kept = ["row"] if carry else []
+    dealt = rows.join(broadcast_if_small(plan), "key").select(*kept, "doc_id", "size", "source_no", F.pmod(F.xxhash64(F.lit(seed + 1), lot), "shards").alias("shard"), lot.alias("lot"))
     ring = materialize(dealt.groupBy("source_no", "shard").agg(F.sum("size").alias("ring")))
     quotas = ring.join(broadcast_if_small(plan.drop("key", "shards")), "source_no")
     quotas = apportion(quotas, ["source_no"], "ring", "source_quota", "shard")
@@ -120,4 +131,23 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0,
     ahead, wrapped = overlap(F.col("start"), F.col("stop")), overlap(F.lit(0), F.col("stop") - F.col("ring"))
     first = F.when(ahead > 0, F.greatest(F.col("start") - F.col("begin"), F.lit(0))).otherwise(0)
     taken = F.col("whole") * F.col("size") + ahead + wrapped
-    return laid.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), first.cast("long").alias("first"))
+    return laid.select(*kept, "doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), first.cast("int").alias("first"))
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, seed: int = SEED) -> DataFrame:
+    """The documents of the mix, columns as given: whole copies, and the part of a document in the last round.
+
+    A part has its words and the white space between them; n_chars is counted anew.
+    """
+    laid = _laid(docs, weights, share, seed, True).where("taken > 0")
+    words = F.regexp_extract_all(F.col("row.text").cast("string"), F.lit(r"[\x20\x09-\x0D]*+" + WORD), F.lit(0))
+    part = (F.col("taken") % F.col("size")).cast("int")
+    ahead = F.least(part, F.col("size").cast("int") - F.col("first"))
+    joined = lambda start, n: F.ltrim(F.array_join(F.slice("_words", start, n), ""))
+    cut = F.concat_ws("\n", joined(F.col("first") + 1, ahead), F.when(part > ahead, joined(F.lit(1), part - ahead)))
+    laid = laid.withColumn("_words", F.when(part > 0, words))
+    copies = F.array_repeat(F.col("row.text").cast("string"), (F.col("taken") / F.col("size")).cast("int"))
+    texts = F.when(part > 0, F.concat(copies, F.array(cut))).otherwise(copies)
+    out = laid.select("row", F.explode(texts).alias("_text"))
+    new = {"text": F.col("_text")} | ({"n_chars": F.char_length("_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return out.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))

@@ -42,7 +42,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to source weights 5, 2, 1, repeating."""
-    return mixing.mix(table(spark, sf_dir, "documents")).drop("first")
+    return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 @query

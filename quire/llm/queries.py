@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, chat, ctph, html_blocks, mixing, pii, quality, simhash, urls
+from quire.llm import bpe, chat, ctph, html_blocks, mixing, passages, pii, quality, simhash, urls
 from quire.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,3 +92,9 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_ctph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piecewise-hash fingerprints of all documents and of their edited texts."""
     return ctph.edited_likeness(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages that documents share, exact or nearly."""
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))

@@ -12,11 +12,13 @@ star. A group of any size costs rows in proportion to its members.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,9 @@ SEED = 42
 BITS = 64
 #: Segments of the popcount embedding: 16 segments of 4 bits give 33 cells a fingerprint.
 SEGMENTS = 16
+#: Fingerprints a text in near_copies, and the longest words that they leave out.
+BANDS = 8
+SHORT = 4
 _CHUNK = 1 << 16
 
 
@@ -98,13 +103,17 @@ def midpoints(fp: Column, segment: Column, up: Column, segments: int = SEGMENTS)
 
 
 def links(points: DataFrame, segments: int = SEGMENTS) -> DataFrame:
-    """Star edges (src, dst) whose components are those of Hamming distance at most 2 among points (fp, rep)."""
-    entered = points.select("fp", "rep", F.explode(cells(F.col("fp"), segments)).alias("c")).select("fp", "rep", "c.*")
-    busy = materialize(entered.groupBy("cell").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("cell"))
-    near = entered.join(busy, "cell").select("rep", F.explode(midpoints(F.col("fp"), F.col("segment"), F.col("up"), segments)).alias("mid"))
+    """Star edges (src, dst) whose components are those of Hamming distance at most 2 among points (fp, rep).
+
+    With a column band only points of one band are compared.
+    """
+    by = [c for c in ("band",) if c in points.columns]
+    entered = points.select(*by, "fp", "rep", F.explode(cells(F.col("fp"), segments)).alias("c")).select(*by, "fp", "rep", "c.*")
+    busy = materialize(entered.groupBy(*by, "cell").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select(*by, "cell"))
+    near = entered.join(busy, [*by, "cell"]).select(*by, "rep", F.explode(midpoints(F.col("fp"), F.col("segment"), F.col("up"), segments)).alias("mid"))
     near = materialize(near)
-    stars = materialize(near.groupBy("mid").agg(F.min("rep").alias("dst"), F.max("rep").alias("hi")).where("dst <> hi").select("mid", "dst"))
-    return near.join(stars, "mid").where("rep <> dst").select(F.col("rep").alias("src"), "dst").distinct()
+    stars = materialize(near.groupBy(*by, "mid").agg(F.min("rep").alias("dst"), F.max("rep").alias("hi")).where("dst <> hi").select(*by, "mid", "dst"))
+    return near.join(stars, [*by, "mid"]).where("rep <> dst").select(F.col("rep").alias("src"), "dst").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 3, segments: int = SEGMENTS) -> DataFrame:
@@ -124,12 +133,91 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return prints.join(named, "fp").select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, width: int = 3, segments: int = SEGMENTS) -> DataFrame:
-    """The documents that are the smallest id of their component, with their columns unchanged.
+def word_prints(text: bytes | None, bands: int = BANDS) -> list[int]:
+    """One SimHash for each band over a text's longer words, weighed by the root of their counts."""
+    counts = Counter(text.lower().split() if text else [])
+    chosen = [w for w in counts if len(w) > SHORT] or list(counts)
+    if not chosen:
+        return [0] * bands
+    hashes = np.array([xxhash.xxh64_intdigest(w, SEED) for w in chosen], np.uint64)
+    weights = np.sqrt(np.array([counts[w] for w in chosen], np.float32))
+    out = []
+    for band in range(bands):
+        mixed = hashes * np.uint64(2 * band + 1) + np.uint64(band)
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= np.uint64(0xD6E8FEB86659FD93)
+        mixed ^= mixed >> np.uint64(29)
+        total = np.zeros(BITS, np.float64)
+        for i in range(0, len(mixed), _CHUNK):
+            bits = np.unpackbits(mixed[i : i + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            total += weights[i : i + _CHUNK] @ bits.astype(np.float32)
+        out.append(int(np.packbits(2 * total > weights.sum(), bitorder="little").view("<i8")[0]))
+    return out
+
+
+def _shingle_set(text: bytes, width: int) -> set[bytes]:
+    words = text.lower().split()
+    return {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
+
+
+def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, bands: int = BANDS) -> DataFrame:
+    """(doc_id, component_id): components of documents whose shingle sets have that Jaccard similarity.
+
+    SimHash proposes: two bits of one fingerprint are too few for a similarity of 0.8, so
+    each text has one for each band, over its longer words, and a pair meets where any band is
+    within two bits. Each link of a star to its smallest id is then checked on the whole texts.
+    Equal texts are one text. Null and empty texts are equal to each other; rows with a null
+    id take their text's component.
+    """
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [word_prints(t, bands) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], ["id", "h", "fps"])
+
+    body = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    hashed = docs.select(F.col("doc_id").cast("long").alias("id"), F.md5(body.cast("binary")).alias("h"), bytes_of("text").alias("t"))
+    prints = materialize(hashed.mapInArrow(run, "id long, h string, fps array<bigint>"))
+    texts = materialize(prints.groupBy("h").agg(F.min("id").alias("rep"), F.min_by("fps", "id").alias("fps")))
+    spread = 4 * docs.sparkSession.sparkContext.defaultParallelism
+    points = texts.where("rep IS NOT NULL").select("rep", F.posexplode("fps").alias("band", "fp")).repartition(spread)
+    pairs = materialize(links(points))
+    found = components(_alike(docs, pairs, width, similarity))
+    named = texts.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("h", F.coalesce("component", "rep").alias("component_id"))
+    return prints.join(materialize(named), "h").select(F.col("id").alias("doc_id"), "component_id")
+
+
+def _alike(docs: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs (src, dst) of ids whose texts have that similarity; texts are compressed and shuffled once."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compress = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([compress(t or b"") for t in batch.column(1).to_pylist()], pa.binary())], ["needed", "packed"])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                one, two = _shingle_set(unpack(a), width), _shingle_set(unpack(b), width)
+                common = len(one & two)
+                keep.append(common >= similarity * (len(one) + len(two) - common))
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["src", "dst"])
+
+    ends = F.array(F.struct(F.col("src").alias("needed"), F.lit(False).alias("second")), F.struct(F.col("dst").alias("needed"), F.lit(True).alias("second")))
+    sides = materialize(pairs.select("src", "dst", F.explode(ends).alias("s")).select("src", "dst", "s.needed", "s.second"))
+    packed = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("needed"), bytes_of("text").alias("t")).mapInArrow(pack, "needed long, packed binary")
+    met = packed.join(sides, "needed").groupBy("src", "dst").agg(F.min(F.when(~F.col("second"), F.col("packed"))).alias("a"), F.min(F.when(F.col("second"), F.col("packed"))).alias("b"))
+    return met.mapInArrow(check, "src long, dst long")
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """One document of each component of near copies, the smallest id, with its columns unchanged.
 
     Documents that share an id count as one; rows with a null id are never dropped.
     """
-    found = near_duplicates(docs, width=width, segments=segments)
+    found = near_copies(docs)
     keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
     unnamed = docs.where("doc_id IS NULL")
     kept = docs.join(keep, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])

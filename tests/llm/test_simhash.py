@@ -69,6 +69,33 @@ def test_nulls_repeats_and_empty_table(spark):
 
 
 def test_one_document_of_each_group_stays(spark):
-    rows = [(4, "a b c d"), (2, "A b c d"), (2, "a b c D"), (7, "something else entirely is here")]
+    rows = [(4, "a b c d"), (2, "A b c d"), (2, "a b c D"), (7, "something else entirely is here"), (None, "a b c d")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(r.doc_id for r in simhash.deduplicate(docs).collect()) == [2, 7]
+    assert sorted(str(r.doc_id) for r in simhash.deduplicate(docs).collect()) == ["2", "7", "None"]
+    assert simhash.deduplicate(docs.limit(0)).collect() == []
+
+
+def similar_pairs(texts):
+    """All pairs of ids whose five-word shingles have a Jaccard similarity of 0.8 or more."""
+    sets = {i: simhash._shingle_set((t or "").encode(), 5) for i, t in texts.items()}
+    holders, shared = {}, {}
+    for i in sorted(sets):
+        for s in sets[i]:
+            for j in holders.setdefault(s, []):
+                shared[j, i] = shared.get((j, i), 0) + 1
+            holders[s].append(i)
+    return {p for p, n in shared.items() if n >= 0.8 * (len(sets[p[0]]) + len(sets[p[1]]) - n)}
+
+
+def test_near_copies_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("n_chars BETWEEN 300 AND 3000 AND doc_id < 4000")
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    found = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
+    want = similar_pairs(texts)
+    assert found.keys() == texts.keys()
+    near = {p for p in want if texts[p[0]] != texts[p[1]]}
+    assert all(found[a] == found[b] for a, b in want - near)
+    caught = sum(found[a] == found[b] for a, b in near)
+    assert len(near) > 20 and caught >= 0.8 * len(near)
+    partners = {x for p in want for x in p}
+    assert all(i in partners for i, c in found.items() if c != i)

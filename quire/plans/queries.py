@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from quire.catalog import register
-from quire.functions import cells, sheets
-from quire.operators import documents, graph, layout, relational as rel, reports
+from quire.functions import cells, markup, sheets, units
+from quire.operators import documents, graph, layout, relational as rel, reports, styles
 from quire.operators.components import components
 from quire.runtime import materialize, table
+from quire.sources import delimited, spreadsheets
+from quire.streaming import arrivals
 
 
 @register(
@@ -423,3 +425,80 @@ def marks_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     step = F.when(F.col("event_id") % 3 == 0, -1).otherwise(1)
     return documents.balanced(events.select("user_id", "event_id", step.alias("step")), "user_id", "event_id", "step")
+
+
+@register("csv_roundtrip", "SELECT doc_id, coalesce(text, '') AS text, source FROM documents")
+def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    line = F.concat_ws(",", sheets.csv_field(F.col("text")), sheets.csv_field(F.col("source")))
+    back = docs.select("doc_id", delimited.records(line)[0].alias("fields"))
+    return back.select("doc_id", F.col("fields")[0].alias("text"), F.col("fields")[1].alias("source"))
+
+
+@register(
+    "markup_escape",
+    """SELECT doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&apos;') AS escaped, text AS back FROM documents""",
+)
+def markup_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", markup.escape(F.col("text")).alias("escaped"))
+    return docs.withColumn("back", markup.unescape(F.col("escaped")))
+
+
+@register(
+    "markup_autolinks",
+    r"""SELECT doc_id, 'mailto:' || unnest(regexp_extract_all(text, '[A-Za-z0-9._+-]+@([A-Za-z0-9_-]+\.)+[A-Za-z0-9_-]*[A-Za-z0-9]')) AS target FROM documents""",
+)
+def markup_autolinks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(markup.autolinks(F.col("text"))).alias("target"))
+
+
+@register(
+    "unit_lengths",
+    "SELECT p_partkey, round(p_size * 72 / 2.54, 6) AS points, round(p_size * 914400 / 25.4, 4) AS emu, '#' || lpad(lower(to_hex(p_partkey % 16777216)), 6, '0') AS colour FROM part",
+)
+def unit_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part")
+    code = F.lpad(F.hex(F.col("p_partkey") % (1 << 24)), 6, "0")
+    rgb = parts.select("p_partkey", "p_size", units.parse_colour(code).alias("c"))
+    points = units.parse_length(F.concat(F.col("p_size").cast("string"), F.lit("cm")))
+    emu = units.convert(F.col("p_size"), "mm", "emu")
+    return rgb.select("p_partkey", F.round(points, 6).alias("points"), F.round(emu, 4).alias("emu"), units.colour(F.col("c.r"), F.col("c.g"), F.col("c.b")).alias("colour"))
+
+
+@register(
+    "style_inheritance",
+    """SELECT 'c' || c_custkey AS id, coalesce(nullif(c_mktsegment, 'BUILDING'), CASE WHEN n_nationkey % 2 = 0 THEN n_name END, r_name) AS face
+       FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
+)
+def style_inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers take a property from their nation, and nations from their region."""
+    region, nation, customer = (table(spark, sf_dir, t) for t in ("region", "nation", "customer"))
+    top = region.select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.lit(None).cast("string").alias("based_on"), F.col("r_name").alias("face"))
+    mid = nation.select(F.concat(F.lit("n"), "n_nationkey"), F.concat(F.lit("r"), "n_regionkey"), F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")))
+    low = customer.select(F.concat(F.lit("c"), "c_custkey"), F.concat(F.lit("n"), "c_nationkey"), F.nullif("c_mktsegment", F.lit("BUILDING")))
+    return styles.inherit(top.union(mid).union(low), "id", "based_on", ["face"]).where("id LIKE 'c%'")
+
+
+@register("style_tuples", "SELECT p_brand, p_type, count(*) AS n, min(p_partkey) AS first FROM part GROUP BY ALL HAVING count(*) >= 2")
+def style_tuples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return styles.common_tuples(table(spark, sf_dir, "part"), ["p_brand"], ["p_type"], "p_partkey")
+
+
+@register(
+    "table_to_cells",
+    """WITH n AS (SELECT *, row_number() OVER (ORDER BY n_nationkey) AS row FROM nation)
+       SELECT 'nation' AS sheet, row, 0 AS "column", CAST(n_nationkey AS VARCHAR) AS text FROM n UNION ALL SELECT 'nation', row, 1, n_name FROM n UNION ALL SELECT 'nation', row, 2, CAST(n_regionkey AS VARCHAR) FROM n
+       UNION ALL VALUES ('nation', 0, 0, 'n_nationkey'), ('nation', 0, 1, 'n_name'), ('nation', 0, 2, 'n_regionkey')""",
+)
+def table_to_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spreadsheets.table_cells(table(spark, sf_dir, "nation"), ["n_nationkey"], "nation")
+
+
+@register(
+    "event_windows",
+    "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
+)
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = arrivals.windowed_counts(events, "ts", ["event_type"], "value", "1 hour", "10 minutes")
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))

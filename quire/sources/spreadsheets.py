@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions.cells import number_text
@@ -73,3 +73,46 @@ def to_wide(cells: DataFrame, sheet: str, columns: int) -> DataFrame:
     shown = F.coalesce("text", number_text(F.col("num")), F.upper(F.col("bool").cast("string")))
     picked = [F.max(F.when(F.col("column") == i, shown)).alias(f"c{i}") for i in range(columns)]
     return cells.where(F.col("sheet") == sheet).groupBy("file", "row").agg(*picked)
+
+
+_CONTENT = "`body` STRUCT<`spreadsheet`: STRUCT<`table`: ARRAY<STRUCT<`_table:name`: STRING, `table-row`: ARRAY<STRUCT<`_table:number-rows-repeated`: INT, `table-cell`: ARRAY<STRUCT<`_table:number-columns-repeated`: INT, `_office:value-type`: STRING, `_office:value`: STRING, `_office:boolean-value`: STRING, `_office:date-value`: STRING, `_office:time-value`: STRING, `p`: ARRAY<STRING>>>>>>>>>"
+
+
+def ods_cells(spark: SparkSession, path: str) -> DataFrame:
+    """(file, sheet, row, column, kind, num, bool, text) of the cells of all open-document sheets under a path.
+
+    Positions are running sums of the repeat counts. A repeated cell or row is listed once, at
+    its first position; cells without a value type have no row. Times such as PT14H30M00S are
+    read as 14:30:00.
+    """
+    bare = F.regexp_replace(F.decode("content", "UTF-8"), r"<(/?)(?:office|table|text):", "<$1")
+    sheets_ = parts(spark, path).where("part = 'content.xml'").select("file", F.from_xml(bare, _CONTENT, {"ignoreNamespace": "false", "ignoreSurroundingSpaces": "false"}).alias("x"))
+    tables = sheets_.select("file", F.posexplode("x.body.spreadsheet.table").alias("sheet_no", "t")).select("file", "sheet_no", F.col("t.`_table:name`").alias("sheet"), F.posexplode("t.`table-row`").alias("r_no", "r"))
+    in_sheet = Window.partitionBy("file", "sheet_no").orderBy("r_no").rowsBetween(Window.unboundedPreceding, -1)
+    repeated = F.coalesce(F.col("r.`_table:number-rows-repeated`"), F.lit(1))
+    rows = tables.withColumn("row", F.coalesce(F.sum(repeated).over(in_sheet), F.lit(0)).cast("long"))
+    cells = rows.select("file", "sheet_no", "sheet", "row", F.posexplode("r.`table-cell`").alias("c_no", "c"))
+    in_row = Window.partitionBy("file", "sheet_no", "row").orderBy("c_no").rowsBetween(Window.unboundedPreceding, -1)
+    wide = F.coalesce(F.col("c.`_table:number-columns-repeated`"), F.lit(1))
+    placed = cells.withColumn("column", F.coalesce(F.sum(wide).over(in_row), F.lit(0)).cast("long"))
+    given = lambda name: F.col(f"c.`_office:{name}`")
+    kind, number = given("value-type"), given("value").try_cast("double")
+    shown = F.array_join(F.coalesce("c.p", F.array().cast("array<string>")), "\n")
+    clock = F.regexp_replace(given("time-value"), r"^PT([0-9]+)H([0-9]+)M([0-9]+)(?:[.,][0-9]+)?S$", "$1:$2:$3")
+    dated = F.when(given("date-value").contains("T"), "dateTime").otherwise("date")
+    found = F.when(kind == "float", F.when(number.isNull(), "string").otherwise("number")).when(kind == "date", dated).otherwise(kind)
+    numeric = kind.isin("float", "percentage", "currency")
+    text = F.when(found == "string", shown).when(kind == "date", given("date-value")).when(kind == "time", clock)
+    return placed.where(kind.isNotNull()).select("file", "sheet", "row", "column", found.alias("kind"), F.when(numeric, number).alias("num"), F.when(kind == "boolean", given("boolean-value") == "true").alias("bool"), text.alias("text"))
+
+
+def table_cells(df: DataFrame, order: list[str], sheet: str) -> DataFrame:
+    """A table as long cells (sheet, row, column, text): names in row 0, rows from 1 in an order.
+
+    Row numbers need one order over all rows, so this is for tables that fit a sheet.
+    """
+    names = df.columns
+    numbered = df.withColumn("_row", F.row_number().over(Window.orderBy(*order)).cast("long"))
+    body = numbered.select("_row", F.posexplode(F.array(*(F.col(f"`{c}`").cast("string") for c in names))).alias("column", "text"))
+    head = df.sparkSession.range(1).select(F.lit(0).cast("long").alias("_row"), F.posexplode(F.array(*map(F.lit, names))).alias("column", "text"))
+    return head.unionByName(body).select(F.lit(sheet).alias("sheet"), F.col("_row").alias("row"), "column", "text")

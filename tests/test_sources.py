@@ -104,3 +104,18 @@ def test_stream_equals_batch(spark, tmp_path):
     got = sorted((r.window_start, r.event_type, r.n) for r in spark.table("counts").collect())
     assert got == sorted((r.window_start, r.event_type, r.n) for r in arrivals.windowed_counts(events, *args).collect())
     assert arrivals.sessions(events, "ts", ["user_id"], "2 hours", "1 day").selectExpr("sum(n)").first()[0] == events.count()
+
+
+def test_open_document_cells(spark, tmp_path):
+    names = 'xmlns:office="o" xmlns:table="t" xmlns:text="x"'
+    content = f"""<office:document-content {names}><office:body><office:spreadsheet><table:table table:name="S">
+      <table:table-row><table:table-cell office:value-type="string"><text:p>a</text:p><text:p>b</text:p></table:table-cell><table:table-cell table:number-columns-repeated="3"/><table:table-cell office:value-type="float" office:value="1.5"><text:p>1.5</text:p></table:table-cell></table:table-row>
+      <table:table-row table:number-rows-repeated="4"><table:table-cell/></table:table-row>
+      <table:table-row><table:table-cell office:value-type="boolean" office:boolean-value="true"><text:p>TRUE</text:p></table:table-cell><table:table-cell office:value-type="time" office:time-value="PT14H30M00S"><text:p>x</text:p></table:table-cell><table:table-cell office:value-type="date" office:date-value="2024-01-15"><text:p>x</text:p></table:table-cell></table:table-row>
+    </table:table></office:spreadsheet></office:body></office:document-content>"""
+    cells = spreadsheets.ods_cells(spark, put(tmp_path, "s.ods", zipped({"content.xml": content})))
+    got = {(r.row, r.column): (r.kind, r.num, r.bool, r.text) for r in cells.collect()}
+    assert got == {
+        (0, 0): ("string", None, None, "a\nb"), (0, 4): ("number", 1.5, None, None), (5, 0): ("boolean", None, True, None), (5, 1): ("time", None, None, "14:30:00"), (5, 2): ("date", None, None, "2024-01-15"),
+    }
+    assert {r.sheet for r in cells.collect()} == {"S"}

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.texts import bytes_of, small_batches
 from quire.operators.components import components
-from quire.runtime import materialize
+from quire.runtime import broadcast_if_small, materialize
 
 SEED = 42
 BITS = 64
@@ -33,6 +33,8 @@ SEGMENTS = 16
 #: Fingerprints a text in near_copies, and the longest words that they leave out.
 BANDS = 8
 SHORT = 4
+#: Busy cells, 8 bytes each, that are broadcast at most; more are joined by a shuffle.
+BUSY_ROWS = 1_000_000
 _CHUNK = 1 << 16
 
 
@@ -75,23 +77,28 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wi
     return docs.select(F.col(id_col).cast("long").alias("id"), bytes_of(text).alias("t")).mapInArrow(run, "id long, fp long")
 
 
-def cells(fp: Column, segments: int = SEGMENTS) -> Column:
-    """Structs (cell, segment, up) of the cells at Manhattan distance 0 or 1; segment is null for the own cell."""
+def entered(points: DataFrame, segments: int = SEGMENTS) -> DataFrame:
+    """(fp, rep, cell, segment, up) of points (fp, rep) for the cells at Manhattan distance 0 or 1.
+
+    segment is null for the own cell. A cell packs the counts, three bits each at 16 segments,
+    and above them the point's band if it has one. Plain arithmetic after an explode over a
+    constant array, so that all of it is compiled.
+    """
     width = BITS // segments
     digit = (width + 1).bit_length() if width > 1 else 1
-    if digit * segments >= BITS:
-        raise ValueError("the cell does not fit 63 bits")
+    if digit * segments > 48:
+        raise ValueError("the cell does not fit 48 bits")
+    fp = F.col("fp")
     counts = [F.bit_count(F.shiftrightunsigned(fp, i * width).bitwiseAND(F.lit((1 << width) - 1))) for i in range(segments)]
     own = sum((F.shiftleft(c.cast("long"), i * digit) for i, c in enumerate(counts)), F.lit(0).cast("long"))
-
-    def cell(at: Column, segment: int | None, up: bool | None) -> Column:
-        return F.struct(at.alias("cell"), F.lit(segment).cast("int").alias("segment"), F.lit(up).cast("boolean").alias("up"))
-
-    steps = [cell(own, None, None)]
-    for i, c in enumerate(counts):
-        one = F.lit(1 << (i * digit)).cast("long")
-        steps += [F.when(c < width, cell(own + one, i, True)), F.when(c > 0, cell(own - one, i, False))]
-    return F.array_compact(F.array(*steps))
+    band = F.shiftleft(F.col("band").cast("long"), 48) if "band" in points.columns else F.lit(0).cast("long")
+    codes = F.explode(F.sequence(F.lit(0), F.lit(2 * segments))).alias("code")
+    rows = points.select("fp", "rep", own.alias("own"), band.alias("band"), codes)
+    rows = rows.select("*", F.expr("(code - 1) div 2").cast("int").alias("at"), (F.col("code") % 2 == 1).alias("up"))
+    rows = rows.select("*", F.expr(f"shiftrightunsigned(own, at * {digit}) & {(1 << digit) - 1}").alias("held"), F.expr(f"shiftleft(1L, at * {digit})").alias("step"))
+    cell = F.when(F.col("code") == 0, F.col("own")).when(F.col("up"), F.col("own") + F.col("step")).otherwise(F.col("own") - F.col("step"))
+    there = (F.col("code") == 0) | F.when(F.col("up"), F.col("held") < width).otherwise(F.col("held") > 0)
+    return rows.where(there).select("fp", "rep", (cell + F.col("band")).alias("cell"), F.when(F.col("code") > 0, F.col("at")).alias("segment"), "up")
 
 
 def midpoints(fp: Column, segment: Column, up: Column, segments: int = SEGMENTS) -> Column:
@@ -105,15 +112,16 @@ def midpoints(fp: Column, segment: Column, up: Column, segments: int = SEGMENTS)
 def links(points: DataFrame, segments: int = SEGMENTS) -> DataFrame:
     """Star edges (src, dst) whose components are those of Hamming distance at most 2 among points (fp, rep).
 
-    With a column band only points of one band are compared.
+    With a column band only points of one band are compared. Points are distinct in fp or rep.
     """
-    by = [c for c in ("band",) if c in points.columns]
-    entered = points.select(*by, "fp", "rep", F.explode(cells(F.col("fp"), segments)).alias("c")).select(*by, "fp", "rep", "c.*")
-    busy = materialize(entered.groupBy(*by, "cell").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select(*by, "cell"))
-    near = entered.join(busy, [*by, "cell"]).select(*by, "rep", F.explode(midpoints(F.col("fp"), F.col("segment"), F.col("up"), segments)).alias("mid"))
-    near = materialize(near)
-    stars = materialize(near.groupBy(*by, "mid").agg(F.min("rep").alias("dst"), F.max("rep").alias("hi")).where("dst <> hi").select(*by, "mid", "dst"))
-    return near.join(stars, [*by, "mid"]).where("rep <> dst").select(F.col("rep").alias("src"), "dst").distinct()
+    cells = entered(points, segments)
+    busy = materialize(cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell"))
+    near = cells.join(broadcast_if_small(busy, BUSY_ROWS), "cell")
+    mids = midpoints(F.col("fp"), F.col("segment"), F.col("up"), segments)
+    near = materialize(near.select("rep", F.shiftright("cell", 48).alias("band"), F.explode(mids).alias("mid")))
+    stars = near.groupBy("band", "mid").agg(F.min("rep").alias("dst"), F.max("rep").alias("hi")).where("dst <> hi")
+    stars = materialize(stars.select("band", "mid", "dst"))
+    return near.join(stars, ["band", "mid"]).where("rep <> dst").select(F.col("rep").alias("src"), "dst").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 3, segments: int = SEGMENTS) -> DataFrame:

@@ -76,3 +76,37 @@ def lines_by_leader(items: DataFrame, keys: Sequence[str], y: str, size: str, or
         return page.assign(line=out)
 
     return items.groupBy(*keys).applyInPandas(place, schema)
+
+
+def boundaries(rules: DataFrame, keys: Sequence[str], slack: float = 0.5, least: float = 4.0) -> DataFrame:
+    """(keys, axis, n, at, next): distinct positions of long straight rules (x1, y1, x2, y2), in order.
+
+    axis is y for level rules and x for upright ones. A position within slack of the leader of
+    the cluster before it joins that cluster; this does not chain. next is the position after,
+    null at the last. Rules shorter than least, or slanted, are left out.
+    """
+    level = (F.abs(F.col("y2") - F.col("y1")) <= slack) & (F.abs(F.col("x2") - F.col("x1")) >= least)
+    upright = (F.abs(F.col("x2") - F.col("x1")) <= slack) & (F.abs(F.col("y2") - F.col("y1")) >= least)
+    placed = rules.select(*keys, F.when(level, "y").when(upright, "x").alias("axis"), F.when(level, F.col("y1")).when(upright, F.col("x1")).cast("double").alias("at"))
+    sorted_ = placed.where("axis IS NOT NULL").groupBy(*keys, "axis").agg(F.sort_array(F.collect_set("at")).alias("ats"))
+    start = F.array().cast("array<double>")
+
+    def lead(found: Column, at: Column) -> Column:
+        fresh = (F.size(found) == 0) | (at - F.coalesce(F.try_element_at(found, F.lit(-1)), at) > slack)
+        return F.when(fresh, F.array_append(found, at)).otherwise(found)
+
+    leaders = sorted_.select(*keys, "axis", F.aggregate("ats", start, lead).alias("ats"))
+    listed = leaders.select(*keys, "axis", F.posexplode("ats").alias("n", "at"), F.col("ats").alias("_all"))
+    return listed.select(*keys, "axis", "n", "at", F.get("_all", F.col("n") + 1).alias("next"))
+
+
+def lattice(rules: DataFrame, keys: Sequence[str], least_lines: int = 3) -> DataFrame:
+    """(keys, row, column, x1, y1, x2, y2): the cells between neighbouring boundaries of each page.
+
+    A page needs at least so many boundaries on each axis. Cells are joined within a page only.
+    """
+    found = boundaries(rules, keys)
+    counted = found.withColumn("_lines", F.count("*").over(Window.partitionBy(*keys, "axis"))).where(F.col("_lines") >= least_lines).where("next IS NOT NULL")
+    rows = counted.where("axis = 'y'").select(*keys, F.col("n").alias("row"), F.col("at").alias("y1"), F.col("next").alias("y2"))
+    columns = counted.where("axis = 'x'").select(*keys, F.col("n").alias("column"), F.col("at").alias("x1"), F.col("next").alias("x2"))
+    return rows.join(columns, list(keys)).select(*keys, "row", "column", "x1", "y1", "x2", "y2")

@@ -78,3 +78,13 @@ def test_layout(spark):
     points = spark.createDataFrame([("k", v) for v in (0.0, 4.9, 5.0, 11.0, 30.0)], "k string, v double")
     bounds = spark.createDataFrame([("k", 0.0, 5.0), ("k", 5.0, 12.0)], "k string, low double, high double")
     assert sorted((r.v, r.low) for r in layout.assign_to_grid(points, bounds, ["k"], "v", "low", "high", 4.0).collect()) == [(0.0, 0.0), (4.9, 0.0), (5.0, 5.0), (11.0, 5.0)]
+
+
+def test_lattice(spark):
+    level = [(0.0, y, 100.0, y) for y in (0.0, 0.4, 0.8, 20.0, 40.0)]
+    upright = [(x, 0.0, x, 40.0) for x in (0.0, 50.0, 100.0)]
+    odd = [(0.0, 0.0, 3.0, 0.0), (0.0, 0.0, 50.0, 40.0)]
+    rules = spark.createDataFrame([("p", *map(float, r)) for r in level + upright + odd] + [("q", 0.0, 1.0, 90.0, 1.0)], "page string, x1 double, y1 double, x2 double, y2 double")
+    assert [r.at for r in layout.boundaries(rules, ["page"]).where("page = 'p' AND axis = 'y'").orderBy("n").collect()] == [0.0, 0.8, 20.0, 40.0]
+    cells = layout.lattice(rules, ["page"]).collect()
+    assert {(r.row, r.column) for r in cells} == {(r, c) for r in range(3) for c in range(2)} and {r.page for r in cells} == {"p"}

@@ -63,5 +63,8 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast when a bounded count proves df has at most so many rows; else leave the join to AQE."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """Hint a broadcast when a count proves that df has at most so many rows; else leave the join to AQE.
+
+    Give it what materialize() returned, which is counted from the files' footers.
+    """
+    return F.broadcast(df) if df.count() <= rows else df

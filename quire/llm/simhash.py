@@ -92,8 +92,8 @@ def entered(points: DataFrame, segments: int = SEGMENTS) -> DataFrame:
     counts = [F.bit_count(F.shiftrightunsigned(fp, i * width).bitwiseAND(F.lit((1 << width) - 1))) for i in range(segments)]
     own = sum((F.shiftleft(c.cast("long"), i * digit) for i, c in enumerate(counts)), F.lit(0).cast("long"))
     band = F.shiftleft(F.col("band").cast("long"), 48) if "band" in points.columns else F.lit(0).cast("long")
-    codes = F.explode(F.sequence(F.lit(0), F.lit(2 * segments))).alias("code")
-    rows = points.select("fp", "rep", own.alias("own"), band.alias("band"), codes)
+    rows = points.select("fp", "rep", own.alias("own"), band.alias("band"))  # before the explode, once a point
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(2 * segments))).alias("code"))
     rows = rows.select("*", F.expr("(code - 1) div 2").cast("int").alias("at"), (F.col("code") % 2 == 1).alias("up"))
     rows = rows.select("*", F.expr(f"shiftrightunsigned(own, at * {digit}) & {(1 << digit) - 1}").alias("held"), F.expr(f"shiftleft(1L, at * {digit})").alias("step"))
     cell = F.when(F.col("code") == 0, F.col("own")).when(F.col("up"), F.col("own") + F.col("step")).otherwise(F.col("own") - F.col("step"))

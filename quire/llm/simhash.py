@@ -220,12 +220,13 @@ def _alike(docs: DataFrame, pairs: DataFrame, width: int, similarity: float) ->
     return met.mapInArrow(check, "src long, dst long")
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """One document of each component of near copies, the smallest id, with its columns unchanged.
+def deduplicate(docs: DataFrame, components_: DataFrame | None = None) -> DataFrame:
+    """One document of each component, the smallest id, with its columns unchanged.
 
-    Documents that share an id count as one; rows with a null id are never dropped.
+    Components are near_duplicates(docs) unless given as (doc_id, component_id), as by
+    near_copies. Documents that share an id count as one; rows with a null id are never dropped.
     """
-    found = near_copies(docs)
+    found = near_duplicates(docs) if components_ is None else components_
     keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
     unnamed = docs.where("doc_id IS NULL")
     kept = docs.join(keep, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])

@@ -34,7 +34,7 @@ BASE = ("email", "ip", "card", "phone")
 KINDS = tuple(PATTERNS)
 #: A character that every match of a kind contains, to skip other texts.
 NEEDED = {"email": "@", "phone": "+", "ip": ".", "id": "-"}
-OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+OCTET = r"(?=[0-9])0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]?)?"
 # The gazetteer of words before a candidate, and words that speak against it.
 NEARBY = {
     "email": r"(?i)\b(?:e-?mail|mail|contact|write to|reach)\b",

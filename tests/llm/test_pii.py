@@ -54,6 +54,17 @@ def test_base_spans_against_brute_force(spark):
     assert caught > 5
 
 
+def test_addresses_with_zero_parts(spark):
+    texts = ["10.0.0.1 and 192.168.0.1", "0.0.0.0", "127.0.0.1, 000.00.0.0255 256.0.0.0 0.0.0.0256", "1.2.3.00 0.0.0 x0.0.0.0.0", "00300.0.0.1 100.200.250.255 10.20.30.09"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.digests(docs).collect():
+        want = brute(texts[r.doc_id])
+        assert r.n_ip == sum(w.startswith("ip") for w in want) > 0
+        assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+    out = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert out[0] == "[IP] and [IP]"
+
+
 def test_labelers_that_agree_are_found_reliable():
     """Form and marks mirror the truth, the gazetteer mostly abstains, the mix votes at random."""
     patterns = []

@@ -16,8 +16,8 @@ def clean_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest id of each SimHash component."""
-    return simhash.deduplicate(docs)
+    """Keep the smallest id of each component of texts alike by five-word shingles, proposed by SimHash."""
+    return simhash.deduplicate(docs, simhash.near_copies(docs))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

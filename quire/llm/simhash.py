@@ -33,6 +33,8 @@ SEGMENTS = 16
 #: Fingerprints a text in near_copies, and the longest words that they leave out.
 BANDS = 8
 SHORT = 4
+#: Partners of a text that are compared with one copy of it.
+SHARED = 32
 #: Busy cells, 8 bytes each, that are broadcast at most; more are joined by a shuffle.
 BUSY_ROWS = 1_000_000
 _CHUNK = 1 << 16
@@ -109,18 +111,23 @@ def midpoints(fp: Column, segment: Column, up: Column, segments: int = SEGMENTS)
     return F.when(segment.isNull(), F.array(fp)).otherwise(F.transform(fitting, lambda bit: fp.bitwiseXOR(bit)))
 
 
-def links(points: DataFrame, segments: int = SEGMENTS) -> DataFrame:
-    """Star edges (src, dst) whose components are those of Hamming distance at most 2 among points (fp, rep).
-
-    With a column band only points of one band are compared. Points are distinct in fp or rep.
-    """
+def _met(points: DataFrame, segments: int) -> tuple[DataFrame, DataFrame]:
+    """(rep, band, mid) of points that meet others in a cell, and (band, mid, dst) of the values at most one flip from two or more."""
     cells = entered(points, segments)
     busy = materialize(cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell"))
     near = cells.join(broadcast_if_small(busy, BUSY_ROWS), "cell")
     mids = midpoints(F.col("fp"), F.col("segment"), F.col("up"), segments)
     near = materialize(near.select("rep", F.shiftright("cell", 48).alias("band"), F.explode(mids).alias("mid")))
     stars = near.groupBy("band", "mid").agg(F.min("rep").alias("dst"), F.max("rep").alias("hi")).where("dst <> hi")
-    stars = materialize(stars.select("band", "mid", "dst"))
+    return near, materialize(stars.select("band", "mid", "dst"))
+
+
+def links(points: DataFrame, segments: int = SEGMENTS) -> DataFrame:
+    """Star edges (src, dst) whose components are those of Hamming distance at most 2 among points (fp, rep).
+
+    With a column band only points of one band are compared. Points are distinct in fp or rep.
+    """
+    near, stars = _met(points, segments)
     return near.join(stars, ["band", "mid"]).where("rep <> dst").select(F.col("rep").alias("src"), "dst").distinct()
 
 
@@ -173,9 +180,9 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, bands:
 
     SimHash proposes: two bits of one fingerprint are too few for a similarity of 0.8, so
     each text has one for each band, over its longer words, and a pair meets where any band is
-    within two bits. Each link of a star to its smallest id is then checked on the whole texts.
-    Equal texts are one text. Null and empty texts are equal to each other; rows with a null
-    id take their text's component.
+    within two bits. Links are then checked on the whole texts, see alike_groups. Equal texts
+    are one text. Null and empty texts are equal to each other; rows with a null id take their
+    text's component.
     """
     small_batches(docs.sparkSession)
 
@@ -190,34 +197,78 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, bands:
     texts = materialize(prints.groupBy("h").agg(F.min("id").alias("rep"), F.min_by("fps", "id").alias("fps")))
     spread = 4 * docs.sparkSession.sparkContext.defaultParallelism
     points = texts.where("rep IS NOT NULL").select("rep", F.posexplode("fps").alias("band", "fp")).repartition(spread)
-    pairs = materialize(links(points))
-    found = components(_alike(docs, pairs, width, similarity))
+    near, stars = _met(points, SEGMENTS)
+    found = alike_groups(docs, near.join(stars, ["band", "mid"]).select("band", "mid", "rep"), width, similarity)
     named = texts.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("h", F.coalesce("component", "rep").alias("component_id"))
     return prints.join(materialize(named), "h").select(F.col("id").alias("doc_id"), "component_id")
 
 
+def alike_groups(docs: DataFrame, members: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(node, component) by the alike pairs of ids that share a group (band, mid, rep).
+
+    Each group is first a star around its smallest id. Where its members then still lie in
+    several components, those outside the group's largest one are compared with all members of
+    other components, so every pair of a group is compared or in one component already. Work is
+    in proportion to members as long as the members of a group are alike.
+    """
+    members = materialize(members)
+    hubs = members.groupBy("band", "mid").agg(F.min("rep").alias("dst"))
+    stars = materialize(members.join(hubs, ["band", "mid"]).where("rep <> dst").select(F.col("rep").alias("src"), "dst").distinct())
+    linked = materialize(_alike(docs, stars, width, similarity))
+    labels = components(linked).withColumnRenamed("node", "rep")
+    labelled = materialize(members.join(labels, "rep", "left").select("band", "mid", "rep", F.coalesce("component", "rep").alias("c")))
+    counts = labelled.groupBy("band", "mid", "c").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.min("rep").alias("lo"))
+    groups = counts.groupBy("band", "mid").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count("*").alias("k"), F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.min("lo").alias("lo"))
+    # groups of the same members are one
+    once = groups.where("k > 1").groupBy("main", "k", "n", "x", "lo").agg(F.min(F.struct("band", "mid")).alias("g"))
+    mixed = materialize(once.select("g.band", "g.mid", "main"))
+    within = materialize(labelled.join(broadcast_if_small(mixed), ["band", "mid"]))
+    outside = within.where("c <> main").select("band", "mid", F.col("rep").alias("one"), F.col("c").alias("c1"))
+    crossed = outside.join(within, ["band", "mid"]).where("c <> c1 AND (c = main OR one > rep)")
+    crossed = crossed.select(F.greatest("one", "rep").alias("src"), F.least("one", "rep").alias("dst")).distinct()
+    rest = materialize(crossed.join(stars, ["src", "dst"], "left_anti"))
+    return components(linked.union(_alike(docs, rest, width, similarity)))
+
+
 def _alike(docs: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs (src, dst) of ids whose texts have that similarity; texts are compressed and shuffled once."""
+    """The pairs (src, dst) of ids whose texts have that similarity.
+
+    Texts are compressed; dst's is sent once for SHARED of its partners, and a task holds the
+    shingle hashes of two texts at a time. Of texts that share an id any counts.
+    """
+    small_batches(docs.sparkSession)
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compress = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([compress(t or b"") for t in batch.column(1).to_pylist()], pa.binary())], ["needed", "packed"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([compress(t.as_py() or b"") for t in batch.column(1)], pa.binary())], ["needed", "packed"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
+        at, hubs = None, []
         for batch in batches:
             keep = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                one, two = _shingle_set(unpack(a), width), _shingle_set(unpack(b), width)
-                common = len(one & two)
-                keep.append(common >= similarity * (len(one) + len(two) - common))
+            for dst, part, src, packed in zip(*batch.columns):
+                mine = np.unique(shingle_hashes(unpack(packed.as_py()).lower().split(), width))
+                if at != (dst, part):
+                    at, hubs = (dst, part), []
+                if not src.is_valid:
+                    hubs.append(mine)
+                    keep.append(False)
+                    continue
+                common = [(len(np.intersect1d(mine, hub, assume_unique=True)), len(hub)) for hub in hubs]
+                keep.append(any(n >= similarity * (len(mine) + size - n) for n, size in common))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["src", "dst"])
 
-    ends = F.array(F.struct(F.col("src").alias("needed"), F.lit(False).alias("second")), F.struct(F.col("dst").alias("needed"), F.lit(True).alias("second")))
-    sides = materialize(pairs.select("src", "dst", F.explode(ends).alias("s")).select("src", "dst", "s.needed", "s.second"))
-    packed = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("needed"), bytes_of("text").alias("t")).mapInArrow(pack, "needed long, packed binary")
-    met = packed.join(sides, "needed").groupBy("src", "dst").agg(F.min(F.when(~F.col("second"), F.col("packed"))).alias("a"), F.min(F.when(F.col("second"), F.col("packed"))).alias("b"))
-    return met.mapInArrow(check, "src long, dst long")
+    many = materialize(pairs.groupBy("dst").agg(F.count("*").alias("n")).where(F.col("n") > SHARED).select("dst", F.ceil(F.col("n") / SHARED).alias("parts")))
+    part = F.expr("pmod(xxhash64(src), coalesce(parts, 1))")
+    sides = materialize(pairs.join(broadcast_if_small(many), "dst", "left").select("dst", part.alias("part"), "src"))
+    wanted = sides.select(F.col("src").alias("needed"), "dst", "part", "src").union(sides.select(F.col("dst").alias("needed"), "dst", "part", F.lit(None).cast("long").alias("src")).distinct())
+    packed = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("needed"), bytes_of("text").alias("t"))
+    packed = packed.join(wanted.select("needed").distinct(), "needed", "left_semi").mapInArrow(pack, "needed long, packed binary")
+    met = packed.join(wanted, "needed").select("dst", "part", "src", "packed").repartition("dst", "part")
+    met = met.sortWithinPartitions("dst", "part", F.col("src").asc_nulls_first())
+    return met.mapInArrow(check, "src long, dst long").distinct()
 
 
 def deduplicate(docs: DataFrame, components_: DataFrame | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ from quire.llm import bpe, quality
 from quire.runtime import materialize
 from tests.llm.test_mixing import brute_targets
 from tests.llm.test_pii import brute
-from tests.llm.test_simhash import brute_components, brute_fingerprint
+from tests.llm.test_simhash import brute_components, brute_fingerprint, similar_pairs
 
 DIR = "/root/testdata/sf0.01"
 
@@ -48,6 +48,15 @@ def test_one_of_each_component_stays(kept):
     assert max(Counter(d.text for d in kept[2]).values()) == 1
 
 
+def test_one_of_each_group_of_near_copies_stays(kept):
+    texts, left = {d.doc_id: d.text for d in kept[1]}, {d.doc_id for d in kept[2]}
+    assert {tuple(d) for d in kept[2]} <= {tuple(d) for d in kept[1]}
+    pairs = similar_pairs(texts)
+    partners = {x for p in pairs for x in p}
+    assert set(texts) - left <= partners and all(i in left for i in set(texts) - partners)
+    assert len({p for p in pairs if set(p) <= left}) <= 0.1 * len(pairs)
+
+
 def test_no_personal_data_is_left(kept):
     before = {d.doc_id: d.text for d in kept[2]}
     assert len(kept[3]) == len(before)

@@ -99,3 +99,19 @@ def test_near_copies_against_brute_force(spark):
     assert len(near) > 20 and caught >= 0.8 * len(near)
     partners = {x for p in want for x in p}
     assert all(i in partners for i, c in found.items() if c != i)
+
+
+def test_chains_and_failed_hubs_of_a_group_are_linked(spark):
+    """In one group, texts that are not like its smallest id are still compared with the others."""
+    base = [f"w{i}" for i in range(200)]
+    edited = lambda *at: " ".join("x%d" % i if i in at else w for i, w in enumerate(base))
+    texts = {1: edited(), 2: edited(20, 40), 3: edited(20, 40, 60, 80), 4: edited(20, 40, 60, 80, 100, 120), 10: "all other words stand in this text", 11: "a b c d e f g " * 9, 12: "a b c d e f g " * 10}
+    want = similar_pairs(texts)
+    assert (1, 2) in want and (3, 4) in want and (11, 12) in want and (1, 4) not in want
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    members = spark.createDataFrame([(0, m, i) for m in (5, 6) for i in texts], "band long, mid long, rep long")
+    found = {r.node: r.component for r in simhash.alike_groups(docs, members, 5, 0.8).collect()}
+    assert found == {1: 1, 2: 1, 3: 1, 4: 1, 11: 11, 12: 11}
+    hub = spark.createDataFrame([(i, texts[1 + i % 2]) for i in range(100)], "doc_id long, text string")
+    pairs = spark.createDataFrame([(i, 0) for i in range(1, 100)], "src long, dst long")
+    assert simhash._alike(hub, pairs, 5, 0.8).count() == 99

@@ -51,6 +51,8 @@ ARTICLE_NAMES = frozenset("article articlebody entry post story content main tex
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0-9:_-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([A-Za-z_:][-A-Za-z0-9_:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NAME = re.compile(r"[A-Za-z]+")
+#: Class compounds that say something about an element's state, not what it is.
+_STATE = re.compile(r"(?:has|with|without|no|not|overflow)[-_]|.*[-_](?:enabled|disabled|fixed|open|closed)$")
 
 
 class Block(NamedTuple):
@@ -164,31 +166,33 @@ def decide(tree: Any, features: tuple[float, ...]) -> bool:
     return tree
 
 
-def _context(name: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element is page furniture, and whether it marks the article."""
+def _context(name: str, attributes: str) -> tuple[int, bool]:
+    """Whether an element is page furniture (1 by a class or id alone, 2 by more), and whether it marks the article."""
     if not attributes.strip():
-        return name in CHROME_TAGS, name in ARTICLE_TAGS
+        return 2 * (name in CHROME_TAGS), name in ARTICLE_TAGS
     given = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)}
-    names = {n.lower() for k in ("class", "id") for n in _NAME.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", given.get(k, "")))}
+    tokens = [re.sub(r"(?<=[a-z])(?=[A-Z])", "-", t).lower() for k in ("class", "id") for t in given.get(k, "").split()]
+    names = {n for t in tokens if not _STATE.match(t) for n in _NAME.findall(t)}
     role = given.get("role", "").lower()
     hidden = "hidden" in given or given.get("aria-hidden", "").lower() == "true" or "display:none" in given.get("style", "").replace(" ", "").lower()
     marks = name in ARTICLE_TAGS or role in ("main", "article") or given.get("itemprop", "").lower() == "articlebody"
-    chrome = name in CHROME_TAGS or role in CHROME_ROLES or hidden or (bool(names & CHROME_NAMES) and name not in ("html", "body") and not marks)
-    return chrome, marks
+    named = bool(names & CHROME_NAMES) and name not in ("html", "body") and not marks
+    return 2 if name in CHROME_TAGS or role in CHROME_ROLES or hidden else int(named), marks
 
 
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order, with what encloses each."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, furniture, article
+    stack: list[tuple[str, int, bool]] = []  # name, furniture, article
     text: list[str] = []
     linked: list[str] = []
 
     def flush() -> None:
         words = html.unescape("".join(text)).split()
         if words:
-            chrome = any(s[1] for s in stack)
             article = any(s[2] for s in stack)
+            mark = max((i for i, s in enumerate(stack) if s[2]), default=0)
+            chrome = any(s[1] > (i < mark) for i, s in enumerate(stack))  # a name outside an article ends at its mark
             header = not chrome and any(s[0] == "header" for s in stack)
             heading = any(s[0] in HEADINGS for s in stack)
             chrome = chrome or (header and not (article and heading))

@@ -52,3 +52,14 @@ def test_broken_markup():
     assert text("<article>one<!-- open <p>two") == "one"
     assert text("plain " * 50) == " ".join(["plain"] * 50)
     assert len(text("<article>" + "<div>" * 3000 + "deep" + "<p>word " * 2000)) > 4
+
+
+def test_article_in_a_wrapper_named_like_furniture():
+    for name in ("layout has-sidebar", "overflow-hidden", "with-comments", "share-enabled", "navbar-fixed", "noSidebar", "sidebar", "widget"):
+        page = f'<body><div class="{name}"><article><h1>The title</h1><p>{LONG}</p><p>{MORE}</p><div class="share">{MORE}</div></article></div></body>'
+        assert text(page) == "\n".join(["The title", LONG, MORE]), name
+    for name in ("layout has-sidebar", "overflow-hidden", "with-comments", "share-enabled", "navbar-fixed", "noSidebar"):
+        assert text(f'<body><div class="{name}"><p>{LONG}</p><p>{MORE}</p></div></body>') == "\n".join([LONG, MORE]), name
+    assert text(f"<body><aside><article><p>{LONG}</p></article></aside><div class=sidebar><p>{LONG}</p></div></body>") == ""
+    for name in ("sidebar-left", "is-hidden", "visually-hidden", "js-cookie-banner", "navbar-fixed-top", "cookieNotice"):
+        assert text(f'<body><div class="{name}"><p>{LONG}</p></div><div><p>{MORE}</p><p>{LONG}</p></div></body>') == "\n".join([MORE, LONG]), name

@@ -3,16 +3,22 @@
 The rank file is turned into a merge table (left, right, merged). The distinct pieces of a
 batch become rows (piece, position, token); each step of the recursion joins neighbouring
 positions with the merge table and contracts every piece's leftmost pair of minimum rank,
-until no pair of a piece is in the table. Decoding joins
-(document, position, token) with the token table and aggregates the bytes in order.
+until no pair of a piece is in the table. Long pieces are cut where no token can cross, and
+all pairs of their minimum rank that do not touch each other are contracted in one step.
+Decoding joins (document, position, token) with the token table and aggregates the bytes in
+order.
 """
 
 from __future__ import annotations
 
 import base64
+import contextlib
 import itertools
 import re
+import shutil
+import tempfile
 from collections.abc import Iterator
+from typing import Any
 
 import duckdb
 import numpy as np
@@ -23,12 +29,16 @@ from pyspark.sql import functions as F
 
 from quire.llm.texts import small_batches
 
-#: Memory of a worker's database; larger intermediate results go to its own temporary folder.
-MEMORY = "256MB"
-#: Cached chunks of a worker; the cache is emptied beyond this.
-CACHE = 400_000
-#: Pieces sent to one recursive query, in bytes.
-QUERY_BYTES = 200_000
+#: Memory of a worker's database; larger intermediate results go to the task's temporary folder.
+MEMORY = "128MB"
+#: Cached chunks and pieces of a worker, in bytes, about: half of them recent, half from before.
+CACHE_BYTES = 64 << 20
+#: Characters encoded, and tokens decoded, by one query at most, unless a single text has more.
+QUERY_CHARS = 2_000_000
+#: Bytes of a piece that CONTRACT takes; CONTRACT_LONG takes longer ones.
+SHORT_PIECE = 64
+#: Rows that the recursion over short pieces keeps at most: a piece of n bytes keeps up to n * n / 2.
+QUERY_ROWS = 1_500_000
 
 #: A row's place is its piece's number times WIDTH plus its position, so a neighbour is the next
 #: place; best is, for each piece with a pair in the table, rank and place of the leftmost pair
@@ -56,6 +66,66 @@ FROM state s JOIN (SELECT place // {width} AS piece, max(step) AS step FROM stat
 ORDER BY s.place
 """
 
+#: The same result for long pieces. One step contracts all pairs of a piece's least rank that the
+#: leftmost-first order would take in a row: of overlapping ones every other, and none after the
+#: first (stop) whose token makes a pair of lower rank with a neighbour, as that pair is next.
+#: A row is done when its piece has no pair left; only done rows are returned, so that no step is
+#: kept, and a piece takes a step for each rank that occurs in it, not for each pair.
+CONTRACT_LONG = """
+WITH RECURSIVE state(place, token, done) AS (
+    SELECT place, token, false FROM start
+    UNION ALL
+    (
+        WITH live AS (SELECT place, token FROM state WHERE NOT done),
+        pairs AS (
+            SELECT a.place, a.place // {width} AS piece, m.merged AS rank
+            FROM live a JOIN live b ON b.place = a.place + 1 JOIN merges m ON m.pair = a.token * {radix} + b.token
+        ),
+        least AS (SELECT piece, min(rank) AS rank FROM pairs GROUP BY piece),
+        runs AS (
+            SELECT place, piece, rank, place - row_number() OVER (PARTITION BY piece ORDER BY place) AS run
+            FROM pairs JOIN least USING (piece, rank)
+        ),
+        hits AS (
+            SELECT place, piece, rank
+            FROM (SELECT *, row_number() OVER (PARTITION BY piece, run ORDER BY place) AS nth FROM runs) WHERE nth % 2 = 1
+        ),
+        lower AS (
+            SELECT h.piece, h.place FROM hits h JOIN live n ON n.place = h.place + 2
+            JOIN merges m ON m.pair = h.rank * {radix} + n.token WHERE m.merged < h.rank
+            UNION ALL
+            SELECT h.piece, h.place FROM hits h JOIN live n ON n.place = h.place - 1
+            JOIN merges m ON m.pair = n.token * {radix} + h.rank WHERE m.merged < h.rank
+            UNION ALL
+            SELECT h.piece, h.place FROM hits h JOIN hits g ON g.place = h.place - 2
+            JOIN merges m ON m.pair = h.rank * {radix} + h.rank WHERE m.merged < h.rank
+        ),
+        stops AS (SELECT piece, min(place) AS stop FROM lower GROUP BY piece),
+        taken AS (SELECT place, rank FROM hits LEFT JOIN stops USING (piece) WHERE stop IS NULL OR place <= stop),
+        marked AS (
+            SELECT l.place, l.token, t.rank, before.place AS gone, least.piece IS NULL AS done
+            FROM live l LEFT JOIN taken t ON t.place = l.place LEFT JOIN taken before ON before.place = l.place - 1
+            LEFT JOIN least ON least.piece = l.place // {width}
+        ),
+        moved AS (
+            SELECT place - count(gone) OVER (PARTITION BY place // {width} ORDER BY place ROWS UNBOUNDED PRECEDING) AS place,
+                   coalesce(rank, token) AS token, done, gone
+            FROM marked
+        )
+        SELECT place, token, done FROM moved WHERE gone IS NULL
+    )
+)
+SELECT place // {width} AS piece, token FROM state WHERE done ORDER BY place
+"""
+
+#: The merge table: every split of a token into two tokens.
+MERGES = """
+CREATE TABLE merges AS
+SELECT l.id * {radix} + r.id AS pair, t.id AS merged
+FROM (SELECT id, chars, unnest(range(1, length(chars))) AS at FROM tokens) t
+JOIN tokens l ON l.chars = left(t.chars, t.at) JOIN tokens r ON r.chars = substr(t.chars, t.at + 1)
+"""
+
 DECODE = """
 SELECT place // {width} AS doc, string_agg(chars, '' ORDER BY place) AS chars
 FROM (SELECT place, chars FROM coded JOIN tokens USING (id)) GROUP BY 1
@@ -83,57 +153,100 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
 
 
 class Vocabulary:
-    """The tables of one rank file in a DuckDB database, with a cache of encoded chunks."""
+    """The tables of one rank file in a DuckDB database, with a bounded cache of encoded chunks and pieces."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
-        self.ranks, self.split = ranks, regex.compile(pattern).findall
+        self.split = regex.compile(pattern).findall
         self.base = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
-        merges = [(ranks[t[:i]], ranks[t[i:]], n) for t, n in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        self.radix = len(ranks)
-        l, r, m = (np.array(x, np.int64) for x in zip(*merges)) if merges else (np.empty(0, np.int64),) * 3
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": MEMORY})
-        self.db.execute("CREATE TABLE merges(pair BIGINT, merged BIGINT)")
-        self._insert("merges", pa.table({"pair": l * self.radix + r, "merged": m}))
-        self.db.execute("CREATE TABLE tokens(id INTEGER, chars VARCHAR)")
+        self.radix = max(ranks.values()) + 1
+        self.folder = tempfile.mkdtemp(prefix="bpe-")
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": MEMORY, "temp_directory": self.folder})
+        self.db.execute("CREATE TABLE tokens(id BIGINT, chars VARCHAR)")
         self._insert("tokens", pa.table({"id": list(ranks.values()), "chars": [t.decode("latin-1") for t in ranks]}))
-        self.cache: dict[str, bytes] = {}
-        self.known: dict[bytes, bytes] = {}
+        self.db.execute(MERGES.format(radix=self.radix))
+        #: Whether two bytes stand side by side in any token; where they do not, no token crosses.
+        self.joined = np.zeros(1 << 16, bool)
+        flat = np.frombuffer(b"".join(ranks), np.uint8).astype(np.int64)
+        inside = np.ones(len(flat), bool)
+        inside[np.cumsum([len(t) for t in ranks]) - 1] = False
+        at = np.flatnonzero(inside)
+        self.joined[flat[at] << 8 | flat[at + 1]] = True
+        self.recent: dict[str | bytes, bytes] = {}
+        self.before: dict[str | bytes, bytes] = {}
+        self.held = 0
         self.whole = {t: np.int32(n).tobytes() for t, n in ranks.items()}
 
+    def close(self) -> None:
+        """Give up the database, its folder and the cache."""
+        self.db.close()
+        shutil.rmtree(self.folder, ignore_errors=True)
+        self.recent.clear()
+        self.before.clear()
+        self.whole.clear()
+
     def _insert(self, name: str, rows: pa.Table) -> None:
         self.db.register("given", rows)
         self.db.execute(f"INSERT INTO {name} SELECT * FROM given")
         self.db.unregister("given")
 
-    def _contract(self, pieces: list[bytes]) -> list[bytes]:
+    def _cached(self, wanted: set[Any]) -> dict[Any, bytes | None]:
+        """What the cache has of each; what it has only from before becomes recent again."""
+        found = {x: self.recent.get(x) for x in wanted}
+        again = {x: self.before[x] for x, v in found.items() if v is None and x in self.before}
+        self._keep(again)
+        found.update(again)
+        return found
+
+    def _keep(self, coded: dict[Any, bytes]) -> None:
+        """Add to the cache; a full half takes the place of the one from before."""
+        size = sum(map(len, coded)) + sum(map(len, coded.values())) + 200 * len(coded)
+        if self.held + size > CACHE_BYTES // 2:
+            self.before, self.recent, self.held = self.recent, {}, 0
+        if size <= CACHE_BYTES // 2:
+            self.recent.update(coded)
+            self.held += size
+
+    def _contract(self, query: str, pieces: list[bytes]) -> list[bytes]:
         sizes = np.array([len(p) for p in pieces])
         width = int(sizes.max()) + 1
         flat = np.frombuffer(b"".join(pieces), np.uint8)
         firsts = np.cumsum(sizes) - sizes
         place = np.repeat(np.arange(len(pieces)) * width - firsts, sizes) + np.arange(len(flat))
         self.db.register("start", pa.table({"place": place, "token": self.base[flat]}))
-        found = self.db.execute(CONTRACT.format(width=width, radix=self.radix)).fetchnumpy()
+        found = self.db.execute(query.format(width=width, radix=self.radix)).fetchnumpy()
         self.db.unregister("start")
         ends = [0, *(4 * np.searchsorted(found["piece"], np.arange(1, len(pieces) + 1))).tolist()]
         tokens = found["token"].astype(np.int32).tobytes()
         return [tokens[a:b] for a, b in zip(ends, ends[1:])]
 
+    def _cut(self, piece: bytes) -> list[bytes]:
+        """A long piece's parts between bytes that no token has side by side; no pair crosses there."""
+        codes = np.frombuffer(piece, np.uint8).astype(np.int64)
+        ends = [0, *(np.flatnonzero(~self.joined[codes[:-1] << 8 | codes[1:]]) + 1).tolist(), len(piece)]
+        return [piece[a:b] for a, b in zip(ends, ends[1:])]
+
     def pieces(self, wanted: set[bytes]) -> dict[bytes, bytes]:
         """Tokens of each piece: its own rank if it has one, else by contraction; short pieces first, as long ones take more steps."""
-        if len(self.known) > CACHE:
-            self.known.clear()
-        out = {p: self.whole.get(p) or self.known.get(p) for p in wanted}
-        rest, size = [], 0
-        for piece in sorted((p for p, v in out.items() if v is None), key=len):
-            rest.append(piece)
-            size += len(piece)
-            if size >= QUERY_BYTES:
-                self.known.update(zip(rest, self._contract(rest)))
-                out.update((p, self.known[p]) for p in rest)
+        out = {p: self.whole.get(p) for p in wanted}
+        fresh = [p for p, v in out.items() if v is None]
+        parts = {p: self._cut(p) for p in fresh if len(p) > SHORT_PIECE}
+        small = {p for p in fresh if p not in parts} | {x for cut in parts.values() for x in cut if out.get(x) is None}
+        coded = {x: self.whole[x] for x in small if x in self.whole}
+        rest: list[bytes] = []
+        size = 0
+        for piece in sorted((p for p in small if p not in coded and len(p) <= SHORT_PIECE), key=len):
+            if size + len(piece) ** 2 > 2 * QUERY_ROWS:
+                coded.update(zip(rest, self._contract(CONTRACT, rest)))
                 rest, size = [], 0
+            rest.append(piece)
+            size += len(piece) ** 2
         if rest:
-            self.known.update(zip(rest, self._contract(rest)))
-            out.update((p, self.known[p]) for p in rest)
+            coded.update(zip(rest, self._contract(CONTRACT, rest)))
+        for piece in (p for p in small if len(p) > SHORT_PIECE and p not in coded):
+            coded[piece] = self._contract(CONTRACT_LONG, [piece])[0]
+        for piece, cut in parts.items():
+            coded[piece] = b"".join(coded.get(x) or out[x] for x in cut)
+        out.update((p, coded[p]) for p in fresh)
         return out
 
     def _parts(self, chunk: str) -> list[bytes]:
@@ -142,47 +255,80 @@ class Vocabulary:
         return [p.encode() for p in parts]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Token ids of each text, as the bytes of 32-bit integers.
+        """Token ids of each text, as the bytes of 32-bit integers."""
+        out: list[bytes] = []
+        for some in _groups(texts, list(map(len, texts)), QUERY_CHARS):
+            out += self._encode(some)
+        return out
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        """Encode some texts together.
 
         A lone space or line feed between other characters always starts a match of the
         pattern, so plain texts are cut there into chunks; chunks after the first, without
         their space, are cached whole. First chunks and other texts are split each time.
         """
-        if len(self.cache) > CACHE:
-            self.cache.clear()
         heads, tails, fresh = [], [], set()
         for text in texts:
             head, *tail = text.replace("\n", " \n").split(" ") if _plain(text) else [text]
             heads.append([p.encode() for p in self.split(head)])
             tails.append(tail)
-            fresh.update(set(tail).difference(self.cache))
-        split = {x: self._parts(x) for x in fresh}
-        coded = self.pieces({p for parts in itertools.chain(split.values(), heads) for p in parts})
-        self.cache.update((x, b"".join(map(coded.__getitem__, parts))) for x, parts in split.items())
-        cached = self.cache.__getitem__
-        return [b"".join([*map(coded.__getitem__, h), *map(cached, t)]) for h, t in zip(heads, tails)]
-
-    def decode(self, ids: pa.Array) -> list[bytes]:
-        """The bytes of each list of ids, in order; a null list has none."""
-        sizes = np.array([len(x) if x.is_valid else 0 for x in ids], np.int64)
-        width, flat = int(sizes.max(initial=0)) + 1, ids.flatten()
-        place = np.repeat(np.arange(len(ids)) * width - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(flat))
-        out = [b""] * len(ids)
-        self.db.register("coded", pa.table({"place": place, "id": flat}))
-        for doc, text in self.db.execute(DECODE.format(width=width)).fetchall():
-            out[doc] = text.encode("latin-1")
-        self.db.unregister("coded")
+            fresh.update(tail)
+        chunks, first = self._cached(fresh), self._cached(set(itertools.chain.from_iterable(heads)))
+        split = {x: self._parts(x) for x, v in chunks.items() if v is None}
+        unknown = [p for p, v in first.items() if v is None]
+        coded = self.pieces(set(itertools.chain(unknown, *split.values())))
+        new = {x: b"".join(map(coded.__getitem__, parts)) for x, parts in split.items()}
+        alone = {p: coded[p] for p in unknown}
+        self._keep(new)
+        self._keep(alone)
+        chunks.update(new)
+        first.update(alone)
+        return [b"".join([*map(first.__getitem__, h), *map(chunks.__getitem__, t)]) for h, t in zip(heads, tails)]
+
+    def decode(self, ids: list[np.ndarray]) -> list[bytes]:
+        """The bytes of each array of ids, in order."""
+        out: list[bytes] = []
+        for some in _groups(ids, list(map(len, ids)), QUERY_CHARS // 4):
+            sizes = np.array([len(x) for x in some], np.int64)
+            width, flat = int(sizes.max(initial=0)) + 1, np.concatenate(some)
+            place = np.repeat(np.arange(len(some)) * width - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(flat))
+            texts = [b""] * len(some)
+            self.db.register("coded", pa.table({"place": place, "id": flat}))
+            for doc, text in self.db.execute(DECODE.format(width=width)).fetchall():
+                texts[doc] = text.encode("latin-1")
+            self.db.unregister("coded")
+            out += texts
         return out
 
 
-_OPEN: dict[tuple[int, str], Vocabulary] = {}
+def _groups(items: list[Any], sizes: list[int], most: int) -> Iterator[list[Any]]:
+    """Consecutive items in groups of that total size at most, or one item each."""
+    group: list[Any] = []
+    total = 0
+    for item, size in zip(items, sizes):
+        if group and total + size > most:
+            yield group
+            group, total = [], 0
+        group.append(item)
+        total += size
+    if group:
+        yield group
 
 
-def _vocabulary(data: bytes, pattern: str) -> Vocabulary:
-    key = (hash(data), pattern)
-    if key not in _OPEN:
-        _OPEN[key] = Vocabulary(read_ranks(data), pattern)
-    return _OPEN[key]
+@contextlib.contextmanager
+def vocabulary(data: bytes, pattern: str) -> Iterator[Vocabulary]:
+    """A rank file's tables for the length of a task, so that workers keep no memory for later stages."""
+    made = Vocabulary(read_ranks(data), pattern)
+    try:
+        yield made
+    finally:
+        made.close()
+
+
+def _ids(found: list[bytes]) -> pa.Array:
+    ends = np.cumsum([0, *(len(x) // 4 for x in found)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), np.int32)))
 
 
 def _contents(path: str) -> bytes:
@@ -202,12 +348,10 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = _vocabulary(data.value, pattern)
-        for batch in batches:
-            found = vocabulary.encode([t or "" for t in batch.column(1).to_pylist()])
-            ends = np.cumsum([0, *(len(x) // 4 for x in found)], dtype=np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], [id_col, "ids"])
+        with vocabulary(data.value, pattern) as words:
+            for batch in batches:
+                found = words.encode([t or "" for t in batch.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([batch.column(0), _ids(found)], [id_col, "ids"])
 
     return docs.select(id_col, F.col(text).cast("string").alias("_text")).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
 
@@ -222,17 +366,30 @@ def decode(coded: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataF
     schema = coded.select("*", F.lit(b"").cast("binary").alias("decoded")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = _vocabulary(data.value, pattern)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(vocabulary.decode(batch.column(at)), pa.binary())], names)
+        with vocabulary(data.value, pattern) as words:
+            for batch in batches:
+                given = [np.array(x.values if x.is_valid else (), np.int64) for x in batch.column(at)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(words.decode(given), pa.binary())], names)
 
     return coded.mapInArrow(run, schema)
 
 
-def tokenized(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, ids, n_tokens, decoded) of every document: encoded, and decoded from the ids again."""
-    coded = decode(encode(docs, path, pattern), path, pattern)
-    return coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), "decoded")
+def tokenized(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, ids, n_tokens, decoded) of every document: encoded, and decoded from the ids again, in one worker."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    data = spark.sparkContext.broadcast(_contents(path))
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with vocabulary(data.value, pattern) as words:
+            for batch in batches:
+                found = words.encode([t or "" for t in batch.column(1).to_pylist()])
+                back = words.decode([np.frombuffer(x, np.int32) for x in found])
+                yield pa.RecordBatch.from_arrays([batch.column(0), _ids(found), pa.array(back, pa.binary())], [id_col, "ids", "decoded"])
+
+    done = docs.select(id_col, F.col(text).cast("string").alias("_text")).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, decoded binary")
+    return done.select(id_col, "ids", F.size("ids").cast("long").alias("n_tokens"), "decoded")
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -1,7 +1,14 @@
+import base64
 import hashlib
+import random
+import re
+import string
+import time
 
+import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import tiktoken
 
@@ -42,3 +49,23 @@ def test_real_documents(spark, library):
     texts = {r.doc_id: r.text for r in docs.collect()}
     for row in bpe.encode(docs, PATH, PATTERN).collect():
         assert row.ids == library.encode_ordinary(texts[row.doc_id])
+
+
+def test_long_pieces_in_bounded_time_and_memory(library):
+    """Matches of 100,000 bytes: one letter, letters of many or few kinds, base64, no spaces."""
+    rng = random.Random(3)
+    word = lambda n, letters: "".join(rng.choices(letters, k=n))
+    prose = "".join(r["text"] or "" for r in pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"]).to_pylist())
+    texts = ["a" * 100_000, "=" * 99_999, " " * 100_001 + "b", "\n" * 50_000, word(100_000, string.ascii_letters), word(100_000, "acgt"), word(30_000, "etaoinsrh"),
+             base64.b64encode(rng.randbytes(75_000)).decode(), re.sub("[^a-z]", "", prose.lower())[:30_000], "ab" * 50_000, "aab" * 20_000, "日本語" * 20_000]
+    with bpe.vocabulary(bpe._contents(PATH), PATTERN) as words:
+        for text in texts:
+            began = time.time()
+            coded = [np.frombuffer(x, np.int32) for x in words.encode([text])]
+            assert time.time() - began < 30
+            assert coded[0].tolist() == library.encode_ordinary(text)
+            assert words.decode(coded) == [text.encode()]
+        for _ in range(60):
+            piece = word(rng.randint(65, 400), rng.choice(["ab", "abc", "the ", string.ascii_lowercase, "-=", "0123456789"])).encode()
+            assert np.frombuffer(words._contract(bpe.CONTRACT_LONG, [piece])[0], np.int32).tolist() == library._encode_single_piece(piece)
+        assert words.held <= bpe.CACHE_BYTES

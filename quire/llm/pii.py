@@ -5,7 +5,8 @@ ranges, alphabets), a gazetteer of nearby words, the marks around it, its mix of
 and words that speak against it. Expectation-maximisation over the counts of vote patterns
 estimates how reliable each labeler is, and its posteriors train a naive Bayes classifier on
 votes, kind, length and digit share, which decides the candidates. Spans that the base rules
-fix always stay. Everything on the documents is built-in functions; the driver sees one row
+fix always stay, and the classifier adds secrets and identity numbers; what the rule of a base
+kind rejects (a checksum that fails, a part over 255) is not added. Everything on the documents is built-in functions; the driver sees one row
 for each combination of votes and feature buckets, some thousands at most.
 """
 
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -21,11 +23,12 @@ from pyspark.sql import functions as F
 from quire.runtime import materialize
 
 # Candidate patterns by kind. Possessive repeats and the anchor at the start of
-# a run or at the last match's end find the same leftmost matches in linear time.
+# a run or at the last match's end find the same leftmost matches in linear time. Runs of fewer
+# than 13 digits are no card under any rule and are not listed.
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    "card": r"[0-9](?:[\x20-]?[0-9]){12,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "secret": r"(?<![A-Za-z0-9_/+@.-])(?=[A-Za-z_/+-]*+[0-9])(?=[0-9_/+-]*+[A-Za-z])[A-Za-z0-9_/+-]{16,}+(?![@.][A-Za-z0-9])",
     "id": r"(?<![0-9+.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9.-])",
@@ -46,6 +49,10 @@ NEARBY = {
 }
 AGAINST = r"(?i)\b(?:version|release|commit|revision|checksum|sha-?1|sha-?256|md5|isbn|build|chapter|section|page)\b"
 CONTEXT = 32
+#: Elements of an array that are summed one by one; longer arrays are summed block by block.
+BLOCK = 256
+#: Code points of a text's chunks, from which the parts between spans are taken.
+CHUNK = 1_024
 LABELERS = ("form", "gazetteer", "marks", "mix", "against")
 ROUNDS = 40
 
@@ -110,10 +117,30 @@ def _listed(kind: str, hits: Column, gaps: Column) -> Column:
     return F.transform(F.slice(rows, 1, F.size(hits)), one)
 
 
-def _ends(listed: Column) -> Column:
-    """Where each listed match ends."""
-    start = F.array().cast("array<int>")
-    return F.aggregate(listed, start, lambda a, s: F.array_append(a, F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + s["gap"] + s["own"]))
+def _blocks(values: Column, step: Callable[[Column, Column], Column], start: int = 0) -> Column:
+    """Running results of step over an array of integers, anew for each BLOCK of it.
+
+    values must be a column of the table, as it is read for each block.
+    An array that grows in an aggregate is copied at each step, so arrays of any length take
+    time in proportion only when blocks are short.
+    """
+    none = F.array().cast("array<int>")
+    grow = lambda a, x: F.array_append(a, step(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(start)), x))
+    cut = lambda b: F.aggregate(F.slice(values, b * BLOCK + 1, F.lit(BLOCK)), none, grow)
+    last = F.floor((F.size(values) - 1) / BLOCK).cast("int")
+    return F.when(F.size(values) > 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), cut)).otherwise(F.array().cast("array<array<int>>"))
+
+
+def _before(blocks: Column, step: Callable[[Column, Column], Column], start: int = 0) -> Column:
+    """The running result before each block."""
+    grow = lambda a, b: F.array_append(a, step(F.element_at(a, F.lit(-1)), F.element_at(b, F.lit(-1))))
+    return F.aggregate(blocks, F.array(F.lit(start)), grow)
+
+
+def _joined(blocks: Column, before: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """Running results over the whole array."""
+    zipped = F.arrays_zip(blocks.alias("b"), F.slice(before, F.lit(1), F.size(blocks)).alias("o"))
+    return F.flatten(F.transform(zipped, lambda z: F.transform(z["b"], lambda x: step(z["o"], x))))
 
 
 def _placed(kind: str, listed: Column, ends: Column) -> Column:
@@ -130,10 +157,12 @@ def _placed(kind: str, listed: Column, ends: Column) -> Column:
 def propose(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents with a column candidates: all kinds' candidates, kinds in order, then by start.
 
-    Matches, gaps and ends are columns of their own, so that each is computed once a row.
+    Matches, gaps and running ends are columns of their own, so that each is computed once a
+    row; time is in proportion to the text and its candidates.
     """
     kept = docs.columns
     none = F.array().cast("array<string>")
+    add = lambda a, x: a + x
     rows = docs.select(*kept, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_body"))
     body, hits = F.col("_body"), {}
     for kind, pattern in PATTERNS.items():
@@ -142,8 +171,11 @@ def propose(docs: DataFrame, text: str = "text") -> DataFrame:
     rows = rows.withColumns(hits)
     rows = rows.withColumns({f"_gaps_{k}": F.when(F.size(f"_hits_{k}") > 0, F.split(body, p, -1)).otherwise(none) for k, p in PATTERNS.items()})
     rows = rows.withColumns({f"_listed_{k}": _listed(k, F.col(f"_hits_{k}"), F.col(f"_gaps_{k}")) for k in KINDS})
-    rows = rows.withColumns({f"_ends_{k}": _ends(F.col(f"_listed_{k}")) for k in KINDS})
-    return rows.select(*kept, F.concat(*(_placed(k, F.col(f"_listed_{k}"), F.col(f"_ends_{k}")) for k in KINDS)).alias("candidates"))
+    rows = rows.withColumns({f"_lengths_{k}": F.transform(f"_listed_{k}", lambda s: s["gap"] + s["own"]) for k in KINDS})
+    rows = rows.withColumns({f"_blocks_{k}": _blocks(F.col(f"_lengths_{k}"), add) for k in KINDS})
+    rows = rows.withColumns({f"_before_{k}": _before(F.col(f"_blocks_{k}"), add) for k in KINDS})
+    ends = {k: _joined(F.col(f"_blocks_{k}"), F.col(f"_before_{k}"), add) for k in KINDS}
+    return rows.select(*kept, F.concat(*(_placed(k, F.col(f"_listed_{k}"), ends[k]) for k in KINDS)).alias("candidates"))
 
 
 def _log_odds(weights: dict[Any, list[float]], totals: list[float], values: int) -> dict[Any, float]:
@@ -212,7 +244,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """Counts of each base kind, a digest of the base spans, and all spans as a string."""
+    """Counts of each base kind and of all spans, a digest of the base spans, and all spans as a string."""
 
     def name(s: Column) -> Column:
         return F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
@@ -221,6 +253,7 @@ def digests(docs: DataFrame) -> DataFrame:
     joined = lambda spans: F.array_join(F.transform(spans, name), ",")
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
     counts = [(F.size("spans") - F.size(F.array_remove(F.col("spans")["kind"], k))).cast("long").alias(f"n_{k}") for k in BASE]
+    counts.append(F.size("spans").cast("long").alias("n_spans"))
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
@@ -231,17 +264,26 @@ def redact(docs: DataFrame, text: str = "text", n_chars: str = "n_chars") -> Dat
     """
     model = train(materialize(propose(docs.select(F.col(text).alias("text")), "text").drop("text")))
     proposed = propose(docs, text)
-    chosen = F.sort_array(F.transform(F.filter("candidates", lambda c: personal(c, model)), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"))))
-    rows = proposed.select(*docs.columns, chosen.alias("_spans"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-
-    def step(a: Column, s: Column) -> Column:
-        piece = F.substr(F.col(text), a["at"] + 1, s["start"] - a["at"])
-        grown = F.concat(a["parts"], F.array(piece, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))
-        fresh = s["start"] >= a["at"]
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(fresh, grown).otherwise(a["parts"]).alias("parts"))
-
-    done = F.aggregate("_spans", start, step, lambda a: F.concat(F.array_join(a["parts"], ""), F.substr(F.col(text), a["at"] + 1)))
+    chosen = F.transform(F.filter("candidates", lambda c: personal(c, model)), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind")))
+    rows = proposed.select(*docs.columns, F.sort_array(chosen).alias("_spans"))
+    further = lambda a, b: F.greatest(a, b)
+    rows = rows.withColumn("_stops", F.col("_spans")["end"])
+    rows = rows.withColumn("_blocks", _blocks(F.col("_stops"), further))
+    rows = rows.withColumn("_before", _before(F.col("_blocks"), further))
+    rows = rows.withColumn("_ends", F.concat(F.array(F.lit(0)), _joined(F.col("_blocks"), F.col("_before"), further)))
+    rows = rows.withColumn("_chunks", F.when(F.size("_spans") > 0, F.regexp_extract_all(F.col(text), F.lit("(?s).{1,%d}" % CHUNK), F.lit(0))))
+
+    def part(start: Column, end: Column) -> Column:
+        first, last = F.floor(start / CHUNK).cast("int"), F.floor(end / CHUNK).cast("int")
+        near = F.array_join(F.slice("_chunks", first + 1, last - first + 1), "")
+        return F.substr(near, start - first * CHUNK + 1, end - start)
+
+    # _ends has how far the spans before each one reach; a span that starts before that is inside.
+    zipped = F.arrays_zip(F.col("_spans").alias("s"), F.slice("_ends", 1, F.size("_spans")).alias("at"))
+    fresh = F.filter(zipped, lambda z: z["s"]["start"] >= z["at"])
+    parts = F.transform(fresh, lambda z: F.concat(part(z["at"], z["s"]["start"]), F.lit("["), F.upper(z["s"]["kind"]), F.lit("]")))
+    reach = F.element_at("_ends", F.lit(-1))
+    done = F.concat(F.array_join(parts, ""), part(reach, F.char_length(F.col(text))))
     rows = rows.withColumn("_text", F.when(F.size("_spans") > 0, done).otherwise(F.col(text)))
     new = {text: F.col("_text")} | ({n_chars: F.char_length("_text").cast(docs.schema[n_chars].dataType)} if n_chars in docs.columns else {})
     return rows.select(*(new.get(c, F.col(c)).alias(c) for c in docs.columns))

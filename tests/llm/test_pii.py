@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from quire.llm import pii
 
@@ -87,3 +88,30 @@ def test_redaction_keeps_the_rest(spark):
     assert (out[2].text, out[3].text) == ("nothing here", None)
     assert out[4].text == "call +[CARD] now"
     assert pii.redact(docs.limit(0)).collect() == []
+
+
+def test_many_candidates_take_time_in_proportion(spark):
+    """A table of numbers of 1 MB, and 60,000 addresses, also with spans that overlap across blocks."""
+    texts = ["12,34," * 170_000, "1.2.3.4 " * 60_000, "😀 a@b.cd " * 1_000 + "+4111111111111111 " * 700]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    began = time.time()
+    found = {r.doc_id: r for r in pii.digests(docs).collect()}
+    out = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert time.time() - began < 90
+    for i, text in enumerate(texts):
+        want = brute(text)
+        assert found[i].n_spans == len(want) and found[i].base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+    assert out[0] == texts[0] and out[1] == "[IP] " * 60_000
+    assert out[2] == "😀 [EMAIL] " * 1_000 + "+[CARD] " * 700
+
+
+def test_secrets_and_clean_documents_of_a_larger_table(spark):
+    """At least nine of ten planted secrets are found, and nine of ten documents without any are left alone."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").where("doc_id % 3 = 0")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    found = {r.doc_id: r for r in pii.digests(docs).collect()}
+    planted = {i for i, t in texts.items() if re.search(r'(?i)token = "[0-9a-f]{40}"', t or "")}
+    assert len(planted) > 30 and sum("secret:" in found[i].spans for i in planted) >= 0.9 * len(planted)
+    clean = [i for i, t in texts.items() if i not in planted and not brute(t)]
+    assert sum(found[i].n_spans == 0 for i in clean) >= 0.9 * len(clean)
+    assert all(r.n_spans == len([s for s in r.spans.split(",") if s]) for r in found.values())

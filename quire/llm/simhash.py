@@ -32,10 +32,10 @@ BITS = 64
 SEGMENTS = 16
 #: Fingerprints a text in near_copies, their bits and segments, and the longest words that they
 #: leave out. At a similarity of 0.8 one of 48 bits is within two bits for about a third of pairs,
-#: one of 64 for a sixth; unlike texts meet by chance once in 10^11 pairs.
-BANDS = 12
+#: one of 64 for a sixth. Segments of three bits make cells that unlike texts seldom share.
+BANDS = 9
 BAND_BITS = 48
-BAND_SEGMENTS = 12
+BAND_SEGMENTS = 16
 SHORT = 4
 #: Partners of a text that are compared with one copy of it.
 SHARED = 32

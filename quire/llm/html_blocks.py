@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import Any, NamedTuple
 
@@ -176,42 +177,67 @@ def _context(name: str, attributes: str) -> tuple[int, bool]:
     role = given.get("role", "").lower()
     hidden = "hidden" in given or given.get("aria-hidden", "").lower() == "true" or "display:none" in given.get("style", "").replace(" ", "").lower()
     marks = name in ARTICLE_TAGS or role in ("main", "article") or given.get("itemprop", "").lower() == "articlebody"
-    named = bool(names & CHROME_NAMES) and name not in ("html", "body") and not marks
+    named = bool(names & CHROME_NAMES) and not ARTICLE_NAMES & set(tokens) and name not in ("html", "body") and not marks
     return 2 if name in CHROME_TAGS or role in CHROME_ROLES or hidden else int(named), marks
 
 
+class _Open(NamedTuple):
+    """An open element, with what it and the elements around it say together."""
+
+    name: str
+    hard: bool
+    soft: bool
+    article: bool
+    header: bool
+    heading: bool
+    skipped: bool
+    link: bool
+
+
+_ROOT = _Open("", False, False, False, False, False, False, False)
+
+
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order, with what encloses each."""
     out: list[Block] = []
-    stack: list[tuple[str, int, bool]] = []  # name, furniture, article
+    stack: list[_Open] = []
+    open_names: Counter[str] = Counter()
     text: list[str] = []
     linked: list[str] = []
 
     def flush() -> None:
         words = html.unescape("".join(text)).split()
         if words:
-            article = any(s[2] for s in stack)
-            mark = max((i for i, s in enumerate(stack) if s[2]), default=0)
-            chrome = any(s[1] > (i < mark) for i, s in enumerate(stack))  # a name outside an article ends at its mark
-            header = not chrome and any(s[0] == "header" for s in stack)
-            heading = any(s[0] in HEADINGS for s in stack)
-            chrome = chrome or (header and not (article and heading))
-            out.append(Block(" ".join(words), len(words), len(html.unescape(" ".join(linked)).split()), chrome, article, heading))
+            top = stack[-1] if stack else _ROOT
+            chrome = top.hard or top.soft or (top.header and not (top.article and top.heading))
+            out.append(Block(" ".join(words), len(words), len(html.unescape(" ".join(linked)).split()), chrome, top.article, top.heading))
         text.clear()
         linked.clear()
 
     def say(raw: str) -> None:
-        if raw and not any(s[0] in SKIPPED_TAGS for s in stack):
+        if raw and not (stack and stack[-1].skipped):
             text.append(raw)
-            if any(s[0] == "a" for s in stack):
+            if stack and stack[-1].link:
                 linked.append(raw)
 
+    def push(name: str, attributes: str) -> None:
+        above = stack[-1] if stack else _ROOT
+        furniture, mark = _context(name, attributes)
+        soft = furniture > 0 or (above.soft and not mark)  # a name outside an article ends at its mark
+        is_header = above.header or name == "header"
+        stack.append(_Open(name, above.hard or furniture == 2, soft, above.article or mark, is_header, above.heading or name in HEADINGS, above.skipped or name in SKIPPED_TAGS, above.link or name == "a"))
+        open_names[name] += 1
+
     def close(names: str | frozenset[str], stop: str = "") -> None:
+        if not any(open_names[n] for n in (names.split() if isinstance(names, str) else names)):
+            return
+        ends = stop.split()
         for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in names:
+            if stack[i].name in names:
+                open_names.subtract(s.name for s in stack[i:])
                 del stack[i:]
                 return
-            if stack[i][0] in stop.split():
+            if stack[i].name in ends:
                 return
 
     at, end = 0, len(page)
@@ -242,22 +268,25 @@ def blocks(page: str) -> list[Block]:
         if name == "body":
             close(frozenset(["head"]))
         if name in BLOCK_TAGS and name != "html":
-            close(frozenset("p"), "td th article section div li body button") if stack and any(s[0] == "p" for s in stack) else None
+            close(frozenset("p"), "td th article section div li body button")
         if name in IMPLIED_ENDS:
             ended, until = IMPLIED_ENDS[name]
             close(frozenset(ended.split()), until)
-        if name in HEADINGS and stack and stack[-1][0] in HEADINGS:
-            stack.pop()
+        if name in HEADINGS and stack and stack[-1].name in HEADINGS:
+            open_names[stack.pop().name] -= 1
         if name == "a":
             close(frozenset("a"), "table td")
         if not m[3].rstrip().endswith("/") or name in BLOCK_TAGS:
-            stack.append((name, *_context(name, m[3])))
+            push(name, m[3])
     flush()
     return out
 
 
 def main_text(page: str | None, tree: Any) -> str:
-    """The article's blocks joined by a line feed; empty if there are none."""
+    """The article's blocks joined by a line feed; empty if there are none.
+
+    Blocks inside a marked article and outside furniture always stay; the tree decides the others.
+    """
     found = blocks(page or "")
     marked = any(b.article and not b.chrome for b in found)
     ends = Block("", 0, 0, False, False, False)
@@ -265,7 +294,7 @@ def main_text(page: str | None, tree: Any) -> str:
     for before, b, after in zip([ends, *found], found, [*found[1:], ends]):
         around = [x for n in (b, before, after) for x in (n.words, n.linked / max(1, n.words))]
         features = (*around, float(b.chrome), float(b.article), float(marked and not b.article), float(b.heading))
-        if decide(tree, features):
+        if (b.article and not b.chrome) or decide(tree, features):
             kept.append(b.text)
     return "\n".join(kept)
 

@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 from quire.llm import html_blocks
 
@@ -63,3 +64,18 @@ def test_article_in_a_wrapper_named_like_furniture():
     assert text(f"<body><aside><article><p>{LONG}</p></article></aside><div class=sidebar><p>{LONG}</p></div></body>") == ""
     for name in ("sidebar-left", "is-hidden", "visually-hidden", "js-cookie-banner", "navbar-fixed-top", "cookieNotice"):
         assert text(f'<body><div class="{name}"><p>{LONG}</p></div><div><p>{MORE}</p><p>{LONG}</p></div></body>') == "\n".join([MORE, LONG]), name
+
+
+def test_all_blocks_of_a_marked_article_stay():
+    assert text(f"<article><h1>Storm hits coast</h1><p><a href=/m>Full map</a></p><p>{LONG}</p></article>") == "\n".join(["Storm hits coast", "Full map", LONG])
+    assert text(f"<article><p>By Ann.</p><p><a href=/x>{MORE}</a></p><p>{LONG}</p></article>") == "\n".join(["By Ann.", MORE, LONG])
+    assert text(f'<body><div class="content share"><p>{LONG}</p><p>{MORE}</p></div></body>') == "\n".join([LONG, MORE])
+    assert text(f'<body><div class="comment-content"><p>{LONG}</p></div><div><p>{MORE}</p><p>{LONG}</p></div></body>') == "\n".join([MORE, LONG])
+
+
+def test_deep_and_unclosed_tags_take_time_in_proportion():
+    began = time.time()
+    assert text("<article>" + "<div>word " * 100_000).count("word") == 100_000
+    assert text("<article>" + "<b>" * 100_000 + "word" + "</i></p>" * 100_000) == "word"
+    assert text("<article>" + "<p>word" * 100_000).count("word") == 100_000
+    assert time.time() - began < 30

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # Leading currency symbols and their ISO codes; ambiguous ones have none.
 CURRENCIES = {"£": "GBP", "€": "EUR", "₹": "INR", "₩": "KRW", "₽": "RUB", "$": None, "¥": None}
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+MONTH_NAMES = "january february march april may june july august september october november december".split()
 _SPACES = "[\\u00A0\\u202F]"
 
 
@@ -62,7 +63,8 @@ def _plain_number(text: Column) -> Column:
 def _iso_date(text: Column) -> Column:
     """The ISO date that a text spells: ISO, day month-name year, or month-name day, year."""
     iso = F.when(text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), text)
-    day_first, month_first = r"^([0-9]{1,2}) ([A-Za-z]{3,9})\.? ([0-9]{4})$", r"^([A-Za-z]{3,9})\.? ([0-9]{1,2}), ([0-9]{4})$"
+    names = "|".join(f"{m[:3]}(?:{m[3:]})?" for m in MONTH_NAMES)
+    day_first, month_first = rf"(?i)^([0-9]{{1,2}}) ({names})\.? ([0-9]{{4}})$", rf"(?i)^({names})\.? ([0-9]{{1,2}}), ([0-9]{{4}})$"
     month = lambda name: F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.left(name, F.lit(3))))
     build = lambda y, m, d: F.concat_ws("-", y, F.lpad(m.cast("string"), 2, "0"), F.lpad(d, 2, "0"))
     one = F.when(text.rlike(day_first), build(F.regexp_extract(text, day_first, 3), month(F.regexp_extract(text, day_first, 2)), F.regexp_extract(text, day_first, 1)))

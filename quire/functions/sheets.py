@@ -65,7 +65,7 @@ def format_kind(code: Column) -> Column:
     """
     first = F.regexp_replace(F.lower(F.split_part(F.regexp_replace(code, r'"[^"]*"|\\.|_.|\*.', ""), F.lit(";"), F.lit(1))), r"general", "")
     bare = F.regexp_replace(first, r"\[(?!h+\]|m+\]|s+\])[^\]]*\]", "")
-    money = first.rlike(r"[£€₹₩₽$¥]")
+    money = F.regexp_replace(first, r"\[\$-[^\]]*\]", "").rlike(r"\p{Sc}")  # a bracket with a locale alone has no symbol
     day, clock = bare.rlike(r"[yd]|(?<![hs:])m{3,}|^[^hs:]*m[^hs:]*$") & bare.rlike("[ydm]"), bare.rlike(r"[hs]")
     return (
         F.when(bare.rlike(r"\[[hms]+\]"), "elapsedTime").when(day & clock, "dateTime").when(day, "date").when(clock, "time")

@@ -70,3 +70,12 @@ def test_csv_fields_and_order_keys(spark):
     df = spark.createDataFrame([(keys[0], keys[1]), ("00000001", "00000002")], "a string, b string")
     for r in df.select("a", "b", sheets.order_key_between(F.col("a"), F.col("b")).alias("m")).collect():
         assert r.a < r.m < r.b
+
+
+def test_month_names_and_locale_brackets(spark):
+    rows = [("12 Marble 2024", None), ("12 March 2024", "2024-03-12"), ("12 Mar 2024", "2024-03-12"), ("Sept 1, 2024", None), ("September 1, 2024", "2024-09-01"), ("MAY 3, 2024", "2024-05-03")]
+    found = {r.t: r.d for r in spark.createDataFrame(rows, "t string, want string").select("t", cells._iso_date(F.col("t")).alias("d")).collect()}
+    assert found == dict(rows)
+    codes = [("[$-809]0.00", "number"), ("[$€-407]0.00", "currency"), ("₺0.00", "currency"), ("$0", "currency")]
+    kinds = {r.t: r.k for r in spark.createDataFrame(codes, "t string, want string").select("t", sheets.format_kind(F.col("t")).alias("k")).collect()}
+    assert kinds == dict(codes)

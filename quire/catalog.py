@@ -27,3 +27,4 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 def load() -> None:
     """Import the modules that register queries."""
     importlib.import_module("quire.plans.queries")
+    importlib.import_module("quire.plans.structure")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, types as T
 from pyspark.sql import functions as F
 
@@ -40,6 +42,11 @@ def sort_key(column: Column, kind: T.DataType) -> Column:
     return F.encode(value, "UTF-16BE") if comparison_class(kind) == "text" else value
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value evaluated once a row, however often use names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def normalized(text: Column) -> Column:
     """Text without surrounding spaces, no-break spaces counting as spaces."""
     return F.trim(F.regexp_replace(text, _SPACES, " "))
@@ -48,29 +55,29 @@ def normalized(text: Column) -> Column:
 def _plain_number(text: Column) -> Column:
     """The number that a text spells, null where a spelling is declined.
 
-    Declined are leading zeros, a lone comma group (1,234 may be a decimal), exponents, and
-    more digits than a double holds.
+    Declined are leading zeros, a lone comma group (1,234 may be a decimal), exponents, minus
+    zero, and digits that a double does not give back.
     """
-    simple = text.rlike(r"^[+-]?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?$")
-    grouped = text.rlike(r"^[+-]?[1-9][0-9]{0,2}(?:,[0-9]{3})+(?:\.[0-9]+)?$")
-    lone = text.rlike(r"^[+-]?[1-9][0-9]{0,2},[0-9]{3}$")
-    digits = F.regexp_replace(F.regexp_replace(text, "[^0-9.]", ""), r"^0+(?=[0-9])", "")
-    significant = F.char_length(F.regexp_replace(F.regexp_replace(digits, r"\.0*$", ""), r"[^0-9]", ""))
-    fits = significant <= 15
-    return F.when((simple | (grouped & ~lone)) & fits, F.regexp_replace(text, ",", "").try_cast("double"))
+    spelled = text.rlike(r"^[+-]?(?:(?:0|[1-9][0-9]*)|(?![+-]?[0-9]{1,3},[0-9]{3}$)[1-9][0-9]{0,2}(?:,[0-9]{3})+)(?:\.[0-9]+)?$")
+    significant = F.char_length(F.regexp_replace(text, r"^[+-]?0?\.?0*|\.0*$|[^0-9]", ""))
+    bare = F.regexp_replace(text, r"[,+]|\.0+$|(?<=\.[0-9]{1,400})0+$", "")
+    given = lambda v: ((significant <= 15) | (number_text(v) == bare)) & ~((v == 0) & text.startswith("-"))
+    return F.when(spelled, once(F.replace(text, F.lit(","), F.lit("")).try_cast("double"), lambda v: F.when(given(v), v)))
 
 
 def _iso_date(text: Column) -> Column:
     """The ISO date that a text spells: ISO, day month-name year, or month-name day, year."""
-    iso = F.when(text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), text)
     names = "|".join(f"{m[:3]}(?:{m[3:]})?" for m in MONTH_NAMES)
-    day_first, month_first = rf"(?i)^([0-9]{{1,2}}) ({names})\.? ([0-9]{{4}})$", rf"(?i)^({names})\.? ([0-9]{{1,2}}), ([0-9]{{4}})$"
+    day_first, month_first = rf"(?i)^([0-9]{{1,2}})[\s-]({names})\.?[\s-]([0-9]{{4}})$", rf"(?i)^({names})\.?[\s-]([0-9]{{1,2}}),?[\s-]([0-9]{{4}})$"
     month = lambda name: F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.left(name, F.lit(3))))
     build = lambda y, m, d: F.concat_ws("-", y, F.lpad(m.cast("string"), 2, "0"), F.lpad(d, 2, "0"))
-    one = F.when(text.rlike(day_first), build(F.regexp_extract(text, day_first, 3), month(F.regexp_extract(text, day_first, 2)), F.regexp_extract(text, day_first, 1)))
-    two = F.when(text.rlike(month_first), build(F.regexp_extract(text, month_first, 3), month(F.regexp_extract(text, month_first, 1)), F.regexp_extract(text, month_first, 2)))
-    spelled = F.coalesce(iso, one, two)
-    return F.when(F.try_to_timestamp(spelled, F.lit("yyyy-MM-dd")).isNotNull(), spelled)
+    part = lambda pattern, n: F.regexp_extract(text, pattern, n)
+    spelled = (
+        F.when(text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), text)
+        .when(text.rlike(day_first), build(part(day_first, 3), month(part(day_first, 2)), part(day_first, 1)))
+        .when(text.rlike(month_first), build(part(month_first, 3), month(part(month_first, 1)), part(month_first, 2)))
+    )
+    return once(spelled, lambda d: F.when(F.try_to_timestamp(d, F.lit("yyyy-MM-dd")).isNotNull(), d))
 
 
 def infer_cell(text: Column) -> Column:
@@ -80,25 +87,31 @@ def infer_cell(text: Column) -> Column:
     all else is a string, and null or empty text an empty cell. Yes, no, on and off stay text,
     and so do numeric dates with slashes or dots.
     """
-    t = normalized(text)
-    boolean = F.lower(t).isin("true", "false")
-    date = _iso_date(t)
-    money = r"^(-?)([£€₹₩₽$¥]) ?([0-9].*)$"
-    amount = F.when(t.rlike(money), _plain_number(F.concat(F.regexp_extract(t, money, 1), F.regexp_extract(t, money, 3))))
+    money = r"^(-?)([£€₹₩₽$¥])\s?([-+]?[0-9].*)$"
     table = F.create_map(*(F.lit(x) for pair in CURRENCIES.items() for x in pair))
-    percent = F.when(t.endswith("%"), _plain_number(F.rtrim(F.regexp_replace(t, "%$", ""))) / 100)
-    number = _plain_number(t)
-    kind = (
-        F.when(F.coalesce(text, F.lit("")) == "", "empty").when(boolean, "boolean").when(date.isNotNull(), "date")
-        .when(amount.isNotNull(), "currency").when(percent.isNotNull(), "percentage").when(number.isNotNull(), "number").otherwise("string")
-    )
-    return F.struct(
-        kind.alias("kind"),
-        F.when(~boolean & date.isNull(), F.coalesce(amount, percent, number)).alias("num"),
-        F.when(boolean, F.lower(t) == "true").alias("bool"),
-        F.when(kind == "date", date).when(kind == "string", text).alias("text"),
-        F.when(kind == "currency", table[F.regexp_extract(t, money, 2)]).alias("currency"),
-    )
+
+    def spelled(t: Column) -> Column:
+        """struct(date, symbol, percent, digits): what the kinds are judged by; digits is what may spell a number."""
+        symbol = F.regexp_extract(t, money, 2)
+        digits = F.when(symbol != "", F.regexp_extract(t, money, 3)).when(t.endswith("%"), F.rtrim(F.regexp_replace(t, "%$", ""))).otherwise(t)
+        sign = F.when((symbol != "") & t.startswith("-"), -1).otherwise(1)
+        return F.struct(t.alias("t"), _iso_date(t).alias("date"), symbol.alias("symbol"), (sign * once(digits, _plain_number)).alias("number"))
+
+    def typed(raw: Column, s: Column) -> Column:
+        lower = F.lower(s["t"])
+        kind = (
+            F.when(F.coalesce(raw, F.lit("")) == "", "empty").when(lower.isin("true", "false"), "boolean").when(s["date"].isNotNull(), "date")
+            .when(s["number"].isNull(), "string").when(s["symbol"] != "", "currency").when(s["t"].endswith("%"), "percentage").otherwise("number")
+        )
+        return once(kind, lambda k: F.struct(
+            k.alias("kind"),
+            F.when(k == "percentage", s["number"] / 100).when(k.isin("currency", "number"), s["number"]).alias("num"),
+            F.when(k == "boolean", lower == "true").alias("bool"),
+            F.when(k == "date", s["date"]).when(k == "string", raw).alias("text"),
+            F.when(k == "currency", table[s["symbol"]]).alias("currency"),
+        ))
+
+    return once(text, lambda raw: once(once(normalized(raw), spelled), lambda s: typed(raw, s)))
 
 
 def number_text(value: Column) -> Column:

@@ -44,3 +44,27 @@ def autolinks(text: Column) -> Column:
 def leaf_text(runs: Column) -> Column:
     """The text of a paragraph from its runs: one after the other, nothing between."""
     return F.array_join(F.transform(runs, lambda r: F.coalesce(r["text"], F.lit(""))), "")
+
+
+def list_id(number: Column, ordered: Column, start: Column, task: Column, loose: Column) -> Column:
+    """The id of a list, such as md3:ordered@5+task: number, marker, a start other than 1, and its flags."""
+    kind = F.when(ordered, F.concat(F.lit("ordered"), F.when(start != 1, F.concat(F.lit("@"), start.cast("string"))).otherwise(""))).otherwise("bullet")
+    return F.concat(F.lit("md"), number.cast("string"), F.lit(":"), kind, F.when(task, "+task").otherwise(""), F.when(loose, "+loose").otherwise(""))
+
+
+def parse_list_id(text: Column) -> Column:
+    """struct(kind, start, task, loose) of such an id; null for any other text."""
+    pattern = r"^md[0-9]+:(bullet|ordered)(?:@([0-9]+))?(\+task)?(\+loose)?$"
+    part = lambda i: F.regexp_extract(text, pattern, i)
+    start = F.when(part(1) == "ordered", part(2).try_cast("int"))
+    return F.when(text.rlike(pattern), F.struct(part(1).alias("kind"), start.alias("start"), (part(3) != "").alias("task"), (part(4) != "").alias("loose")))
+
+
+def collapse_spaces(text: Column) -> Column:
+    """Text as an OpenDocument paragraph reads it: runs of white space are one space, the ends have none."""
+    return F.trim(F.regexp_replace(text, r"[ \t\r\n]+", " "))
+
+
+def base64_of(data: Column) -> Column:
+    """Bytes as base64 in one line."""
+    return F.replace(F.base64(data), F.lit("\r\n"), F.lit(""))

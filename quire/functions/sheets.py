@@ -17,11 +17,13 @@ def letters_to_index(letters: Column) -> Column:
 
 def index_to_letters(index: Column) -> Column:
     """The letters of a column index up to seven letters."""
-    n, out = index.cast("long") + 1, F.lit("")
-    for _ in range(7):
-        out = F.when(n > 0, F.concat(F.char(65 + F.pmod(n - 1, F.lit(26))), out)).otherwise(out)
-        n = F.when(n > 0, F.floor((n - 1) / 26)).otherwise(F.lit(0)).cast("long")
-    return F.when(index >= 0, out)
+    start = F.struct((index.cast("long") + 1).alias("n"), F.lit("").alias("out"))
+
+    def letter(a: Column, _: Column) -> Column:
+        before = F.struct(F.floor((a["n"] - 1) / 26).cast("long").alias("n"), F.concat(F.char(65 + F.pmod(a["n"] - 1, F.lit(26))), a["out"]).alias("out"))
+        return F.when(a["n"] > 0, before).otherwise(a)
+
+    return F.when(index >= 0, F.aggregate(F.sequence(F.lit(1), F.lit(7)), start, letter, lambda a: a["out"]))
 
 
 def parse_reference(reference: Column) -> Column:
@@ -96,3 +98,19 @@ def order_key_between(low: Column, high: Column, width: int = 8) -> Column:
     a, b = (F.conv(k, 36, 10).cast("long") for k in (low, high))
     middle = F.floor((a + b) / 2).cast("long")
     return F.when(b - a > 1, F.lpad(F.lower(F.conv(middle.cast("string"), 10, 36)), width, "0")).otherwise(F.concat(low, F.lit("i")))
+
+
+def parse_range(text: Column) -> Column:
+    """struct(top, left, bottom, right), from 0, of a range such as B2:D5 or a single reference, corners in any order."""
+    ends = F.split(text, ":", -1)
+    a, b = parse_reference(ends[0]), parse_reference(F.coalesce(F.get(ends, F.lit(1)), ends[0]))
+    corners = [f(a[c], b[c]).alias(n) for f, c, n in ((F.least, "row", "top"), (F.least, "column", "left"), (F.greatest, "row", "bottom"), (F.greatest, "column", "right"))]
+    return F.when(a.isNotNull() & b.isNotNull() & (F.size(ends) <= 2), F.struct(*corners))
+
+
+def unscaled(digits: Column, scale: int) -> Column:
+    """The exact decimal of a whole number's digits with the last ones after the point; null beyond 38 digits."""
+    bare = F.lpad(F.regexp_replace(digits, "^-", ""), F.greatest(F.char_length(digits), F.lit(scale + 1)), F.lit("0"))
+    split = F.char_length(bare) - scale
+    text = F.concat(F.when(digits.startswith("-"), "-").otherwise(""), F.substr(bare, F.lit(1), split), F.lit("."), F.substr(bare, split + 1))
+    return text.try_cast(f"decimal(38,{scale})")

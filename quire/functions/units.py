@@ -38,3 +38,30 @@ def colour(r: Column, g: Column, b: Column) -> Column:
 def heading_level(level: Column) -> Column:
     """A level within 1 to 6."""
     return F.greatest(F.lit(1), F.least(F.lit(6), F.floor(level + 0.5).cast("int")))
+
+
+def flip_y(y: Column, height: Column) -> Column:
+    """A position counted from the other end of a page of that height."""
+    return height - y
+
+
+def transform_point(matrix: Column, x: Column, y: Column) -> Column:
+    """struct(x, y): a point moved by struct(a, b, c, d, e, f), x' = ax + cy + e and y' = bx + dy + f."""
+    m = lambda n: matrix[n]
+    return F.struct((m("a") * x + m("c") * y + m("e")).alias("x"), (m("b") * x + m("d") * y + m("f")).alias("y"))
+
+
+def compose(first: Column, then: Column) -> Column:
+    """The matrix of one transform followed by another."""
+    p, q = lambda n: first[n], lambda n: then[n]
+    return F.struct(
+        (q("a") * p("a") + q("c") * p("b")).alias("a"), (q("b") * p("a") + q("d") * p("b")).alias("b"),
+        (q("a") * p("c") + q("c") * p("d")).alias("c"), (q("b") * p("c") + q("d") * p("d")).alias("d"),
+        (q("a") * p("e") + q("c") * p("f") + q("e")).alias("e"), (q("b") * p("e") + q("d") * p("f") + q("f")).alias("f"),
+    )
+
+
+def rotation(degrees: Column, x: Column, y: Column) -> Column:
+    """The matrix of a turn about the point (x, y)."""
+    cos, sin = F.cos(F.radians(degrees)), F.sin(F.radians(degrees))
+    return F.struct(cos.alias("a"), sin.alias("b"), (-sin).alias("c"), cos.alias("d"), (x - cos * x + sin * y).alias("e"), (y - sin * x - cos * y).alias("f"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.runtime import materialize
+
 # Line patterns of the block kinds, in the order in which they are tried.
 LINE_KINDS = {
     "blank": r"^[ \t]*$",
@@ -115,3 +117,21 @@ def sections_at(blocks: DataFrame, doc: str, order: str, starts: Column) -> Data
     running = Window.partitionBy(doc).orderBy(order)
     first = F.row_number().over(running) == 1
     return blocks.withColumn("_starts", (starts & ~first).cast("long")).withColumn("section", F.sum("_starts").over(running)).drop("_starts")
+
+
+def flatten(nodes: DataFrame, key: str, parent: str, ordinal: str) -> DataFrame:
+    """Add path, the ordinals from the root down; rows in the order of path are the tree in reading order.
+
+    Ways up double each round, so a depth of n takes log n joins. A parent that is not there
+    makes a node a root; a cycle is refused.
+    """
+    rows = materialize(nodes.select(F.col(key).alias("k"), F.array(F.col(ordinal).cast("long")).alias("path"), F.col(parent).alias("up")))
+    rounds = rows.count().bit_length() + 1
+    while rows.where("up IS NOT NULL").limit(1).count():
+        if not rounds:
+            raise ValueError(f"{parent} has a cycle")
+        above = rows.select(F.col("k").alias("up"), F.col("path").alias("_before"), F.col("up").alias("_next"))
+        joined = rows.join(above, "up", "left")
+        rows = materialize(joined.select("k", F.concat(F.coalesce("_before", F.array().cast("array<bigint>")), "path").alias("path"), F.col("_next").alias("up")))
+        rounds -= 1
+    return nodes.join(rows.select(F.col("k").alias(key), "path"), key)

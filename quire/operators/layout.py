@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,23 +58,23 @@ def assign_to_grid(points: DataFrame, bounds: DataFrame, keys: Sequence[str], va
 def lines_by_leader(items: DataFrame, keys: Sequence[str], y: str, size: str, order: str, share: float = 0.5) -> DataFrame:
     """Add line: an item joins the first line whose leader's baseline is within a share of its own size.
 
-    First fit depends on the order of items and does not chain, so it is not a window; groups
-    are the items of one page.
+    First fit depends on the order of items and does not chain, so it is not a window; the
+    items of one page are folded in one row of arrays.
     """
-    schema = items.select("*", F.lit(0).cast("long").alias("line")).schema
+    row = F.struct(*(F.col(c) for c in items.columns)).alias("r")
+    pages = items.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), row))).alias("_rows"))
+    start = F.struct(F.array().cast("array<double>").alias("leaders"), F.array().cast("array<bigint>").alias("out"))
 
-    def place(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(order, kind="stable")
-        leaders: list[float] = []
-        out = []
-        for at, height in zip(page[y], page[size]):
-            found = next((i for i, leader in enumerate(leaders) if abs(leader - at) <= share * height), len(leaders))
-            if found == len(leaders):
-                leaders.append(at)
-            out.append(found)
-        return page.assign(line=out)
+    def place(a: Column, item: Column) -> Column:
+        at, reach = item["r"][y].cast("double"), item["r"][size] * share
+        hit = F.array_position(F.transform(a["leaders"], lambda leader: F.abs(leader - at) <= reach), True)
+        line = F.when(hit > 0, hit - 1).otherwise(F.size(a["leaders"]))
+        leaders = F.when(hit > 0, a["leaders"]).otherwise(F.array_append(a["leaders"], at))
+        return F.struct(leaders.alias("leaders"), F.array_append(a["out"], line.cast("long")).alias("out"))
 
-    return items.groupBy(*keys).applyInPandas(place, schema)
+    placed = pages.select("_rows", F.aggregate("_rows", start, place, lambda a: a["out"]).alias("_lines"))
+    listed = placed.select(F.explode(F.arrays_zip("_rows", "_lines")).alias("z"))
+    return listed.select("z._rows.r.*", F.col("z._lines").alias("line"))
 
 
 def boundaries(rules: DataFrame, keys: Sequence[str], slack: float = 0.5, least: float = 4.0) -> DataFrame:
@@ -110,3 +109,64 @@ def lattice(rules: DataFrame, keys: Sequence[str], least_lines: int = 3) -> Data
     rows = counted.where("axis = 'y'").select(*keys, F.col("n").alias("row"), F.col("at").alias("y1"), F.col("next").alias("y2"))
     columns = counted.where("axis = 'x'").select(*keys, F.col("n").alias("column"), F.col("at").alias("x1"), F.col("next").alias("x2"))
     return rows.join(columns, list(keys)).select(*keys, "row", "column", "x1", "y1", "x2", "y2")
+
+
+def paragraphs(lines: DataFrame, keys: Sequence[str], y: str, x: str, size: str, order: str, gap: float = 1.25) -> DataFrame:
+    """Add paragraph: a new one, from 0, where the step down, the size or the indent of a line breaks from the one before.
+
+    The step is measured against gap times the page's most common step, sizes are close within
+    half a point, and an indent is more than one em off the page's most common left edge after
+    a line that is at that edge. y falls down the page. Windows are within a page.
+    """
+    along = Window.partitionBy(*keys).orderBy(order)
+    step = lines.withColumn("_step", F.lag(y).over(along) - F.col(y))
+    spacing = modes(step.where("_step > 0"), keys, "_step").select(*keys, F.col("mode").alias("_spacing"))
+    edges = modes(lines, keys, x).select(*keys, F.col("mode").alias("_edge"))
+    known = step.join(spacing, list(keys), "left").join(edges, list(keys), "left")
+    off = F.abs(F.col(x) - F.col("_edge"))
+    indented = (off > F.col(size)) & (F.abs(F.lag(x).over(along) - F.col("_edge")) <= F.col(size))
+    breaks = (F.col("_step") > gap * F.coalesce("_spacing", "_step")) | (F.abs(F.col(size) - F.lag(size).over(along)) > 0.5) | indented
+    return runs_by_gap(known, keys, [order], breaks).withColumnRenamed("run", "paragraph").drop("_step", "_spacing", "_edge")
+
+
+def spaced_text(items: DataFrame, keys: Sequence[str], x: str, width: str, size: str, text: str, order: Sequence[str], tab: float = 2.0, space: float = 0.5) -> DataFrame:
+    """(keys, text): a line's items in order; a gap over tab em gives a tab, one over space points a space."""
+    along = Window.partitionBy(*keys).orderBy(x, *order)
+    gap = F.col(x) - F.lag(F.col(x) + F.coalesce(F.col(width), F.lit(0.0))).over(along)
+    between = F.when(gap > tab * F.col(size), "\t").when(gap > space, " ").otherwise("")
+    parts = items.select(*keys, F.struct(F.row_number().over(along).alias("n"), F.concat(between, F.coalesce(F.col(text), F.lit(""))).alias("t")).alias("_p"))
+    ordered = F.transform(F.sort_array(F.collect_list("_p")), lambda p: p["t"])
+    return parts.groupBy(*keys).agg(F.array_join(ordered, "").alias("text"))
+
+
+def page_bands(rows: DataFrame, keys: Sequence[str], order: str, size: str, room: float, breaks: str | None = None) -> DataFrame:
+    """Add band: rows fill pages of that room in order; one that no longer fits, or a manual break, opens the next.
+
+    A row larger than the room has a band to itself. The fill depends on all rows before, so
+    each group's rows (one sheet's) are folded in one row of arrays.
+    """
+    fields = [F.col(order).alias("o"), F.col(size).cast("double").alias("s"), (F.col(breaks) if breaks else F.lit(False)).alias("b")]
+    sheets = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("_rows"))
+    start = F.struct(F.lit(-1).cast("long").alias("band"), F.lit(0.0).alias("used"), F.array().cast("array<bigint>").alias("out"))
+
+    def fill(a: Column, r: Column) -> Column:
+        fresh = (a["band"] < 0) | r["b"] | (a["used"] + r["s"] > room)
+        band = F.when(fresh, a["band"] + 1).otherwise(a["band"])
+        return F.struct(band.alias("band"), F.when(fresh, r["s"]).otherwise(a["used"] + r["s"]).alias("used"), F.array_append(a["out"], band).alias("out"))
+
+    filled = sheets.select(*keys, "_rows", F.aggregate("_rows", start, fill, lambda a: a["out"]).alias("_bands"))
+    listed = filled.select(*keys, F.explode(F.arrays_zip("_rows", "_bands")).alias("z"))
+    return listed.select(*keys, F.col("z._rows.o").alias(order), F.col("z._bands").alias("band"))
+
+
+def paint_order(vectors: DataFrame, shapes: DataFrame, page: str, order: str, own: str) -> DataFrame:
+    """Vectors and shapes of each page as one list with place, from 0, back to front.
+
+    Sorted by the order column where every item of the page has one, else vectors before
+    shapes; own gives the order within each table and among equals. Both need the same columns.
+    """
+    both = vectors.withColumn("kind", F.lit("vector")).unionByName(shapes.withColumn("kind", F.lit("shape")))
+    whole = F.count(order).over(Window.partitionBy(page)) == F.count("*").over(Window.partitionBy(page))
+    gated = both.withColumn("_order", F.when(whole, F.col(order)))
+    place = F.row_number().over(Window.partitionBy(page).orderBy("_order", F.col("kind") == "shape", own)) - 1
+    return gated.withColumn("place", place.cast("long")).drop("_order")

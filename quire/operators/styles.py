@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.runtime import materialize
@@ -38,3 +38,22 @@ def common_tuples(rows: DataFrame, keys: Sequence[str], properties: Sequence[str
     """(keys, properties, n, first): property tuples that occur at least twice, for style tables."""
     counts = rows.groupBy(*keys, *properties).agg(F.count("*").alias("n"), F.min(order).alias("first"))
     return counts.where("n >= 2")
+
+
+def chain_edges(rows: DataFrame, ref: str, styles: DataFrame, key: str, parent: str) -> DataFrame:
+    """Rows once for each style of the chain that they name, with style and place: 0 for the outermost.
+
+    One join a level of the longest chain; a chain that meets a style again is refused.
+    """
+    known = materialize(styles.select(F.col(key).alias("_k"), F.col(parent).alias("_up")))
+    longest = known.count()
+    step = materialize(rows.where(F.col(ref).isNotNull()).join(known, F.col(ref) == F.col("_k")).select(*rows.columns, F.col("_k").alias("style"), "_up", F.lit(0).alias("_depth")))
+    found, depth = step, 0
+    while step.where("_up IS NOT NULL").limit(1).count():
+        depth += 1
+        if depth > longest:
+            raise ValueError(f"{parent} has a cycle")
+        step = materialize(step.drop("style").withColumnRenamed("_up", "_ref").join(known, F.col("_ref") == F.col("_k")).select(*rows.columns, F.col("_k").alias("style"), "_up", F.lit(depth).alias("_depth")))
+        found = found.unionByName(step)
+    outermost = F.max("_depth").over(Window.partitionBy(*rows.columns))
+    return found.select(*rows.columns, "style", (outermost - F.col("_depth")).cast("int").alias("place"))

@@ -317,7 +317,25 @@ def md_line_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy(documents.line_kind(F.col("line")).alias("kind")).agg(F.count("*").alias("n"))
 
 
-@register("md_blocks")
+@register(
+    "md_blocks",
+    r"""WITH l AS (SELECT doc_id AS doc, string_split_regex(text, '\r\n|\r|\n') AS ls FROM documents),
+             lines AS (SELECT doc, unnest(ls) AS line, CAST(generate_subscripts(ls, 1) - 1 AS INTEGER) AS line_no FROM l),
+             kinds AS (SELECT *, CASE WHEN regexp_full_match(line, '[ \t]*') THEN 'blank' WHEN regexp_matches(line, '^ {0,3}#{1,6}([ \t]|$)') THEN 'heading'
+                   WHEN regexp_full_match(line, ' {0,3}((\*[ \t]*){3,}|(-[ \t]*){3,}|(_[ \t]*){3,})') THEN 'thematicBreak' WHEN regexp_full_match(line, ' {0,3}(`{3,}[^`]*|~{3,}.*)') THEN 'codeFence'
+                   WHEN regexp_matches(line, '^ {0,3}>') THEN 'blockquote' WHEN regexp_matches(line, '^ {0,3}([-+*]|[0-9]{1,9}[.)])([ \t]|$)') THEN 'listItem'
+                   WHEN regexp_matches(line, '^ {0,3}<([A-Za-z][A-Za-z0-9-]*[ \t/>]|/[A-Za-z]|!--|\?)') THEN 'htmlBlock' WHEN regexp_full_match(line, ' {0,3}\|.*\|[ \t]*') THEN 'tableRow'
+                   WHEN regexp_matches(line, '^(    |\t)') THEN 'codeBlock' ELSE 'paragraph' END AS kind0 FROM lines),
+             fences AS (SELECT *, coalesce(sum(CAST(kind0 = 'codeFence' AS INT)) OVER (PARTITION BY doc ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS fenced FROM kinds),
+             owned AS (SELECT *, CASE WHEN fenced OR kind0 = 'codeFence' THEN 'codeBlock' ELSE kind0 END AS own FROM fences),
+             seen AS (SELECT *, lag(own) OVER w AS before, lag(fenced) OVER w AS was_fenced, lag(kind0) OVER w AS was FROM owned WINDOW w AS (PARTITION BY doc ORDER BY line_no)),
+             starts AS (SELECT *, NOT coalesce(((own IN ('paragraph', 'blockquote', 'tableRow', 'htmlBlock', 'codeBlock') AND before = own) OR (own = 'paragraph' AND before IN ('blockquote', 'listItem', 'htmlBlock')))
+                   AND NOT (kind0 = 'codeFence' AND NOT fenced) AND NOT (before = 'codeBlock' AND was_fenced AND was = 'codeFence'), false) AS opens FROM seen),
+             blocks AS (SELECT *, CAST(sum(CAST(opens AS INT)) OVER (PARTITION BY doc ORDER BY line_no) - 1 AS BIGINT) AS block FROM starts)
+        SELECT doc, block, arg_min(own, line_no) AS kind, CASE WHEN arg_min(own, line_no) = 'heading' THEN CAST(length(regexp_extract(trim(arg_min(line, line_no)), '^#+')) AS INTEGER) END AS level,
+               min(line_no) AS first_line, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY line_no) AS text
+        FROM blocks WHERE own <> 'blank' OR fenced GROUP BY doc, block""",
+)
 def md_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.markdown_blocks(table(spark, sf_dir, "documents"))
 
@@ -408,10 +426,17 @@ def layout_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.assign_to_grid(points, bounds, ["p_brand"], "l_extendedprice", "low", "high", 2000.0).select("l_orderkey", "l_linenumber", "p_brand", "low")
 
 
-@register("layout_leader_lines")
+@register(
+    "layout_leader_lines",
+    """WITH RECURSIVE i AS (SELECT l_orderkey, l_linenumber, max(l_quantity) AS y FROM lineitem GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS k FROM i),
+            r AS (SELECT *, [y] AS leaders, CAST(0 AS BIGINT) AS line FROM n WHERE k = 1
+                  UNION ALL SELECT n.*, CASE WHEN hit = 0 THEN list_append(r.leaders, n.y) ELSE r.leaders END, CASE WHEN hit = 0 THEN len(r.leaders) ELSE hit - 1 END
+                  FROM r JOIN n ON n.l_orderkey = r.l_orderkey AND n.k = r.k + 1, LATERAL (SELECT coalesce(list_position([abs(x - n.y) <= 5 FOR x IN r.leaders], true), 0) AS hit) h)
+       SELECT l_orderkey, l_linenumber, y, CAST(10 AS DOUBLE) AS size, line FROM r""",
+)
 def layout_leader_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First-fit lines of each order's items, quantities as baselines."""
-    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("y"), F.lit(10.0).alias("size"))
+    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("y")).withColumn("size", F.lit(10.0))
     return layout.lines_by_leader(items, ["l_orderkey"], "y", "size", "l_linenumber")
 
 

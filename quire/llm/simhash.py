@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.texts import bytes_of, small_batches
@@ -236,23 +236,76 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, bands:
 def alike_groups(docs: DataFrame, members: DataFrame, width: int, similarity: float) -> DataFrame:
     """(node, component) by the alike pairs of ids that share a group (band, mid, rep).
 
-    Each group is first a star around its smallest id. Where its members then still lie in
-    several components, members outside the group's largest one become hubs as well, a few at
-    first and four times as many each round, and are compared with all members of other
-    components. It ends when every such member has been a hub or lies in the largest
-    component, so every pair of a group is compared or in one component already. Where members
-    are alike, the first hubs join nearly all; work is then in proportion to members.
+    Each group is first a star around its smallest id. Texts of groups whose members then still
+    lie in several components are grouped anew by their rarest shingles, see rare_groups: every
+    alike pair among them shares one, while a passage that many unlike texts have, or the text
+    under many heavy edits, is not among the rarest. These groups end in rounds, see _settled.
     """
     members = materialize(members)
     hubs = members.groupBy("band", "mid").agg(F.min("rep").alias("dst"), F.max("rep").alias("hi")).where("dst <> hi").drop("hi")
     members = materialize(members.join(hubs, ["band", "mid"]).select("band", "mid", "rep"))
     pairs = materialize(members.join(hubs, ["band", "mid"]).where("rep <> dst").select(F.col("rep").alias("src"), "dst").distinct())
-    done, tried = pairs, hubs.select("band", "mid", F.col("dst").alias("rep")).where("false")
     linked = materialize(_alike(docs, pairs, width, similarity))
+    labels = components(linked).withColumnRenamed("node", "rep")
+    labelled = members.join(labels, "rep", "left").select("band", "mid", "rep", F.coalesce("component", "rep").alias("c"))
+    mixed = materialize(labelled.groupBy("band", "mid").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band", "mid"))
+    texts = materialize(members.join(broadcast_if_small(mixed), ["band", "mid"], "left_semi").select("rep").distinct())
+    return _settled(docs, rare_groups(docs, texts, width, similarity), linked, pairs, width, similarity)
+
+
+def rare_groups(docs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(band, mid, rep, n, place): the texts (rep) under each of their rarest shingles, so many that alike texts share one.
+
+    Of n shingles in order of how many of the texts have them, two texts of that similarity
+    share one of their first n - ceil(similarity * n) + 1; place is a shingle's in that order.
+    At the first that a pair shares, what comes after must be enough for the similarity
+    (may_reach), so texts that reach it with no text of the group's sizes are left out, as are
+    groups of one. Texts that share an id are one.
+    """
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(shingle_hashes((t.as_py() or b"").lower().split(), width)).view(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["rep", "shingles"])
+
+    whole = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("rep"), bytes_of("text").alias("t"))
+    held = whole.join(texts, "rep", "left_semi").mapInArrow(run, "rep long, shingles array<bigint>")
+    rows = materialize(held.select("rep", F.size("shingles").alias("n"), F.explode("shingles").alias("mid")))
+    shared = rows.groupBy("mid").agg(F.count("*").alias("f")).where("f > 1")
+    ranked = rows.join(shared, "mid")
+    by = Window.partitionBy("rep")
+    alone = F.col("n") - F.count("*").over(by)
+    place = F.row_number().over(by.orderBy("f", "mid")) + alone
+    first = F.col("n") - F.ceil(F.lit(similarity) * F.col("n")) + 1
+    entered_ = materialize(ranked.withColumn("place", place).where(F.col("place") <= first).select("mid", "rep", "n", "place").distinct())
+    least = entered_.groupBy("mid").agg(F.min("n").alias("low"))
+    other = F.greatest("low", F.ceil(F.lit(similarity) * F.col("n")))
+    fit = materialize(entered_.join(least, "mid").where(may_reach(similarity, F.col("n") - F.col("place"), F.col("n") + other)).select("mid", "rep", "n", "place"))
+    several = fit.groupBy("mid").agg(F.count("*").alias("k")).where("k > 1").select("mid")
+    return fit.join(several, "mid", "left_semi").select(F.lit(0).alias("band"), "mid", "rep", "n", "place")
+
+
+def may_reach(similarity: float, after: Column, sizes: Column) -> Column:
+    """Whether one shared shingle and at most so many after it can make that similarity of two texts with those shingles together."""
+    return (after + 1) * (1 + similarity) >= similarity * sizes - 1e-6
+
+
+def _settled(docs: DataFrame, members: DataFrame, linked: DataFrame, done: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(node, component) once every pair of a group is compared or in one component; linked and done are pairs so far.
+
+    Where a group's members lie in several components, members outside its largest one become
+    hubs, one at first and 64 times as many each round, and are compared with all members
+    of other components that may reach the similarity. It ends when every such member has been a hub or lies in the largest
+    component. Where members are alike, the first hubs join nearly all; work is then in
+    proportion to members.
+    """
+    members = materialize(members)
+    tried = members.select("band", "mid", "rep").where("false")
     lots = 1
     while True:
         labels = components(linked).withColumnRenamed("node", "rep")
-        labelled = materialize(members.join(labels, "rep", "left").select("band", "mid", "rep", F.coalesce("component", "rep").alias("c")))
+        labelled = materialize(members.join(labels, "rep", "left").select("band", "mid", "rep", "n", "place", F.coalesce("component", "rep").alias("c")))
         counts = labelled.groupBy("band", "mid", "c").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.min("rep").alias("lo"))
         groups = counts.groupBy("band", "mid").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count("*").alias("k"), F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.min("lo").alias("lo"))
         # groups of the same members are one
@@ -261,14 +314,16 @@ def alike_groups(docs: DataFrame, members: DataFrame, width: int, similarity: fl
         within = materialize(labelled.join(broadcast_if_small(mixed), ["band", "mid"]))
         outside = within.where("c <> main").join(tried, ["band", "mid", "rep"], "left_anti")
         lot = F.pmod(F.xxhash64("rep", F.lit(lots)), F.lit(lots)).alias("lot")
-        hubs = materialize(outside.groupBy("band", "mid", lot).agg(F.min(F.struct("rep", "c")).alias("hub")).select("band", "mid", F.col("hub.rep").alias("one"), F.col("hub.c").alias("c1")))
+        hub = F.min(F.struct("rep", "c", "n", "place")).alias("hub")
+        hubs = materialize(outside.groupBy("band", "mid", lot).agg(hub).select("band", "mid", F.col("hub.rep").alias("one"), F.col("hub.c").alias("c1"), F.col("hub.n").alias("n1"), F.col("hub.place").alias("place1")))
         if not hubs.count():
             return labels.withColumnRenamed("rep", "node")
-        crossed = hubs.join(within, ["band", "mid"]).where("c <> c1").select(F.greatest("one", "rep").alias("src"), F.least("one", "rep").alias("dst")).distinct()
+        enough = may_reach(similarity, F.least(F.col("n") - F.col("place"), F.col("n1") - F.col("place1")), F.col("n") + F.col("n1"))
+        crossed = hubs.join(within, ["band", "mid"]).where((F.col("c") != F.col("c1")) & enough).select(F.greatest("one", "rep").alias("src"), F.least("one", "rep").alias("dst")).distinct()
         pairs = materialize(crossed.join(done, ["src", "dst"], "left_anti"))
         linked = materialize(linked.union(_alike(docs, pairs, width, similarity)))
         done, tried = done.union(pairs), tried.union(hubs.select("band", "mid", F.col("one").alias("rep")))
-        lots *= 4
+        lots *= 64
 
 
 def _alike(docs: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:

@@ -115,3 +115,30 @@ def test_chains_and_failed_hubs_of_a_group_are_linked(spark):
     hub = spark.createDataFrame([(i, texts[1 + i % 2]) for i in range(100)], "doc_id long, text string")
     pairs = spark.createDataFrame([(i, 0) for i in range(1, 100)], "src long, dst long")
     assert simhash._alike(hub, pairs, 5, 0.8).count() == 99
+
+
+def test_groups_of_heavily_edited_copies_keep_every_link(spark):
+    """A base text under one to six edits, and texts that share only a passage, in one group: components as by all pairs."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    base, passage = [word() for _ in range(90)], [word() for _ in range(40)]
+    texts = []
+    for i in range(70):
+        copy = list(base)
+        for _ in range(rng.randint(1, 6)):
+            copy[rng.randrange(len(copy))] = word()
+        texts.append(copy)
+    texts += [[word() for _ in range(rng.randint(5, 60))] + passage for _ in range(30)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both) and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    members = docs.selectExpr("0 AS band", "0L AS mid", "doc_id AS rep")
+    found = {r.node: r.component for r in simhash.alike_groups(docs, members, 5, 0.8).collect()}
+    assert [found.get(i, i) for i in range(len(texts))] == label
+    assert len(set(label)) < len(texts) - 10

@@ -28,3 +28,4 @@ def load() -> None:
     """Import the modules that register queries."""
     importlib.import_module("quire.plans.queries")
     importlib.import_module("quire.plans.structure")
+    importlib.import_module("quire.plans.pages")

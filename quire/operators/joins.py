@@ -28,7 +28,8 @@ def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, value
 def nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, value: str) -> DataFrame:
     """Add nearest and distance: the value of the right row of the same keys whose position is closest, the lower of equals.
 
-    Positions are numbers. Like as_of, a union and two windows.
+    Positions are numbers. Like as_of, a union and two windows, one along and one against the
+    order, each of which carries the last offer on.
     """
     row = F.struct(*(F.col(c) for c in left.columns))
     offer = F.struct(F.col(at).cast("double").alias("at"), F.col(value).alias("value"))
@@ -37,7 +38,8 @@ def nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, val
     both = both.unionByName(right.where(F.col(at).isNotNull()).select(*keys, F.col(at).cast("double").alias("_at"), none_row.alias("_row"), offer.alias("_offer")))
     along = Window.partitionBy(*keys).orderBy("_at", F.col("_row").isNotNull(), "_offer")
     below = F.last("_offer", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    above = F.first("_offer", ignorenulls=True).over(along.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    against = Window.partitionBy(*keys).orderBy(F.col("_at").desc(), F.col("_row").isNotNull().desc(), F.col("_offer").desc())
+    above = F.last("_offer", ignorenulls=True).over(against.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     seen = both.withColumns({"_below": below, "_above": above}).where("_row IS NOT NULL")
     down, up = F.col("_at") - F.col("_below.at"), F.col("_above.at") - F.col("_at")
     lower = up.isNull() | (down <= up)

@@ -111,21 +111,42 @@ def lattice(rules: DataFrame, keys: Sequence[str], least_lines: int = 3) -> Data
     return rows.join(columns, list(keys)).select(*keys, "row", "column", "x1", "y1", "x2", "y2")
 
 
+def line_spacing(lines: DataFrame, keys: Sequence[str], y: str, size: str, order: str, bucket: float = 0.5) -> DataFrame:
+    """(keys, spacing): a page's ordinary step from line to line.
+
+    The most common step in buckets of half a point, the first met of equals; the smallest step
+    where none recurs. A page of fewer than three lines has 1.2 times its first most common size.
+    """
+    along = Window.partitionBy(*keys).orderBy(order)
+    known = lines.select(*keys, order, F.col(size).alias("_size"), (F.lag(y).over(along) - F.col(y)).alias("_step"))
+
+    def common(value: str, name: str) -> DataFrame:
+        place = (F.floor(F.col(value) / bucket + 0.5) * bucket).cast("double")
+        counts = known.where(F.col(value).isNotNull()).groupBy(*keys, place.alias("at")).agg(F.count("*").alias("n"), F.min(order).alias("met"))
+        first = F.max_by("at", F.struct("n", (-F.col("met")).alias("early")))
+        return counts.groupBy(*keys).agg(first.alias(name), F.max("n").alias(f"{name}_n"))
+
+    least = known.groupBy(*keys).agg(F.count("*").alias("_lines"), F.min("_step").alias("_least"))
+    found = least.join(common("_size", "_mode"), list(keys)).join(common("_step", "_gap"), list(keys), "left")
+    spacing = F.when(F.col("_lines") < 3, F.col("_mode") * 1.2).when(F.col("_gap_n") > 1, F.col("_gap")).otherwise(F.col("_least"))
+    return found.select(*keys, spacing.alias("spacing"))
+
+
 def paragraphs(lines: DataFrame, keys: Sequence[str], y: str, x: str, size: str, order: str, gap: float = 1.25) -> DataFrame:
     """Add paragraph: a new one, from 0, where the step down, the size or the indent of a line breaks from the one before.
 
-    The step is measured against gap times the page's most common step, sizes are close within
-    half a point, and an indent is more than one em off the page's most common left edge after
-    a line that is at that edge. y falls down the page. Windows are within a page.
+    The step is measured against gap times the page's line_spacing, sizes are close within half a
+    point, and an indent is more than one em off the page's most common left edge after a line
+    that is at that edge. y falls down the page; order is a number. Windows are within a page.
     """
     along = Window.partitionBy(*keys).orderBy(order)
     step = lines.withColumn("_step", F.lag(y).over(along) - F.col(y))
-    spacing = modes(step.where("_step > 0"), keys, "_step").select(*keys, F.col("mode").alias("_spacing"))
+    spacing = line_spacing(lines, keys, y, size, order).withColumnRenamed("spacing", "_spacing")
     edges = modes(lines, keys, x).select(*keys, F.col("mode").alias("_edge"))
     known = step.join(spacing, list(keys), "left").join(edges, list(keys), "left")
     off = F.abs(F.col(x) - F.col("_edge"))
     indented = (off > F.col(size)) & (F.abs(F.lag(x).over(along) - F.col("_edge")) <= F.col(size))
-    breaks = (F.col("_step") > gap * F.coalesce("_spacing", "_step")) | (F.abs(F.col(size) - F.lag(size).over(along)) > 0.5) | indented
+    breaks = (F.col("_step") > gap * F.col("_spacing")) | (F.abs(F.col(size) - F.lag(size).over(along)) > 0.5) | indented
     return runs_by_gap(known, keys, [order], breaks).withColumnRenamed("run", "paragraph").drop("_step", "_spacing", "_edge")
 
 

@@ -6,11 +6,11 @@ them from the same rows, without parsing anything.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.catalog import register
-from quire.operators import markdown
+from quire.operators import markdown, tables
 from quire.runtime import table
 
 ITEMS = "i AS (SELECT l_orderkey, l_linenumber, max(l_returnflag) AS flag, max(l_linestatus) AS status, max(l_quantity) AS quantity FROM lineitem GROUP BY 1, 2)"
@@ -71,3 +71,127 @@ def md_inlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     blocks = markdown.nested_blocks(table(spark, sf_dir, "part").select("p_partkey", text.alias("text")), "p_partkey")
     return markdown.inline_nodes(blocks).select("doc", "node", "parent", "kind", "text", "dest", "title")
+
+
+#: Items numbered from 0 within their order.
+RANKED = f"{ITEMS}, k AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS k, count(*) OVER (PARTITION BY l_orderkey) AS n FROM i)"
+
+
+def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")) - 1
+    return _items(spark, sf_dir).withColumn("k", place).withColumn("n", F.count("*").over(Window.partitionBy("l_orderkey")))
+
+
+def _tagged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Each order a tagged table below its customer's page: two rows share a head cell, and status cells of returned items are two columns wide."""
+    items = _ranked(spark, sf_dir)
+    pages = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("page"))
+    rows = items.join(pages, "l_orderkey")
+    order, line = F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")
+    name = lambda kind: F.concat(F.lit(f"{kind}-"), order, F.lit("-"), line)
+    one, none = F.lit(1), F.lit(None).cast("string")
+    tops = rows.where("k = 0").select("page", F.concat(F.lit("T-"), order).alias("id"), none.alias("parent"), F.lit("Table").alias("type"), F.col("l_orderkey").alias("place"), one.alias("down"), one.alias("across"))
+    bodies = rows.where("k = 0").select("page", F.concat(F.lit("B-"), order), F.concat(F.lit("T-"), order), F.lit("TBody"), F.lit(0).cast("long"), one, one)
+    lines = rows.select("page", name("R"), F.concat(F.lit("B-"), order), F.lit("TR"), F.col("l_linenumber").cast("long"), one, one)
+    heads = rows.where("k % 2 = 0").select("page", name("H"), name("R"), F.lit("TH"), F.lit(0).cast("long"), F.lit(2), one)
+    flags = rows.select("page", name("F"), name("R"), F.lit("TD"), F.lit(1).cast("long"), one, one)
+    wide = F.when(F.col("flag") == "R", 2).otherwise(1)
+    states = rows.select("page", name("S"), name("R"), F.lit("TD"), F.lit(2).cast("long"), one, wide)
+    spans = states.select("page", F.concat(F.lit("P-"), F.col(states.columns[1])), F.col(states.columns[1]), F.lit("Span"), F.lit(0).cast("long"), one, one)
+    nodes = tops.union(bodies).union(lines).union(heads).union(flags).union(states).union(spans)
+    at = F.col("l_linenumber").cast("double")
+    texts = rows.where("k % 2 = 0").select("page", name("H").alias("node"), F.lit(0).alias("place"), at.alias("x"), F.col("quantity").alias("width"), line.alias("text"))
+    texts = texts.union(rows.select("page", name("F"), F.lit(0), at + 50, F.lit(None).cast("double"), "flag"))
+    texts = texts.union(rows.select("page", F.concat(F.lit("P-S-"), order, F.lit("-"), line), F.lit(1), at * 2 + 100, "quantity", "status"))
+    texts = texts.union(rows.where("status = 'F'").select("page", name("S"), F.lit(2), at + 99, F.lit(1.0), F.lit("!")))
+    outside = rows.where("k = 0").select("page", F.concat(F.lit("B-"), order), F.lit(0), F.lit(1.0), F.lit(1.0), F.lit("caption"))
+    return nodes, texts.union(outside)
+
+
+@register(
+    "tables_tagged_cells",
+    f"""WITH {RANKED}, p AS (SELECT k.*, o_custkey AS page, 'T-' || l_orderkey AS "table" FROM k JOIN orders ON o_orderkey = l_orderkey)
+        SELECT page, "table", k AS row_index, 0 AS column_index, least(2, n - k) AS row_span, 1 AS column_span, CAST(l_linenumber AS VARCHAR) AS text FROM p WHERE k % 2 = 0
+        UNION ALL SELECT page, "table", k, 1, 1, 1, flag FROM p
+        UNION ALL SELECT page, "table", k, 2, 1, CASE WHEN flag = 'R' THEN 2 ELSE 1 END, status || CASE WHEN status = 'F' THEN ' !' ELSE '' END FROM p""",
+)
+def tables_tagged_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places and texts of the cells of tagged tables; the second row of a head cell starts beside it."""
+    nodes, texts = _tagged(spark, sf_dir)
+    return tables.tagged_tables(nodes, texts, "page", "down", "across")[0]
+
+
+@register(
+    "tables_tagged_columns",
+    f"""WITH {RANKED}, p AS (SELECT k.*, o_custkey AS page, 'T-' || l_orderkey AS "table", CAST(l_linenumber AS DOUBLE) AS x FROM k JOIN orders ON o_orderkey = l_orderkey),
+            c AS (SELECT page, "table", 0 AS column_index, min(x) AS x1, max(x + quantity) AS x2 FROM p WHERE k % 2 = 0 GROUP BY ALL
+                  UNION ALL SELECT page, "table", 1, min(x), max(x) FROM p GROUP BY ALL
+                  UNION ALL SELECT page, "table", 2, min(least(2 * x + 100, CASE WHEN status = 'F' THEN x + 99 END)), max(greatest(2 * x + 100 + quantity, CASE WHEN status = 'F' THEN x + 100 END)) FROM p GROUP BY ALL)
+        SELECT page, "table", column_index, CASE WHEN x2 > x1 THEN x2 - x1 ELSE 40 END AS width FROM c""",
+)
+def tables_tagged_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Widths of the columns of the same tables; where no item reports a width, the starts of its items spread it."""
+    nodes, texts = _tagged(spark, sf_dir)
+    return tables.tagged_tables(nodes, texts, "page", "down", "across")[1]
+
+
+@register(
+    "grid_merged_cells",
+    f"""WITH {RANKED}, g AS (SELECT * FROM k WHERE n > 1), r AS (SELECT *, sum(CAST(fresh AS INT)) OVER (PARTITION BY l_orderkey ORDER BY k) AS run FROM (SELECT *, coalesce(lag(quantity) OVER (PARTITION BY l_orderkey ORDER BY k) <= 25, true) AS fresh FROM g))
+        SELECT l_orderkey, k AS "row", 0 AS "column", 1 AS row_span, 2 AS column_span, flag || ' ' || l_linenumber AS text FROM g WHERE flag = 'R'
+        UNION ALL SELECT l_orderkey, k, 0, 1, 1, flag FROM g WHERE flag <> 'R' UNION ALL SELECT l_orderkey, k, 1, 1, 1, CAST(l_linenumber AS VARCHAR) FROM g WHERE flag <> 'R'
+        UNION ALL SELECT l_orderkey, min(k), 2, count(*), 1, string_agg(status, ' ' ORDER BY k) FROM r GROUP BY l_orderkey, run""",
+)
+def grid_merged_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ruled pages of orders' items: no rule between the first cells of returned items, nor below the last cells of large ones."""
+    items = _ranked(spark, sf_dir)
+    top, bottom, key = F.col("k") * F.lit(20.0), F.col("k") * F.lit(20.0) + 20, "l_orderkey"
+    number = lambda v: F.lit(float(v))
+    rule = lambda df, x1, y1, x2, y2: df.select(key, x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"))
+    first = items.where("k = 0")
+    rules = rule(first, number(0), number(0), number(150), number(0)).union(rule(first, number(50), number(-8), number(50), number(-2)))
+    for x in (0, 100, 150):
+        rules = rules.union(rule(items, number(x), top, number(x), bottom))
+    rules = rules.union(rule(items.where("flag <> 'R'"), number(50), top, number(50), bottom)).union(rule(items, number(0), bottom, number(100), bottom))
+    rules = rules.union(rule(items.where("quantity <= 25 OR k = n - 1"), number(100), bottom, number(150), bottom))
+    texts = None
+    for place, (x, c) in enumerate(((10, "flag"), (60, "l_linenumber"), (110, "status"))):
+        part = items.select(key, (F.col("k") * 3 + place).alias("place"), number(x).alias("x"), (top + 10).alias("y"), F.col(c).cast("string").alias("text"))
+        texts = part if texts is None else texts.union(part)
+    return tables.grid_from_rules(texts, rules, [key], "place")
+
+
+@register(
+    "grid_from_text",
+    f"""WITH {RANKED}, s AS (SELECT l_orderkey, k, 10.0 AS x, flag || ' ' || flag AS text FROM k UNION ALL SELECT l_orderkey, k, 60.0, status FROM k WHERE quantity > 20 UNION ALL SELECT l_orderkey, k, 101.0 + l_linenumber * 4, CAST(l_linenumber AS VARCHAR) FROM k),
+            b AS (SELECT l_orderkey, floor(x / 3 + 0.5) * 3 AS spot, count(*) AS n FROM s GROUP BY 1, 2), a AS (SELECT *, max(n) OVER (PARTITION BY l_orderkey) AS most FROM b),
+            c AS (SELECT l_orderkey, spot, row_number() OVER (PARTITION BY l_orderkey ORDER BY spot) - 1 AS j FROM a WHERE n >= 2 OR most < 2),
+            m AS (SELECT s.*, c.j FROM s JOIN c USING (l_orderkey) QUALIFY row_number() OVER (PARTITION BY s.l_orderkey, s.k, s.x ORDER BY abs(spot - x), j) = 1)
+        SELECT l_orderkey, k AS "row", j AS "column", string_agg(text, ' ' ORDER BY x) AS text FROM m GROUP BY 1, 2, 3""",
+)
+def grid_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same items on pages without rules: two words near each other, a cell that is not always there, and one that never starts twice alike."""
+    items, key = _ranked(spark, sf_dir), "l_orderkey"
+    place = lambda df, n, x, text: df.select(key, (F.col("k") * 4 + n).alias("place"), x.cast("double").alias("x"), (F.lit(800.0) - F.col("k") * 20).alias("y"), F.lit(8.0).alias("width"), F.lit(10.0).alias("size"), F.col(text).cast("string").alias("text"))
+    texts = place(items, 0, F.lit(10), "flag").union(place(items, 1, F.lit(20), "flag")).union(place(items.where("quantity > 20"), 2, F.lit(60), "status"))
+    return tables.grid_from_text(texts.union(place(items, 3, F.lit(101) + F.col("l_linenumber") * 4, "l_linenumber")), [key], "place")
+
+
+@register(
+    "slide_blocks",
+    f"""WITH RECURSIVE {RANKED}, l AS (SELECT l_orderkey, l_linenumber, k, struct_pack(x := 50.0 + CASE WHEN status = 'O' THEN 100 ELSE 0 END + (l_linenumber % 3), y := 500.0 - 6 * l_linenumber - CASE WHEN flag = 'R' THEN 5 ELSE 0 END, size := 10.0 + CASE WHEN quantity > 45 THEN 4 ELSE 0 END) AS spot FROM k),
+            r AS (SELECT l_orderkey, l_linenumber, k, [spot] AS last, CAST(0 AS BIGINT) AS block FROM l WHERE k = 0
+                  UNION ALL
+                  SELECT l_orderkey, l_linenumber, k, CASE WHEN hit IS NULL THEN list_append(last, spot) ELSE list_transform(last, lambda e, i: CASE WHEN i = hit THEN spot ELSE e END) END, coalesce(hit - 1, len(last))
+                  FROM (SELECT l.*, r.last, nullif(list_position(list_transform(r.last, lambda e: e.y - l.spot.y > 0 AND e.y - l.spot.y <= 1.25 * e.size AND abs(e.x - l.spot.x) <= 2
+                            AND (abs(e.size - l.spot.size) <= 1 OR abs(e.size - l.spot.size) <= 0.15 * greatest(e.size, l.spot.size))), true), 0) AS hit FROM r JOIN l ON l.l_orderkey = r.l_orderkey AND l.k = r.k + 1))
+        SELECT l_orderkey, l_linenumber, block FROM r""",
+)
+def slide_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of orders as lines in two columns; a block ends where the next line is too far, too large or elsewhere."""
+    number = F.col("l_linenumber")
+    x = F.lit(50.0) + F.when(F.col("status") == "O", 100).otherwise(0) + number % 3
+    y = F.lit(500.0) - number * 6 - F.when(F.col("flag") == "R", 5).otherwise(0)
+    size = F.lit(10.0) + F.when(F.col("quantity") > 45, 4).otherwise(0)
+    lines = _items(spark, sf_dir).select("l_orderkey", "l_linenumber", x.alias("x"), y.alias("y"), size.alias("size"))
+    return tables.slide_blocks(lines, ["l_orderkey"], "l_linenumber").select("l_orderkey", "l_linenumber", "block")

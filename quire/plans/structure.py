@@ -150,9 +150,13 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "layout_paragraphs",
     f"""WITH {PAGE}, s AS (SELECT *, lag(y) OVER w - y AS step, lag(x) OVER w AS px, lag(size) OVER w AS ps FROM l WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)),
-            ms AS (SELECT l_orderkey, floor(step + 0.5) AS spacing FROM s WHERE step > 0 GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY count(*) DESC, floor(step + 0.5)) = 1),
+            steps AS (SELECT l_orderkey, round(step * 2) / 2 AS spot, count(*) AS n, min(l_linenumber) AS met FROM s WHERE step IS NOT NULL GROUP BY 1, 2),
+            sizes AS (SELECT l_orderkey, round(size * 2) / 2 AS spot, count(*) AS n, min(l_linenumber) AS met FROM s GROUP BY 1, 2),
+            ms AS (SELECT l_orderkey, CASE WHEN (SELECT count(*) FROM s z WHERE z.l_orderkey = p.l_orderkey) < 3 THEN 1.2 * (SELECT spot FROM sizes z WHERE z.l_orderkey = p.l_orderkey ORDER BY n DESC, met LIMIT 1)
+                       WHEN (SELECT max(n) FROM steps z WHERE z.l_orderkey = p.l_orderkey) > 1 THEN (SELECT spot FROM steps z WHERE z.l_orderkey = p.l_orderkey ORDER BY n DESC, met LIMIT 1)
+                       ELSE (SELECT min(step) FROM s z WHERE z.l_orderkey = p.l_orderkey) END AS spacing FROM (SELECT DISTINCT l_orderkey FROM s) p),
             me AS (SELECT l_orderkey, floor(x + 0.5) AS edge FROM s GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY count(*) DESC, floor(x + 0.5)) = 1),
-            b AS (SELECT s.*, coalesce(step > 1.25 * coalesce(spacing, step) OR abs(size - ps) > 0.5 OR (abs(x - edge) > size AND abs(px - edge) <= size), false) AS fresh FROM s LEFT JOIN ms USING (l_orderkey) LEFT JOIN me USING (l_orderkey))
+            b AS (SELECT s.*, coalesce(step > 1.25 * spacing OR abs(size - ps) > 0.5 OR (abs(x - edge) > size AND abs(px - edge) <= size), false) AS fresh FROM s LEFT JOIN ms USING (l_orderkey) LEFT JOIN me USING (l_orderkey))
         SELECT l_orderkey, l_linenumber, CAST(sum(CAST(fresh AS INT)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS BIGINT) AS paragraph FROM b""",
 )
 def layout_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,7 +59,19 @@ def materialize(df: DataFrame) -> DataFrame:
     jvm = spark._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._quire_path = path
+    return written
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove the files of what materialize() returned, once nothing reads them any more; other DataFrames are left alone."""
+    for df in frames:
+        path = df.__dict__.pop("_quire_path", None)
+        if path:
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

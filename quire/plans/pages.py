@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.catalog import register
-from quire.operators import markdown, tables
+from quire.operators import factoring, markdown, projection, tables
 from quire.runtime import table
 
 ITEMS = "i AS (SELECT l_orderkey, l_linenumber, max(l_returnflag) AS flag, max(l_linestatus) AS status, max(l_quantity) AS quantity FROM lineitem GROUP BY 1, 2)"
@@ -195,3 +195,110 @@ def slide_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.lit(10.0) + F.when(F.col("quantity") > 45, 4).otherwise(0)
     lines = _items(spark, sf_dir).select("l_orderkey", "l_linenumber", x.alias("x"), y.alias("y"), size.alias("size"))
     return tables.slide_blocks(lines, ["l_orderkey"], "l_linenumber").select("l_orderkey", "l_linenumber", "block")
+
+
+def _styled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Customers as documents, their orders as wrappers below one for all, items as leaves; small quantities have no size."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc"), "o_orderkey")
+    items = _items(spark, sf_dir).join(orders.withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey")
+    held = items.select("doc", "l_orderkey").distinct()
+    name = F.col("l_orderkey").cast("string")
+    inner = held.select("doc", name.alias("wrapper"), F.lit("all").alias("parent"), F.col("l_orderkey").alias("place"))
+    outer = held.select("doc", F.lit("all"), F.lit(None).cast("string"), F.lit(-1).cast("long")).distinct()
+    size = F.when(F.col("quantity") >= 10, F.floor(F.col("quantity") / 20))
+    place = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    return inner.union(outer), items.select("doc", place.alias("leaf"), name.alias("wrapper"), place.alias("place"), F.col("flag").alias("font"), size.alias("size"), (F.col("status") == "O").alias("bold"))
+
+
+#: The outer choice over all of a customer's items, then each order's over what that left: tuples are texts of the shared properties.
+STYLED = f"""{ITEMS}, x AS (SELECT o_custkey AS doc, l_orderkey AS o, l_orderkey * 10 + l_linenumber AS leaf, flag AS font, CASE WHEN quantity >= 10 THEN CAST(floor(quantity / 20) AS BIGINT) END AS size, status = 'O' AS bold FROM i JOIN orders ON o_orderkey = l_orderkey),
+    a AS (SELECT *, min(CAST(size IS NOT NULL AS INT)) OVER (PARTITION BY doc) = 1 AS all_sized FROM x),
+    b AS (SELECT *, font || ',' || CASE WHEN all_sized THEN CAST(size AS VARCHAR) ELSE '-' END || ',' || bold AS t FROM a),
+    b1 AS (SELECT doc, t, count(*) AS n FROM b GROUP BY 1, 2 HAVING count(*) > 1 QUALIFY row_number() OVER (PARTITION BY doc ORDER BY count(*) DESC, min(leaf)) = 1),
+    c AS (SELECT b.*, coalesce(b.t = b1.t, false) AS outer_hit, b1.t IS NOT NULL AS outer_taken, min(CAST(size IS NOT NULL AS INT)) OVER (PARTITION BY b.doc, o) = 1 AS order_sized FROM b LEFT JOIN b1 USING (doc)),
+    d AS (SELECT *, CASE WHEN outer_taken AND (all_sized OR NOT order_sized) THEN NULL WHEN outer_taken THEN '-,' || size || ',-' ELSE font || ',' || CASE WHEN order_sized THEN CAST(size AS VARCHAR) ELSE '-' END || ',' || bold END AS u FROM c),
+    d1 AS (SELECT doc, o, u, count(*) AS n FROM d WHERE u IS NOT NULL AND NOT outer_hit GROUP BY 1, 2, 3 HAVING count(*) > 1 QUALIFY row_number() OVER (PARTITION BY doc, o ORDER BY count(*) DESC, min(leaf)) = 1),
+    e AS (SELECT doc, 'all' AS wrapper, -1 AS visit, t, n FROM b1 UNION ALL SELECT doc, CAST(o AS VARCHAR), o, u, n FROM d1),
+    s AS (SELECT doc, t, 's' || row_number() OVER (PARTITION BY doc ORDER BY sum(n) DESC, min(visit)) AS style FROM e GROUP BY doc, t)"""
+
+
+@register("style_factoring_table", f"WITH {STYLED} SELECT doc, style, t AS properties FROM s")
+def style_factoring_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The styles of each document by number, absent properties as a dash."""
+    styles, _, _ = factoring.factor(*_styled(spark, sf_dir), ["font", "size", "bold"])
+    shown = F.concat_ws(",", *(F.coalesce(F.col(p).cast("string"), F.lit("-")) for p in ("font", "size", "bold")))
+    return styles.select("doc", "style", shown.alias("properties"))
+
+
+@register("style_factoring_refs", f"WITH {STYLED} SELECT doc, wrapper, style FROM e JOIN s USING (doc, t)")
+def style_factoring_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return factoring.factor(*_styled(spark, sf_dir), ["font", "size", "bold"])[1]
+
+
+@register(
+    "style_factoring_rest",
+    f"""WITH {STYLED} SELECT d.doc, leaf, CASE WHEN NOT gone_font THEN font END AS font, CASE WHEN NOT gone_size THEN size END AS size, CASE WHEN NOT gone_font THEN bold END AS bold
+        FROM (SELECT d.*, outer_hit OR (NOT outer_hit AND coalesce(d.u = d1.u, false) AND NOT outer_taken) AS gone_font,
+                     (outer_hit AND all_sized) OR (NOT outer_hit AND coalesce(d.u = d1.u, false) AND order_sized) AS gone_size FROM d LEFT JOIN d1 ON d1.doc = d.doc AND d1.o = d.o) d""",
+)
+def style_factoring_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each item keeps once the styles above it are taken off."""
+    return factoring.factor(*_styled(spark, sf_dir), ["font", "size", "bold"])[2].select("doc", "leaf", "font", "size", "bold")
+
+
+@register(
+    "style_factoring_back",
+    f"WITH {ITEMS} SELECT o_custkey AS doc, l_orderkey * 10 + l_linenumber AS leaf, flag AS font, CASE WHEN quantity >= 10 THEN CAST(floor(quantity / 20) AS BIGINT) END AS size, status = 'O' AS bold FROM i JOIN orders ON o_orderkey = l_orderkey",
+)
+def style_factoring_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items again, from styles, references and what was left."""
+    wrappers, leaves = _styled(spark, sf_dir)
+    styles, refs, rest = factoring.factor(wrappers, leaves, ["font", "size", "bold"])
+    return factoring.resolve(wrappers, rest, styles, refs, ["font", "size", "bold"]).select("doc", "leaf", "font", "size", "bold")
+
+
+def _forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers over orders over items; contents are objects with keys in no order."""
+    orders, none = table(spark, sf_dir, "orders"), F.lit(None).cast("string")
+    items = _items(spark, sf_dir).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    key = F.col("o_custkey").alias("doc")
+    root = orders.select(key, F.lit("c").alias("node"), none.alias("parent"), F.lit(0).cast("long").alias("place"), F.lit("customer").alias("kind"), none.alias("content")).distinct()
+    middle = orders.select(key, F.concat(F.lit("o"), F.col("o_orderkey").cast("string")), F.lit("c"), "o_orderkey", F.lit("order"), F.concat(F.lit('{"status": "'), "o_orderstatus", F.lit('", "by": {"z": [2, 1], "a": null}}')))
+    leaf = items.select(key, F.concat(F.lit("l"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")), F.col("l_linenumber").cast("long"), F.lit("line"), F.concat(F.lit('{"flag":"'), "flag", F.lit('"}')))
+    return root.union(middle).union(leaf)
+
+
+#: Items are shared, orders where they are not finished, customers always.
+FACES = f"""{ITEMS}, l AS (SELECT l_orderkey, l_linenumber, '{{"children":[],"content":{{"flag":"' || flag || '"}},"kind":"line"}}' AS face FROM i),
+    o AS (SELECT o_custkey, o_orderkey, o_orderstatus <> 'F' AS shared, '{{"children":[' || coalesce((SELECT string_agg('{{"ref":"' || sha256(face) || '"}}', ',' ORDER BY l_linenumber) FROM l WHERE l_orderkey = o_orderkey), '')
+          || '],"content":{{"by":{{"a":null,"z":[2,1]}},"status":"' || o_orderstatus || '"}},"kind":"order"}}' AS face FROM orders),
+    c AS (SELECT o_custkey, '{{"children":[' || string_agg(CASE WHEN shared THEN '{{"ref":"' || sha256(face) || '"}}' ELSE face END, ',' ORDER BY o_orderkey) || '],"content":null,"kind":"customer"}}' AS face FROM o GROUP BY 1)""".replace("{{", "{").replace("}}", "}")
+
+
+@register("graph_projected_nodes", f"WITH {FACES} SELECT DISTINCT sha256(face) AS id, kind, face FROM (SELECT face, 'line' AS kind FROM l UNION ALL SELECT face, 'order' FROM o WHERE shared UNION ALL SELECT face, 'customer' FROM c)")
+def graph_projected_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shared = (F.col("kind") == "line") | ~F.coalesce(F.col("content"), F.lit("")).contains('"F"')
+    return projection.project(_forest(spark, sf_dir), shared)[0]
+
+
+@register(
+    "graph_projected_edges",
+    f"""WITH {FACES} SELECT DISTINCT sha256(o.face) AS from_id, sha256(l.face) AS to_id, CAST(l_linenumber AS VARCHAR) AS path FROM o JOIN l ON l_orderkey = o_orderkey WHERE shared
+        UNION SELECT sha256(c.face), sha256(l.face), o_orderkey || '/' || l_linenumber FROM c JOIN o USING (o_custkey) JOIN l ON l_orderkey = o_orderkey WHERE NOT shared
+        UNION SELECT sha256(c.face), sha256(o.face), CAST(o_orderkey AS VARCHAR) FROM c JOIN o USING (o_custkey) WHERE shared""",
+)
+def graph_projected_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shared = (F.col("kind") == "line") | ~F.coalesce(F.col("content"), F.lit("")).contains('"F"')
+    edges = projection.project(_forest(spark, sf_dir), shared)[1]
+    return edges.select("from_id", "to_id", F.array_join(F.col("path").cast("array<string>"), "/").alias("path"))
+
+
+@register(
+    "canonical_nested",
+    """SELECT event_id, sha256('{"K":{"a":[{"m":1,"n":' || event_id || '}],"b":"' || event_type || '"},"k":' || CAST(props AS VARCHAR).regexp_extract('[0-9]+') || '}') AS hash FROM events""",
+)
+def canonical_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as nested objects whose keys stand in another order."""
+    number = F.regexp_extract("props", "[0-9]+", 0)
+    text = F.concat(F.lit('{ "k" : '), number, F.lit(', "K": {"b": "'), "event_type", F.lit('", "a": [ {"n": '), F.col("event_id").cast("string"), F.lit(', "m": 1} ]}}'))
+    return table(spark, sf_dir, "events").select("event_id", projection.canonical_hash(text).alias("hash"))

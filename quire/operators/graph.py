@@ -49,16 +49,19 @@ def merkle_ids(leaves: DataFrame, levels: Sequence[str], own: str) -> list[DataF
     return out
 
 
-def walk(edges: DataFrame, roots: DataFrame, depth: int = 64) -> DataFrame:
+def walk(edges: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFrame:
     """Every path from the roots (node): (root, node, depth, path, keys), nodes in order of keys under a root.
 
     A node that is reached again by another path is visited again; a path never enters a node
-    that is already on it. Levels are joined one after the other, each written before the next.
+    that is already on it, so walks end. Levels are joined one after the other, each written before the next.
+    With a depth, paths of more steps are left out.
     """
     level = roots.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth"), F.array("node").alias("path"), F.array().cast("array<string>").alias("keys"))
     steps = edges.select(F.col("from_id").alias("node"), "to_id", "order_key")
     out = level
-    for n in range(1, depth + 1):
+    n = 0
+    while depth is None or n < depth:
+        n += 1
         grown = level.join(steps, "node").where(~F.array_contains("path", F.col("to_id")))
         level = materialize(grown.select("root", F.col("to_id").alias("node"), F.lit(n).alias("depth"), F.concat("path", F.array("to_id")).alias("path"), F.concat("keys", F.array("order_key")).alias("keys")))
         if not level.limit(1).count():

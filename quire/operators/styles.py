@@ -10,19 +10,21 @@ from pyspark.sql import functions as F
 from quire.runtime import materialize
 
 
-def inherit(styles: DataFrame, key: str, parent: str, properties: Sequence[str], depth: int = 64) -> DataFrame:
+def inherit(styles: DataFrame, key: str, parent: str, properties: Sequence[str]) -> DataFrame:
     """(key, properties): each style with the properties that it lacks from the nearest style up its chain.
 
     Ancestors are doubled each round, so a chain of n styles takes log n joins. A missing parent
-    ends a chain; a cycle ends after depth styles.
+    ends a chain; a cycle is refused.
     """
     rows = materialize(styles.select(key, F.col(parent).alias("_up"), *properties))
-    reach = 1
-    while reach < depth and rows.where("_up IS NOT NULL").limit(1).count():
+    rounds = rows.count().bit_length() + 1
+    while rows.where("_up IS NOT NULL").limit(1).count():
+        if not rounds:
+            raise ValueError(f"{parent} has a cycle")
         up = rows.select(F.col(key).alias("_up"), F.col("_up").alias("_next"), *(F.col(p).alias(f"_{p}") for p in properties))
         joined = rows.join(up, "_up", "left")
         rows = materialize(joined.select(key, F.col("_next").alias("_up"), *(F.coalesce(p, f"_{p}").alias(p) for p in properties)))
-        reach *= 2
+        rounds -= 1
     return rows.drop("_up")
 
 

@@ -511,12 +511,13 @@ def style_tuples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "table_to_cells",
-    """WITH n AS (SELECT *, row_number() OVER (ORDER BY n_nationkey) AS row FROM nation)
-       SELECT 'nation' AS sheet, row, 0 AS "column", CAST(n_nationkey AS VARCHAR) AS text FROM n UNION ALL SELECT 'nation', row, 1, n_name FROM n UNION ALL SELECT 'nation', row, 2, CAST(n_regionkey AS VARCHAR) FROM n
-       UNION ALL VALUES ('nation', 0, 0, 'n_nationkey'), ('nation', 0, 1, 'n_name'), ('nation', 0, 2, 'n_regionkey')""",
+    """WITH n AS (SELECT *, row_number() OVER (ORDER BY o_orderkey DESC) AS row FROM orders)
+       SELECT 'orders' AS sheet, row, 0 AS "column", CAST(o_orderkey AS VARCHAR) AS text FROM n UNION ALL SELECT 'orders', row, 1, o_orderpriority FROM n UNION ALL SELECT 'orders', row, 2, CAST(o_custkey AS VARCHAR) FROM n
+       UNION ALL VALUES ('orders', 0, 0, 'o_orderkey'), ('orders', 0, 1, 'o_orderpriority'), ('orders', 0, 2, 'o_custkey')""",
 )
 def table_to_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spreadsheets.table_cells(table(spark, sf_dir, "nation"), ["n_nationkey"], "nation")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_custkey")
+    return spreadsheets.table_cells(orders, [F.col("o_orderkey").desc()], "orders")
 
 
 @register(

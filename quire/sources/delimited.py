@@ -29,19 +29,31 @@ def records(text: Column, delimiter: str = ",") -> Column:
     fields = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
     ends = F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
     size = F.aggregate(fields, F.lit(0), lambda a, f: a + F.char_length(f)) + F.aggregate(ends, F.lit(0), lambda a, e: a + F.char_length(e))
-    whole = F.when(size == F.char_length(text), fields).otherwise(F.raise_error(F.lit("a quoted field does not end")))
-    start = F.struct(F.array().cast("array<array<string>>").alias("rows"), F.array().cast("array<string>").alias("row"))
-
-    def step(a: Column, x: Column) -> Column:
-        raw = x["field"]
-        value = F.when(raw.startswith('"') & (F.char_length(raw) > 1), F.replace(F.substr(raw, F.lit(2), F.char_length(raw) - 2), F.lit('""'), F.lit('"'))).otherwise(raw)
-        row = F.array_append(a["row"], value)
-        blank = (F.size(a["row"]) == 0) & (raw == "")
-        over = x["end"] != delimiter
-        rows = F.when(over & ~blank, F.array_append(a["rows"], row)).otherwise(a["rows"])
-        return F.struct(rows.alias("rows"), F.when(over, F.array().cast("array<string>")).otherwise(row).alias("row"))
-
-    return F.aggregate(F.arrays_zip(whole.alias("field"), ends.alias("end")), start, step, lambda a: a["rows"])
+    # each array is bound as a lambda's variable, as lambdas compute what they use from outside anew for every element
+    bound = F.transform(F.array(F.struct(fields.alias("fields"), ends.alias("ends"))), lambda s: F.struct(s["fields"].alias("fields"), _lasts(s["ends"], delimiter).alias("lasts")))
+    found = F.transform(bound, _cut)[0]
+    return F.when(size == F.char_length(text), found).when(text.isNotNull(), F.raise_error(F.lit("a quoted field does not end")))
+
+
+def _lasts(ends: Column, delimiter: str) -> Column:
+    """The places of the last field of each record."""
+    return F.filter(F.transform(ends, lambda end, i: F.when(end != delimiter, i)), lambda i: i.isNotNull())
+
+
+def _cut(s: Column) -> Column:
+    """The records of a struct (fields, lasts) without those of one empty field."""
+
+    def record(last: Column, k: Column) -> Column:
+        before = F.when(k == 0, -1).otherwise(F.get(s["lasts"], k - 1))
+        return F.slice(s["fields"], before + 2, last - before)
+
+    kept = F.filter(F.transform(s["lasts"], record), lambda r: (F.size(r) > 1) | (F.get(r, F.lit(0)) != ""))
+    return F.transform(kept, lambda r: F.transform(r, _unquoted))
+
+
+def _unquoted(raw: Column) -> Column:
+    inner = F.replace(F.substr(raw, F.lit(2), F.char_length(raw) - 2), F.lit('""'), F.lit('"'))
+    return F.when(raw.startswith('"') & (F.char_length(raw) > 1), inner).otherwise(raw)
 
 
 def files(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.cells import number_text
 from quire.functions.sheets import built_in_kind, format_kind, parse_reference, serial_to_timestamp
+from quire.runtime import broadcast_if_small, materialize
 from quire.sources.archives import parts
 
 _SHEET = "sheetData STRUCT<row: ARRAY<STRUCT<c: ARRAY<STRUCT<_r: STRING, _t: STRING, _s: INT, v: STRING, is: STRUCT<t: STRING>>>>>>"
@@ -22,10 +23,10 @@ def _parsed(parts_: DataFrame, like: str, schema: str) -> DataFrame:
     return parts_.where(F.col("part").rlike(like)).select("file", "part", F.from_xml(text, schema, {"ignoreNamespace": "false", "ignoreSurroundingSpaces": "false"}).alias("x"))
 
 
-def _typed(t: Column, v: Column, inline: Column, shared: Column, kind: Column) -> Column:
+def _typed(t: Column, v: Column, inline: Column, shared: Column, kind: Column, since_1904: Column) -> Column:
     """struct(kind, num, bool, text) of a cell from its type, raw value, shared string and number format."""
     number = v.try_cast("double")
-    stamp = serial_to_timestamp(number)
+    stamp = F.when(since_1904, serial_to_timestamp(number, True)).otherwise(serial_to_timestamp(number))
     dated = F.when(kind.isin("date", "time", "dateTime") & stamp.isNotNull(), kind)
     pattern = {"date": "yyyy-MM-dd", "time": "HH:mm:ss", "dateTime": "yyyy-MM-dd'T'HH:mm:ss"}
     text = F
@@ -45,11 +46,13 @@ def xlsx_cells(spark: SparkSession, path: str) -> DataFrame:
 
     Rows and columns count from 0. Shared strings and number formats are joined by index;
     cells without a value, or with a number or index that is none, have no row. Dates follow
-    the 1900 system.
+    the system that the workbook names, 1900 or 1904.
     """
     entries = parts(spark, path)
     cells = _parsed(entries, r"^xl/worksheets/[^/]+\.xml$", _SHEET).select("file", "part", F.explode("x.sheetData.row").alias("r")).select("file", "part", F.explode("r.c").alias("c"))
-    book = _parsed(entries, r"^xl/workbook\.xml$", _BOOK).select("file", F.explode("x.sheets.sheet").alias("s")).select("file", F.col("s._name").alias("sheet"), F.col("s.`_r:id`").alias("rel"))
+    books = _parsed(entries, r"^xl/workbook\.xml$", _BOOK)
+    systems = books.select("file", F.lower("x.workbookPr._date1904").isin("1", "true", "on").alias("since_1904"))
+    book = books.select("file", F.explode("x.sheets.sheet").alias("s")).select("file", F.col("s._name").alias("sheet"), F.col("s.`_r:id`").alias("rel"))
     links = _parsed(entries, r"^xl/_rels/workbook\.xml\.rels$", _RELATIONS).select("file", F.explode("x.Relationship").alias("l"))
     links = links.select("file", F.col("l._Id").alias("rel"), F.concat(F.lit("xl/"), F.regexp_replace("l._Target", r"^/?(?:xl/)?", "")).alias("part"))
     strings = _parsed(entries, r"^xl/sharedStrings\.xml$", _STRINGS).select("file", F.posexplode("x.si").alias("v", "si"))
@@ -63,7 +66,8 @@ def xlsx_cells(spark: SparkSession, path: str) -> DataFrame:
     looked = flat.withColumn("key", F.when(F.col("t") == "s", F.col("v")))
     joined = looked.join(strings.withColumnRenamed("v", "key"), ["file", "key"], "left").join(formats, ["file", "style"], "left")
     named = joined.join(links.join(book, ["file", "rel"]).select("file", "part", "sheet"), ["file", "part"], "left")
-    typed = named.withColumn("cell", _typed(F.col("t"), F.col("v"), F.col("inline"), F.col("shared"), F.coalesce("format", F.lit("number"))))
+    named = named.join(systems, "file", "left")
+    typed = named.withColumn("cell", _typed(F.col("t"), F.col("v"), F.col("inline"), F.col("shared"), F.coalesce("format", F.lit("number")), F.coalesce("since_1904", F.lit(False))))
     there = (F.col("t") == "inlineStr") | (F.col("v").isNotNull() & ((F.coalesce("t", F.lit("n")) != "s") | F.col("shared").isNotNull()) & (F.coalesce("t", F.lit("n")).isin("s", "b", "e", "d", "str") | F.col("v").try_cast("double").isNotNull()))
     return typed.where(there).select("file", F.coalesce("sheet", "part").alias("sheet"), "at.row", "at.column", "cell.*")
 
@@ -106,13 +110,18 @@ def ods_cells(spark: SparkSession, path: str) -> DataFrame:
     return placed.where(kind.isNotNull()).select("file", "sheet", "row", "column", found.alias("kind"), F.when(numeric, number).alias("num"), F.when(kind == "boolean", given("boolean-value") == "true").alias("bool"), text.alias("text"))
 
 
-def table_cells(df: DataFrame, order: list[str], sheet: str) -> DataFrame:
+def table_cells(df: DataFrame, order: list[Column | str], sheet: str) -> DataFrame:
     """A table as long cells (sheet, row, column, text): names in row 0, rows from 1 in an order.
 
-    Row numbers need one order over all rows, so this is for tables that fit a sheet.
+    Rows are dealt by range and sorted; a row's number is its place in its range after the rows
+    of the ranges before, so only one count a range meets in one task. Rows that tie stand in any order.
     """
     names = df.columns
-    numbered = df.withColumn("_row", F.row_number().over(Window.orderBy(*order)).cast("long"))
+    lined = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)))
+    counts = lined.groupBy("_part").agg(F.count("*").alias("_held"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("_held").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = materialize(counts.select("_part", (F.col("_first") - before - 1).alias("_shift")))
+    numbered = lined.join(broadcast_if_small(starts), "_part").withColumn("_row", F.col("_at") - F.col("_shift"))
     body = numbered.select("_row", F.posexplode(F.array(*(F.col(f"`{c}`").cast("string") for c in names))).alias("column", "text"))
     head = df.sparkSession.range(1).select(F.lit(0).cast("long").alias("_row"), F.posexplode(F.array(*map(F.lit, names))).alias("column", "text"))
     return head.unionByName(body).select(F.lit(sheet).alias("sheet"), F.col("_row").alias("row"), "column", "text")

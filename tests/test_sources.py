@@ -93,6 +93,22 @@ INSERT INTO CUSTOMERS VALUES(3,NULL,-1,FALSE,DATE'2024-02-01')
     assert [(r.ID, r.NAME, r.ACTIVE, str(r.SIGNUP_DATE)) for r in rows] == [(1, "O'Brien, (x)", True, "2024-01-15"), (2, "Ann", None, "None"), (3, None, False, "2024-02-01")]
 
 
+def test_script_quotes_and_refusals(spark, tmp_path):
+    head = "CREATE TABLE T(A INTEGER,B VARCHAR(9))\n"
+    script = scripts.statements(spark, put(tmp_path, "q.script", head + "\r\nINSERT INTO T VALUES(1,'two\nlines, ''(x)'' ')\nSET DATABASE UNIQUE NAME X\nINSERT INTO T VALUES(2,'b')"))
+    assert sorted(r.line for r in script.collect()) == [0, 2, 4, 5]
+    assert sorted((r.A, r.B) for r in scripts.read_table(script, "T", {"A": "int", "B": "string"}).collect()) == [(1, "two\nlines, '(x)' "), (2, "b")]
+    for name, text in (("a", "INSERT INTO T VALUES(1,'x'),(2,'y')"), ("b", "INSERT INTO T VALUES(1)"), ("c", "INSERT INTO T(B) VALUES(1,2)"), ("d", "DELETE FROM T"), ("e", "INSERT INTO T VALUES(1,'x)")):
+        with pytest.raises(Exception, match="tuple|number|unknown|quote"):
+            scripts.rows(scripts.statements(spark, put(tmp_path, f"{name}.script", head + text))).collect()
+
+
+def test_many_records_in_linear_time(spark):
+    text = "a,b\r\n" + '1,"x,\n""y"""\n\n' * 20_000
+    found = spark.createDataFrame([(text,)], "t string").select(delimited.records(F.col("t")).alias("r")).select(F.size("r").alias("n"), F.col("r")[20_000].alias("last")).first()
+    assert found.n == 20_001 and found["last"] == ["1", 'x,\n"y"']
+
+
 def test_stream_equals_batch(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     folder = str(tmp_path / "in")

@@ -41,7 +41,7 @@ def test_unseen_misspellings_share_ngrams():
     words = ["".join(rng.choice(list("aeioulnrst"), 5)) for _ in range(300)]
     bad = ["worthless", "disgusting", "pathetic"]
     texts, labels = [], []
-    for k in range(240):
+    for k in range(900):
         body = list(rng.choice(words, 40))
         if k % 3 == 0:
             body[5] = bad[k % 9 // 3]

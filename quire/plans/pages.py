@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.catalog import register
-from quire.operators import factoring, markdown, projection, tables
+from quire.operators import divisions, factoring, markdown, projection, tables
 from quire.runtime import table
 
 ITEMS = "i AS (SELECT l_orderkey, l_linenumber, max(l_returnflag) AS flag, max(l_linestatus) AS status, max(l_quantity) AS quantity FROM lineitem GROUP BY 1, 2)"
@@ -302,3 +302,25 @@ def canonical_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.regexp_extract("props", "[0-9]+", 0)
     text = F.concat(F.lit('{ "k" : '), number, F.lit(', "K": {"b": "'), "event_type", F.lit('", "a": [ {"n": '), F.col("event_id").cast("string"), F.lit(', "m": 1} ]}}'))
     return table(spark, sf_dir, "events").select("event_id", projection.canonical_hash(text).alias("hash"))
+
+
+@register(
+    "division_marks",
+    """WITH o AS (SELECT o_custkey AS doc, o_orderkey AS ord, o_orderstatus AS s, s || '/' || o_orderpriority AS p, (SELECT CASE WHEN min(l_returnflag) = max(l_returnflag) THEN min(l_returnflag) END FROM lineitem WHERE l_orderkey = o_orderkey) AS f,
+                      EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) AS has FROM orders),
+            c AS (SELECT *, CASE WHEN has THEN CASE WHEN f IS NULL THEN [s, p] ELSE [s, p, p || '/' || f] END END AS chain FROM o),
+            w AS (SELECT doc, ord, coalesce(last_value(chain IGNORE NULLS) OVER (PARTITION BY doc ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), []) AS was, chain, lead(ord) OVER (PARTITION BY doc ORDER BY ord) IS NULL AS final FROM c),
+            v AS (SELECT *, coalesce(chain, was) AS now FROM w),
+            k AS (SELECT *, CASE WHEN len(was) = 0 OR was[1] <> now[1] THEN 0 WHEN was[2] <> now[2] THEN 1 WHEN len(was) = 3 AND len(now) = 3 AND was[3] = now[3] THEN 3 ELSE 2 END AS keep FROM v),
+            m AS (SELECT doc, ord, final, now, list_concat(list_transform(list_reverse(was[keep + 1:]), lambda d: struct_pack(kind := 'constructEnd', division := d)), list_transform(now[keep + 1:], lambda d: struct_pack(kind := 'constructStart', division := d)),
+                      [struct_pack(kind := 'block', division := CAST(NULL AS VARCHAR))], CASE WHEN final THEN list_transform(list_reverse(now), lambda d: struct_pack(kind := 'constructEnd', division := d)) ELSE [] END) AS marks FROM k)
+       SELECT doc, ord, unnest(marks).kind AS kind, unnest(marks).division AS division, unnest(range(len(marks))) AS step FROM m""",
+)
+def division_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as documents and orders as blocks, in divisions by status, priority and, where all items have one, flag."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("ord"), "o_orderstatus", "o_orderpriority")
+    priority = F.concat_ws("/", "o_orderstatus", "o_orderpriority")
+    items = orders.join(table(spark, sf_dir, "lineitem"), F.col("ord") == F.col("l_orderkey"))
+    items = items.select("doc", "ord", F.array("o_orderstatus", priority, F.concat_ws("/", priority, "l_returnflag")).alias("chain"))
+    blocks = orders.select("doc", "ord", F.col("ord").alias("at"))
+    return divisions.division_marks(blocks, items, "doc", "ord", "at", "chain").select("doc", F.col("at").alias("ord"), "kind", "division", "step")

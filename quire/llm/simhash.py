@@ -25,18 +25,18 @@ from pyspark.sql import functions as F
 
 from quire.llm.texts import bytes_of, small_batches
 from quire.operators.components import components
-from quire.runtime import broadcast_if_small, materialize
+from quire.runtime import broadcast_if_small, discard, materialize
 
 SEED = 42
 BITS = 64
 #: Segments of the popcount embedding: 16 segments of 4 bits give 33 cells a fingerprint.
 SEGMENTS = 16
 #: Fingerprints a text in near_copies, their bits and segments, and the longest words that they
-#: leave out. At a similarity of 0.8 one of 48 bits is within two bits for about a third of pairs,
-#: one of 64 for a sixth. Segments of three bits make cells that unlike texts seldom share.
-BANDS = 9
-BAND_BITS = 48
-BAND_SEGMENTS = 16
+#: leave out. Fewer bits are within two bits for more of the pairs at a similarity of 0.8, and
+#: short segments make cells that unlike texts seldom share.
+BANDS = 8
+BAND_BITS = 40
+BAND_SEGMENTS = 20
 SHORT = 4
 #: Shingle minima a text: texts that meet are compared where they share one, at 0.8 in 998 of 1,000 cases.
 MINIMA = 4
@@ -118,17 +118,41 @@ def midpoints(fp: Column, segment: Column, up: Column, segments: int = SEGMENTS,
     return F.when(segment.isNull(), F.array(fp)).otherwise(F.transform(fitting, lambda bit: fp.bitwiseXOR(bit)))
 
 
-def _met(points: DataFrame, segments: int, bits: int = BITS, busy_rows: int = BUSY_ROWS) -> tuple[DataFrame, DataFrame]:
+def _met(points: DataFrame, segments: int) -> tuple[DataFrame, DataFrame]:
     """(rep, band, mid) of points that meet others in a cell, and (band, mid, dst) of the values at most one flip from two or more."""
-    cells = entered(points, segments, bits)
+    cells = entered(points, segments)
     busy = materialize(cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell"))
-    near = cells.join(broadcast_if_small(busy, busy_rows) if busy_rows else busy, "cell")
-    mids = midpoints(F.col("fp"), F.col("segment"), F.col("up"), segments, bits)
-    near = materialize(near.select("rep", F.shiftright("cell", 48).alias("band"), F.explode(mids).alias("mid")))
+    near = cells.join(broadcast_if_small(busy, BUSY_ROWS), "cell")
+    mids = midpoints(F.col("fp"), F.col("segment"), F.col("up"), segments)
+    return _stars(near.select("rep", F.shiftright("cell", 48).alias("band"), F.explode(mids).alias("mid")))
+
+
+def _stars(near: DataFrame) -> tuple[DataFrame, DataFrame]:
+    near = materialize(near)
     stars = near.groupBy("band", "mid").agg(F.min("rep").alias("dst"), F.max("rep").alias("hi")).where("dst <> hi")
     return near, materialize(stars.select("band", "mid", "dst"))
 
 
+def _met_banded(texts: DataFrame, spread: int) -> tuple[DataFrame, DataFrame]:
+    """As _met, for texts (place, rep, fps) with a fingerprint for each band.
+
+    Most cells hold one point, so an entry is shuffled as two numbers, its cell, and the text's
+    place and its way into the cell; the fingerprint follows for entries of shared cells only.
+    """
+    points = texts.select(F.col("place").alias("rep"), F.posexplode("fps").alias("band", "fp")).repartition(spread)
+    cells = entered(points, BAND_SEGMENTS, BAND_BITS)
+    code = F.when(F.col("segment").isNull(), 0).otherwise(2 * F.col("segment") + F.when(F.col("up"), 1).otherwise(2))
+    cells = cells.select("cell", (F.shiftleft("rep", 6) + code).alias("entry"))
+    busy = materialize(cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell"))
+    shared = cells.join(busy, "cell").select(F.shiftright("entry", 6).alias("place"), F.shiftright("cell", 48).cast("int").alias("band"), F.col("entry").bitwiseAND(F.lit(63).cast("long")).cast("int").alias("code"))
+    known = shared.join(texts.select("place", "rep", "fps"), "place").select("rep", "band", "code", F.expr("fps[band]").alias("fp"))
+    segment = F.when(F.col("code") > 0, F.expr("(code - 1) div 2").cast("int"))
+    mids = midpoints(F.col("fp"), segment, F.col("code") % 2 == 1, BAND_SEGMENTS, BAND_BITS)
+    near, stars = _stars(known.select("rep", "band", F.explode(mids).alias("mid")))
+    discard(busy)
+    return near, stars
+
+
 def links(points: DataFrame, segments: int = SEGMENTS) -> DataFrame:
     """Star edges (src, dst) whose components are those of Hamming distance at most 2 among points (fp, rep).
 
@@ -221,14 +245,14 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, bands:
     body = F.coalesce(F.col("text").cast("string"), F.lit(""))
     hashed = docs.select(F.col("doc_id").cast("long").alias("id"), F.md5(body.cast("binary")).alias("h"), bytes_of("text").alias("t"))
     prints = materialize(hashed.mapInArrow(run, "id long, h string, fps array<bigint>, minima array<bigint>"))
-    texts = materialize(prints.groupBy("h").agg(F.min("id").alias("rep"), F.min_by("fps", "id").alias("fps"), F.min_by("minima", "id").alias("minima")))
-    spread = 4 * docs.sparkSession.sparkContext.defaultParallelism
-    points = texts.where("rep IS NOT NULL").select("rep", F.posexplode("fps").alias("band", "fp")).repartition(spread)
-    near, stars = _met(points, BAND_SEGMENTS, BAND_BITS, 0)  # too many busy cells to broadcast
+    once = prints.groupBy("h").agg(F.min("id").alias("rep"), F.min_by("fps", "id").alias("fps"), F.min_by("minima", "id").alias("minima"))
+    texts = materialize(once.withColumn("place", F.monotonically_increasing_id()))
+    near, stars = _met_banded(texts.where("rep IS NOT NULL"), 4 * docs.sparkSession.sparkContext.defaultParallelism)
     met = near.join(stars, ["band", "mid"]).select("band", "mid", "rep").distinct()
     met = met.join(texts.select("rep", "minima"), "rep").select("band", "mid", "rep", F.posexplode("minima").alias("j", "least"))
     members = met.select("band", F.xxhash64("mid", "j", "least").alias("mid"), "rep")
     found = alike_groups(docs, members, width, similarity)
+    discard(near, stars)
     named = texts.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("h", F.coalesce("component", "rep").alias("component_id"))
     return prints.join(materialize(named), "h").select(F.col("id").alias("doc_id"), "component_id")
 
@@ -236,7 +260,8 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, bands:
 def alike_groups(docs: DataFrame, members: DataFrame, width: int, similarity: float) -> DataFrame:
     """(node, component) by the alike pairs of ids that share a group (band, mid, rep).
 
-    Each group is first a star around its smallest id. Texts of groups whose members then still
+    Each group is first a star around its smallest id: a text is compared with the smallest of
+    its hubs, and with the others where that leaves them apart. Texts of groups whose members then still
     lie in several components are grouped anew by their rarest shingles, see rare_groups: every
     alike pair among them shares one, while a passage that many unlike texts have, or the text
     under many heavy edits, is not among the rarest. These groups end in rounds, see _settled.
@@ -245,7 +270,14 @@ def alike_groups(docs: DataFrame, members: DataFrame, width: int, similarity: fl
     hubs = members.groupBy("band", "mid").agg(F.min("rep").alias("dst"), F.max("rep").alias("hi")).where("dst <> hi").drop("hi")
     members = materialize(members.join(hubs, ["band", "mid"]).select("band", "mid", "rep"))
     pairs = materialize(members.join(hubs, ["band", "mid"]).where("rep <> dst").select(F.col("rep").alias("src"), "dst").distinct())
-    linked = materialize(_alike(docs, pairs, width, similarity))
+    first = materialize(pairs.groupBy("src").agg(F.min("dst").alias("dst")))
+    labels = components(materialize(_alike(docs, first, width, similarity)))
+    label = lambda end: labels.select(F.col("node").alias(end), F.col("component").alias(f"_{end}"))
+    apart = F.coalesce("_src", "src") != F.coalesce("_dst", "dst")
+    rest = pairs.join(first, ["src", "dst"], "left_anti").join(label("src"), "src", "left").join(label("dst"), "dst", "left").where(apart)
+    rest = materialize(rest.select("src", "dst"))
+    linked = materialize(forest(labels).union(_alike(docs, rest, width, similarity)))
+    pairs = first.union(rest)
     labels = components(linked).withColumnRenamed("node", "rep")
     labelled = members.join(labels, "rep", "left").select("band", "mid", "rep", F.coalesce("component", "rep").alias("c"))
     mixed = materialize(labelled.groupBy("band", "mid").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band", "mid"))
@@ -253,6 +285,11 @@ def alike_groups(docs: DataFrame, members: DataFrame, width: int, similarity: fl
     return _settled(docs, rare_groups(docs, texts, width, similarity), linked, pairs, width, similarity)
 
 
+def forest(labels: DataFrame) -> DataFrame:
+    """(src, dst): one edge from each node of (node, component) to its component's smallest, which has the same components."""
+    return labels.where("node <> component").select(F.col("node").alias("src"), F.col("component").alias("dst"))
+
+
 def rare_groups(docs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
     """(band, mid, rep, n, place): the texts (rep) under each of their rarest shingles, so many that alike texts share one.
 
@@ -321,7 +358,7 @@ def _settled(docs: DataFrame, members: DataFrame, linked: DataFrame, done: DataF
         enough = may_reach(similarity, F.least(F.col("n") - F.col("place"), F.col("n1") - F.col("place1")), F.col("n") + F.col("n1"))
         crossed = hubs.join(within, ["band", "mid"]).where((F.col("c") != F.col("c1")) & enough).select(F.greatest("one", "rep").alias("src"), F.least("one", "rep").alias("dst")).distinct()
         pairs = materialize(crossed.join(done, ["src", "dst"], "left_anti"))
-        linked = materialize(linked.union(_alike(docs, pairs, width, similarity)))
+        linked = materialize(forest(labels.withColumnRenamed("rep", "node")).union(_alike(docs, pairs, width, similarity)))
         done, tried = done.union(pairs), tried.union(hubs.select("band", "mid", F.col("one").alias("rep")))
         lots *= 64
 

@@ -267,7 +267,10 @@ def alike_groups(docs: DataFrame, members: DataFrame, width: int, similarity: fl
     under many heavy edits, is not among the rarest. These groups end in rounds, see _settled.
     """
     members = materialize(members)
-    hubs = members.groupBy("band", "mid").agg(F.min("rep").alias("dst"), F.max("rep").alias("hi")).where("dst <> hi").drop("hi")
+    whole = (F.min("rep").alias("dst"), F.max("rep").alias("hi"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"))
+    groups = members.groupBy("band", "mid").agg(*whole).where("dst <> hi")
+    once = groups.groupBy("dst", "hi", "n", "x").agg(F.min(F.struct("band", "mid")).alias("g"))  # groups of the same members are one
+    hubs = materialize(once.select("g.band", "g.mid", "dst"))
     members = materialize(members.join(hubs, ["band", "mid"]).select("band", "mid", "rep"))
     pairs = materialize(members.join(hubs, ["band", "mid"]).where("rep <> dst").select(F.col("rep").alias("src"), "dst").distinct())
     first = materialize(pairs.groupBy("src").agg(F.min("dst").alias("dst")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.catalog import register
 from quire.functions import markup, sheets, units
-from quire.operators import documents, joins, layout, styles
+from quire.operators import documents, joins, layout, paths, styles
 from quire.runtime import table
 
 
@@ -256,6 +256,32 @@ def affine_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moved.select("l_orderkey", "l_linenumber", F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y"))
 
 
+@register(
+    "path_boxes",
+    """WITH s AS (SELECT l_orderkey, l_linenumber AS n, l_quantity AS dx, CAST(l_suppkey % 60 - 30 AS DOUBLE) AS dy, CAST(l_partkey % 200 - 100 AS DOUBLE) AS cx, CAST(l_partkey % 130 - 65 AS DOUBLE) AS cy,
+                   row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS i FROM lineitem),
+            m AS (SELECT l_orderkey, i, i % 4 = 2 AS bent, CASE WHEN i > 1 AND i % 4 = 3 THEN 0 ELSE dx END AS dx, CASE WHEN i > 1 AND i % 4 = 1 THEN 0 ELSE dy END AS dy, cx, cy FROM s),
+            p AS (SELECT *, sum(dx) OVER w - dx AS x, sum(dy) OVER w - dy AS y, CASE WHEN bent AND dx <> 2 * cx THEN -cx / (dx - 2 * cx) END AS tx, CASE WHEN bent AND dy <> 2 * cy THEN -cy / (dy - 2 * cy) END AS ty
+                  FROM m WINDOW w AS (PARTITION BY l_orderkey ORDER BY i)),
+            e AS (SELECT *, CASE WHEN tx > 0 AND tx < 1 THEN x + 2 * tx * (1 - tx) * cx + tx * tx * dx ELSE x END AS ex, CASE WHEN ty > 0 AND ty < 1 THEN y + 2 * ty * (1 - ty) * cy + ty * ty * dy ELSE y END AS ey FROM p WHERE i > 1)
+       SELECT l_orderkey, count(*) AS n_segments, round(min(least(x, x + dx, ex)), 8) AS "left", round(min(least(y, y + dy, ey)), 8) AS top, round(max(greatest(x, x + dx, ex)), 8) AS "right", round(max(greatest(y, y + dy, ey)), 8) AS bottom
+       FROM e GROUP BY l_orderkey""",
+)
+def path_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The box of a path per order: its items are moves, curves, verticals, lines and horizontals in turn."""
+    items = table(spark, sf_dir, "lineitem").withColumn("i", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")))
+    dx, dy, cx, cy = F.col("l_quantity"), F.expr("l_suppkey % 60 - 30"), F.expr("l_partkey % 200 - 100"), F.expr("l_partkey % 130 - 65")
+    turn = F.col("i") % 4
+    step = (
+        F.when(F.col("i") == 1, F.concat_ws(" ", F.lit("m"), dx, dy)).when(turn == 2, F.concat_ws(" ", F.lit("q"), cx, cy, dx, dy))
+        .when(turn == 3, F.concat_ws(" ", F.lit("v"), dy)).when(turn == 0, F.concat_ws(",", F.concat(F.lit("l"), dx), dy)).otherwise(F.concat_ws(" ", F.lit("h"), dx))
+    )
+    steps = F.array_sort(F.collect_list(F.struct("i", step.alias("d"))))
+    drawn = items.groupBy("l_orderkey").agg(F.array_join(steps["d"], "").alias("d"))
+    boxes = paths.path_boxes(paths.path_segments(drawn, "l_orderkey", "d"), ["l_orderkey"])
+    return boxes.select("l_orderkey", "n_segments", *(F.round(c, 8).alias(c) for c in ("left", "top", "right", "bottom")))
+
+
 @register("package_json", "SELECT o_orderkey, o_orderstatus AS status, l_linenumber AS line, l_quantity AS quantity FROM orders JOIN lineitem ON l_orderkey = o_orderkey")
 def package_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as JSON packages with their items, written and read again by their schema."""

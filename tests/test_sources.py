@@ -79,6 +79,38 @@ def test_workbook_cells(spark, tmp_path):
     assert tuple(wide[1])[2:] == ("42.5", "2026-07-31", "TRUE")
 
 
+def test_workbook_side_tables(spark, tmp_path):
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    office = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    links = lambda *pairs: "<Relationships>" + "".join(f'<Relationship Id="r{i}" Type="{office}/{kind}" Target="{to}"/>' for i, (kind, to) in enumerate(pairs)) + "</Relationships>"
+    names = "<definedNames>" + "".join(
+        f'<definedName name="{name}"{of}>{value}</definedName>'
+        for name, of, value in (
+            ("_xlnm.Print_Area", ' localSheetId="1"', "'My ! sheet'!$C$9:$A$2,'My ! sheet'!$Z$1"), ("_xlnm.Print_Titles", ' localSheetId="1"', "Two!$D:$B, Two!$1:$3"), ("_xlnm.Print_Titles", ' localSheetId="0"', "One!$A$1:$B$2"),
+            ("_xlnm.Print_Area", "", "One!$A$1"), ("_xlnm.Print_Area", ' localSheetId="7"', "One!$A$1"), ("other", ' localSheetId="0"', "One!$A$1"),
+        )
+    ) + "</definedNames>"
+    note = lambda ref, author, text: f'<comment ref="{ref}" authorId="{author}">{text}</comment>'
+    notes = note("B2", 1, "<text><r><t>Ask</t></r><r><t xml:space=\"preserve\"> again</t></r></text>") + note("A1", 0, "<text><t>old</t></text>") + note("A1", 9, "<text><t>new</t></text>") + note("C1", 0, "") + note("1A", 0, "<text><t>x</t></text>")
+    put(tmp_path, "side.xlsx", zipped({
+        "xl/workbook.xml": f'<workbook {main} xmlns:r="{office}"><sheets><sheet name="One" sheetId="4" r:id="r0"/><sheet name="Two" sheetId="2" r:id="r1"/></sheets>{names}</workbook>',
+        "xl/_rels/workbook.xml.rels": links(("worksheet", "worksheets/sheet1.xml"), ("worksheet", "/xl/worksheets/sheet2.xml")),
+        "xl/worksheets/sheet1.xml": f'<worksheet {main}><sheetData><row r="1"><c r="A1"><v>5</v></c></row></sheetData><mergeCells count="2"><mergeCell ref="A1:B3"/><mergeCell ref="E5:D4"/><mergeCell ref="x"/></mergeCells></worksheet>',
+        "xl/worksheets/sheet2.xml": f"<worksheet {main}><sheetData/></worksheet>",
+        "xl/worksheets/_rels/sheet1.xml.rels": links(("drawing", "../comments9.xml"), ("comments", "../comments1.xml")),
+        "xl/comments1.xml": f"<comments {main}><authors><author>Kim</author><author>Lou</author></authors><commentList>{notes}</commentList></comments>",
+        "xl/comments9.xml": f"<comments {main}><authors/><commentList>{note('H8', 0, '<text><t>x</t></text>')}</commentList></comments>",
+    }))
+    path = str(tmp_path / "side.xlsx")
+    merges, comments = spreadsheets.xlsx_merges(spark, path), spreadsheets.xlsx_comments(spark, path)
+    assert sorted(tuple(r)[1:] for r in merges.collect()) == [("One", 0, 0, 3, 2), ("One", 3, 3, 2, 2)]
+    assert sorted(tuple(r)[1:] for r in comments.collect()) == [("One", 0, 0, None, "new"), ("One", 1, 1, "Lou", "Ask again")]
+    got = {r.sheet: (r.print_range and tuple(r.print_range), r.repeat_rows and tuple(r.repeat_rows), r.repeat_columns and tuple(r.repeat_columns)) for r in spreadsheets.xlsx_print_settings(spark, path).collect()}
+    assert got == {"One": (None, None, None), "Two": ((1, 0, 8, 2), (0, 2), (1, 3))}
+    cells = spreadsheets.with_notes(spreadsheets.xlsx_cells(spark, path), merges, comments)
+    assert sorted((r.row, r.column, r.kind, r.num, r.n_rows, r.n_columns, r.comment) for r in cells.collect()) == [(0, 0, "number", 5.0, 3, 2, "new"), (1, 1, "empty", None, 1, 1, "Ask again"), (3, 3, "empty", None, 2, 2, None)]
+
+
 def test_script_tables(spark, tmp_path):
     text = """CREATE SCHEMA PUBLIC AUTHORIZATION DBA
 CREATE MEMORY TABLE CUSTOMERS(ID INTEGER NOT NULL PRIMARY KEY,NAME VARCHAR(50),"Mixed Case" DECIMAL(10,2),ACTIVE BOOLEAN,SIGNUP_DATE DATE,CONSTRAINT U UNIQUE(ID))

@@ -16,7 +16,7 @@ from quire.runtime import broadcast_if_small, materialize
 RULES = [
     ("com", "/en/", "block"),
     ("example.com", "/en/7", "allow"),
-    ("net", "/de/", "block"),
+    ("net", "/de/", "allow"),
     ("example.net", "/de/8", "block"),
     ("org", "/es/", "block"),
 ]

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from quire.operators import joins, layout
+from quire.operators import layout
 from quire.operators.components import components
 
 #: Width of a column in which no item reports one.
@@ -21,7 +23,7 @@ def place_cells(cells: DataFrame, keys: Sequence[str], row: str, order: str, row
     Rows count from 0 in the order of row, and a cell takes the first column that no earlier
     cell of its row, and no cell above with a row span, holds. A span is at least 1; a row span
     ends with the table. Without spans this is a ranking. With them, places depend on all rows
-    before, so each table's spans (numbers only) are folded in one group.
+    before, so the cells of a table go through one task in order, which holds one row's columns.
     """
     names = ("row_index", "column_index", "row_span", "column_span")
     ranked = cells.withColumn("_row", F.dense_rank().over(Window.partitionBy(*keys).orderBy(row)) - 1)
@@ -30,34 +32,31 @@ def place_cells(cells: DataFrame, keys: Sequence[str], row: str, order: str, row
         placed = {"row_index": F.col("_row"), "column_index": F.row_number().over(within) - 1, "row_span": F.lit(1), "column_span": F.lit(1)}
         return ranked.withColumns({n: c.cast("int") for n, c in placed.items()}).drop("_row")
     spans = {f"_{axis}": F.greatest(F.coalesce(F.col(c).cast("int") if c else F.lit(1), F.lit(1)), F.lit(1)) for axis, c in (("down", row_span), ("across", column_span))}
-    ranked = ranked.withColumn("_n", F.row_number().over(within)).withColumns(spans)
-
-    def occupy(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("_row", "ascending"), ("_n", "ascending")])
-        last = rows["_row"][-1].as_py()
-        held: dict[int, int] = {}  # column to the last row that it is taken in
-        at, column, columns, downs = -1, 0, [], []
-        for row_, down, across in zip(*(rows[c].to_pylist() for c in ("_row", "_down", "_across"))):
-            if row_ != at:
-                at, column = row_, 0
-            while any(held.get(c, -1) >= row_ for c in range(column, column + across)):
-                column += 1
-            downs.append(min(down, last - row_ + 1))
-            columns.append(column)
-            for c in range(column, column + across):
-                held[c] = row_ + downs[-1] - 1
-            column += across
-        placed = {c: rows[c] for c in (*keys, "_row", "_n")} | {"_column": pa.array(columns, pa.int32()), "_held": pa.array(downs, pa.int32())}
-        return pa.table(placed)
-
-    types = {f.name: f.dataType.simpleString() for f in ranked.schema}
-    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "_row int, _n int, _column int, _held int"])
-    found = ranked.select(*keys, "_row", "_n", "_down", "_across").groupBy(*keys).applyInArrow(occupy, schema)
-    other = found.withColumnsRenamed({k: f"_key_{k}" for k in keys} | {"_row": "_r", "_n": "_m"})
-    same = [ranked[k].eqNullSafe(other[f"_key_{k}"]) for k in keys] + [ranked["_row"] == other["_r"], ranked["_n"] == other["_m"]]
-    joined = ranked.join(other, same)
-    made = dict(zip(names, (F.col("_row"), F.col("_column"), F.col("_held"), F.col("_across"))))
-    return joined.withColumns({n: c.cast("int") for n, c in made.items()}).select(*cells.columns, *names)
+    ranked = ranked.withColumns({"_n": F.row_number().over(within), "_last": F.max("_row").over(Window.partitionBy(*keys))}).withColumns(spans)
+    shown = [*cells.columns, *names]
+
+    def occupy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, at, column = None, {}, -1, 0  # held: column to the last row that it is taken in
+        for batch in batches:
+            columns, downs = [], []
+            table = zip(*(batch.column(k).to_pylist() for k in keys))
+            for now, row_, last, down, across in zip(table, *(batch.column(c).to_pylist() for c in ("_row", "_last", "_down", "_across"))):
+                if now != key:
+                    key, held, at = now, {}, -1
+                if row_ != at:
+                    at, column = row_, 0
+                while any(held.get(c, -1) >= row_ for c in range(column, column + across)):
+                    column += 1
+                downs.append(min(down, last - row_ + 1))
+                columns.append(column)
+                for c in range(column, column + across):
+                    held[c] = row_ + downs[-1] - 1
+                column += across
+            made = [batch.column("_row"), pa.array(columns, pa.int32()), pa.array(downs, pa.int32()), batch.column("_across")]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(shown) - len(names)], *made], shown)
+
+    schema = StructType([*cells.schema.fields, *(StructField(n, IntegerType()) for n in names)])
+    return ranked.select(*cells.columns, "_row", "_n", "_last", "_down", "_across").sortWithinPartitions(*keys, "_row", "_n").mapInArrow(occupy, schema)
 
 
 def tagged_tables(nodes: DataFrame, items: DataFrame, page: str, row_span: str | None = None, column_span: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -69,35 +68,74 @@ def tagged_tables(nodes: DataFrame, items: DataFrame, page: str, row_span: str |
     row_index, column_index, row_span, column_span, text) and (page, table, column_index, width),
     the width being the extent of the items of the column's cells, COLUMN_WIDTH where none has one.
     """
-    kinds = {"_cell": ("TD", "TH"), "_row": ("TR",), "_table": ("Table",)}
-    near = nodes.select(page, "id", "parent", "type")
-    up = _ancestors(near, page, kinds)
-    spans = [c for c in (row_span, column_span) if c]
-    known = nodes.select(page, F.col("id").alias("_cell"), F.col("place").alias("_order"), *spans)
-    rows = nodes.select(page, F.col("id").alias("_row"), F.col("place").alias("_row_order"))
-    cells = up.where("_cell = id AND _row IS NOT NULL AND _table IS NOT NULL").select(page, "_table", "_row", "_cell").join(known, [page, "_cell"]).join(rows, [page, "_row"])
-    placed = place_cells(cells, [page, "_table"], "_row_order", "_order", row_span, column_span).select(page, F.col("_table").alias("table"), "_cell", "row_index", "column_index", F.col("row_span"), F.col("column_span"))
-    owned = items.join(up.select(page, F.col("id").alias("node"), "_cell"), [page, "node"]).where("_cell IS NOT NULL")
-    held = owned.groupBy(page, "_cell").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "text"))), lambda i: i["text"]), " ").alias("text"),
+    spans = [F.col(c).cast("int") if c else F.lit(None).cast("int") for c in (row_span, column_span)]
+    tree = nodes.select(page, F.lit(0).alias("_kind"), "id", "parent", "type", F.col("place").alias("_place"), *(F.lit(None).cast("int").alias(c) for c in ("_row_span", "_column_span")))
+    cells = nodes.where(F.col("type").isin("TD", "TH")).select(page, F.lit(1).alias("_kind"), "id", spans[0].alias("_row_span"), spans[1].alias("_column_span"))
+    held = items.select(page, F.lit(2).alias("_kind"), F.col("node").alias("id"), "place", "x", "width", "text")
+    placed = _in_cells(tree.unionByName(cells, allowMissingColumns=True).unionByName(held, allowMissingColumns=True), page)
+    full = placed.groupBy(page, "table", "_row_order", "_order", "_cell").agg(
+        F.max("_row_span").alias("_row_span"),
+        F.max("_column_span").alias("_column_span"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("_kind") == 2, F.struct("place", "text")))), lambda i: i["text"]), " ").alias("text"),
         F.min("x").alias("_x1"),
         F.max(F.col("x") + F.coalesce("width", F.lit(0.0))).alias("_x2"),
     )
-    full = placed.join(held, [page, "_cell"], "left")
+    full = place_cells(full, [page, "table"], "_row_order", "_order", "_row_span" if row_span else None, "_column_span" if column_span else None)
     extent = F.max("_x2") - F.min("_x1")
     columns = full.groupBy(page, "table", "column_index").agg(F.when(extent > 0, extent).otherwise(COLUMN_WIDTH).alias("width"))
-    return full.select(page, "table", "row_index", "column_index", "row_span", "column_span", F.coalesce("text", F.lit("")).alias("text")), columns
-
-
-def _ancestors(nodes: DataFrame, page: str, kinds: dict[str, tuple[str, ...]]) -> DataFrame:
-    """(page, id, a column for each kind): the nearest node of the first kind at or above a node, of the second above that, and so on."""
-    out = nodes.select(page, "id", F.col("id").alias("_at"))
-    for name, types in kinds.items():
-        chosen = nodes.select(F.struct(page, "id").alias("k"), F.when(F.col("parent").isNotNull(), F.struct(page, F.col("parent").alias("id"))).alias("up"), F.col("type").isin(*types).alias("chosen"))
-        found = joins.nearest_ancestor(chosen, "k", "up", "chosen").select(F.col("k")[page].alias(page), F.col("k.id").alias("_at"), F.col("ancestor.id").alias(name))
-        above = nodes.select(page, F.col("id").alias(name), F.col("parent").alias("_next"))
-        out = out.join(found, [page, "_at"], "left").drop("_at").join(above, [page, name], "left").withColumnRenamed("_next", "_at")
-    return out.drop("_at")
+    return full.select(page, "table", "row_index", "column_index", "row_span", "column_span", "text"), columns
+
+
+def _in_cells(rows: DataFrame, page: str) -> DataFrame:
+    """Rows of cells and items (_kind above 0) that lie in a table, with table, _row_order, _order and _cell.
+
+    A page's tree (_kind 0) comes before its other rows. Its links are held while these pass, so a page's rows
+    go through one task; the rows themselves are not held.
+    """
+    types = {f.name: f.dataType for f in rows.schema}
+    kept = [f for f in rows.schema if f.name not in ("id", "parent", "type", "_place")]
+    made = [StructField("table", types["id"]), StructField("_row_order", types["_place"]), StructField("_order", types["_place"]), StructField("_cell", types["id"])]
+    schema = StructType([*kept, *made])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, tree, found = None, {}, {}
+
+        def up(node: object, *kinds: str) -> object:
+            """The nearest node of these kinds at or above one; None where none is, and where the way is a cycle."""
+            seen = set()
+            while node in tree and tree[node][1] not in kinds:
+                if node in seen:
+                    return None
+                seen.add(node)
+                node = tree[node][0]
+            return node if node in tree else None
+
+        def place(node: object) -> tuple | None:
+            cell = up(node, "TD", "TH")
+            row = up(tree[cell][0], "TR") if cell is not None else None
+            table = up(tree[row][0], "Table") if row is not None else None
+            return None if table is None else (table, tree[row][2], tree[cell][2], cell)
+
+        for batch in batches:
+            taken, places = [], []
+            for i, (now, kind, node, *link) in enumerate(zip(*(batch.column(c).to_pylist() for c in (page, "_kind", "id", "parent", "type", "_place")))):
+                if now != at:
+                    at, tree, found = now, {}, {}
+                if kind == 0:
+                    tree[node] = link
+                    continue
+                if node not in found:
+                    found[node] = place(node)
+                if found[node] is not None:
+                    taken.append(i)
+                    places.append(found[node])
+            if taken:
+                own = batch.select([f.name for f in kept]).take(pa.array(taken, pa.int32()))
+                more = [pa.array(c, t) for c, t in zip(zip(*places), (to_arrow_type(f.dataType) for f in made))]
+                yield pa.RecordBatch.from_arrays([*own.columns, *more], [f.name for f in schema])
+
+    known = rows.where(F.col(page).isNotNull() & F.col("id").isNotNull())
+    return known.repartition(page).sortWithinPartitions(page, "_kind").mapInArrow(run, schema)
 
 
 def merged_cells(cells: DataFrame, rules: DataFrame, keys: Sequence[str], slack: float = 0.5) -> DataFrame:

@@ -41,6 +41,35 @@ def test_tagged_tables_ignore_what_is_not_in_a_cell(spark):
     assert sorted(map(tuple, columns.collect())) == [("p", "t", 0, 40.0), ("p", "t", 1, 11.0)]
 
 
+def test_tables_over_many_batches_take_few_exchanges(spark):
+    """Tables inside cells, a cycle, a missing parent and a null page, with batches that cut pages and tables."""
+    nodes, items = [], []
+    for p in range(7):
+        for t in range(3):
+            top = f"t{t}"
+            nodes += [(p, top, None if t < 2 else "d1-1-0", "Table", 0, 1), (p, f"b{t}", top, "TBody", 0, 1)]
+            for r in range(4):
+                nodes.append((p, f"r{t}-{r}", f"b{t}", "TR", r, 1))
+                nodes += [(p, f"d{t}-{r}-{c}", f"r{t}-{r}", "TD", c, 1 + (r + c) % 2) for c in range(2)]
+                items += [(p, f"d{t}-{r}-{c}", 0, float(c), 1.0, f"{p}{t}{r}{c}") for c in range(2)]
+        nodes += [(p, "u", "v", "TD", 0, 1), (p, "v", "u", "TR", 0, 1), (p, "w", "none", "TD", 0, 1)]
+        items += [(p, "u", 0, 0.0, 1.0, "no"), (p, "w", 0, 0.0, 1.0, "no")]
+    nodes.append((None, "d", None, "TD", 0, 1))
+    tree = spark.createDataFrame(nodes, "page int, id string, parent string, type string, place int, across int")
+    texts = spark.createDataFrame(items, "page int, node string, place int, x double, width double, text string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        cells, _ = tables.tagged_tables(tree, texts, "page", None, "across")
+        found = {(c.page, c.table, c.row_index, c.column_index): (c.column_span, c.text) for c in cells.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    expected = {(p, f"t{t}", r, 0 if c == 0 else 1 + r % 2): (1 + (r + c) % 2, f"{p}{t}{r}{c}") for p in range(7) for t in range(3) for r in range(4) for c in range(2)}
+    assert found == expected
+    plan = cells._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning") <= 3 and "FlatMapGroupsInArrow" not in plan
+
+
 def test_cells_without_a_wall_are_one(spark):
     # three by three; the middle row is open to the right, and the first column open downwards from there
     walls = [(0, 0, 90, 0), (0, 90, 90, 90), (0, 0, 0, 90), (90, 0, 90, 90), (0, 30, 90, 30), (30, 60, 90, 60), (30, 0, 30, 30), (60, 0, 60, 30), (30, 60, 30, 90), (60, 60.2, 60, 90)]

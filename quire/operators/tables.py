@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from math import floor
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
 
 from quire.operators import layout
-from quire.operators.components import components
 
 #: Width of a column in which no item reports one.
 COLUMN_WIDTH = 40.0
@@ -135,7 +135,16 @@ def _in_cells(rows: DataFrame, page: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*own.columns, *more], [f.name for f in schema])
 
     known = rows.where(F.col(page).isNotNull() & F.col("id").isNotNull())
-    return known.repartition(page).sortWithinPartitions(page, "_kind").mapInArrow(run, schema)
+    return _by_page(known, [page], "_kind").mapInArrow(run, schema)
+
+
+def _by_page(rows: DataFrame, keys: Sequence[str], *order: str) -> DataFrame:
+    """Rows with all of a page in one partition, in order.
+
+    They are dealt by a column made of the keys: where all sides of a union are dealt by the keys themselves, Spark
+    leaves such a step out, and AQE may then join partitions of each side differently.
+    """
+    return rows.withColumn("_dealt", F.xxhash64(*keys)).repartition("_dealt").sortWithinPartitions(*keys, *order)
 
 
 def merged_cells(cells: DataFrame, rules: DataFrame, keys: Sequence[str], slack: float = 0.5) -> DataFrame:
@@ -145,28 +154,104 @@ def merged_cells(cells: DataFrame, rules: DataFrame, keys: Sequence[str], slack:
     are one by components over neighbours, so a merged cell of any shape has one row, the box
     around it; row and column are its first.
     """
-    edges = cells.select(*keys, "row", "column", F.lit("x").alias("axis"), F.col("x2").alias("at"), ((F.col("y1") + F.col("y2")) / 2).alias("middle"))
-    edges = edges.union(cells.select(*keys, "row", "column", F.lit("y"), F.col("y2"), (F.col("x1") + F.col("x2")) / 2))
+    return _met(cells, rules, None, keys, slack).select(*keys, "row", "column", "row_span", "column_span", "x1", "y1", "x2", "y2")
+
+
+def _met(cells: DataFrame, rules: DataFrame, items: DataFrame | None, keys: Sequence[str], slack: float) -> DataFrame:
+    """Merged cells, and the items (x, y, others) that lie in each: (keys, row, column, spans, box, _in, others), the box and spans null for items.
+
+    A page's rules come first, its lattice cells by row and column, then its items, through one task
+    that holds the rules and cells of that page.
+    """
     upright = F.abs(F.col("x2") - F.col("x1")) <= slack
-    low, high = (F.when(upright, f("y1", "y2")).otherwise(f("x1", "x2")).alias(n) for f, n in ((F.least, "low"), (F.greatest, "high")))
-    lines = rules.select(*keys, F.when(upright, "x").otherwise("y").alias("axis"), F.when(upright, F.col("x1")).otherwise(F.col("y1")).alias("rule"), low, high)
-    # rules and edges of one page meet on a grid as wide as the slack; a rule near a cell's border is entered beside it as well
-    entered = lines.withColumn("_cell", F.explode(F.array(*(F.floor(F.col("rule") / (2 * slack)) + i for i in (-1, 0, 1)))))
-    walled = edges.withColumn("_cell", F.floor(F.col("at") / (2 * slack))).join(entered, [*keys, "axis", "_cell"]).where((F.abs(F.col("rule") - F.col("at")) <= 2 * slack) & F.col("middle").between(F.col("low"), F.col("high")))
-    open_ = edges.join(walled.select(*keys, "row", "column", "axis").distinct(), [*keys, "row", "column", "axis"], "left_anti")
-    node = F.struct(*keys, "row", "column")
-    right = F.when(F.col("axis") == "x", F.col("column") + 1).otherwise(F.col("column"))
-    below = F.when(F.col("axis") == "y", F.col("row") + 1).otherwise(F.col("row"))
-    pairs = open_.select(*keys, "row", "column", below.cast("int").alias("_row"), right.cast("int").alias("_column"))
-    pairs = pairs.join(cells.select(*keys, F.col("row").alias("_row"), F.col("column").alias("_column")), [*keys, "_row", "_column"], "left_semi")
-    links = pairs.select(node.alias("src"), F.struct(*keys, F.col("_row").alias("row"), F.col("_column").alias("column")).alias("dst"))
-    named = cells.withColumn("node", node).join(components(links), "node", "left").withColumn("_group", F.coalesce("component", "node"))
-    boxes = named.groupBy(*keys, "_group").agg(
-        F.min("row").alias("row"), F.min("column").alias("column"), F.max("row").alias("_last_row"), F.max("column").alias("_last_column"),
-        F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"),
-    )
-    spans = {"row_span": F.col("_last_row") - F.col("row") + 1, "column_span": F.col("_last_column") - F.col("column") + 1}
-    return boxes.withColumns(spans).select(*keys, "row", "column", "row_span", "column_span", "x1", "y1", "x2", "y2")
+    low, high = (F.when(upright, f("y1", "y2")).otherwise(f("x1", "x2")).cast("double").alias(n) for f, n in ((F.least, "y1"), (F.greatest, "y2")))
+    at = F.when(upright, F.col("x1")).otherwise(F.col("y1")).cast("double")
+    lines = rules.select(*keys, F.lit(0).alias("_kind"), upright.alias("_upright"), at.alias("x1"), low, high).where("x1 IS NOT NULL AND y1 IS NOT NULL")
+    rows = lines.unionByName(cells.select(*keys, F.lit(1).alias("_kind"), F.col("row").cast("int").alias("row"), F.col("column").cast("int").alias("column"), *(F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2"))), allowMissingColumns=True)
+    others = [] if items is None else [c for c in items.columns if c not in (*keys, "x", "y")]
+    if items is not None:
+        placed = items.select(*keys, F.lit(2).alias("_kind"), F.col("x").cast("double").alias("x1"), F.col("y").cast("double").alias("y1"), *others).where("x1 IS NOT NULL AND y1 IS NOT NULL")
+        rows = rows.unionByName(placed, allowMissingColumns=True)
+    box = ["row", "column", "row_span", "column_span", "x1", "y1", "x2", "y2"]
+    fields = {f.name: f for f in rows.schema.fields}
+    schema = StructType([*(fields[k] for k in keys), *(StructField(n, IntegerType()) for n in box[:4]), *(StructField(n, DoubleType()) for n in box[4:]), StructField("_in", BooleanType()), *(StructField(c, fields[c].dataType) for c in others)])
+    types, shown, keyed = [to_arrow_type(f.dataType) for f in schema], [f.name for f in schema], list(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, walls, lattice, squares, size = None, {}, {}, None, (1.0, 1.0)
+
+        def walled(upright: bool, at: float, middle: float) -> bool:
+            near = floor(at / (2 * slack))
+            return any(abs(rule - at) <= 2 * slack and low <= middle <= high for i in (-1, 0, 1) for rule, low, high in walls.get((upright, near + i), ()))
+
+        def boxes() -> list[list]:
+            """The merged cells of the page: first and last row and column, and corners."""
+            over = {at: at for at in lattice}
+
+            def top(at: tuple[int, int]) -> tuple[int, int]:
+                while over[at] != at:
+                    over[at] = at = over[over[at]]
+                return at
+
+            for (row, column), (x1, y1, x2, y2) in lattice.items():
+                for other, edge in (((row, column + 1), (True, x2, (y1 + y2) / 2)), ((row + 1, column), (False, y2, (x1 + x2) / 2))):
+                    if other in lattice and not walled(*edge):
+                        one, two = top((row, column)), top(other)
+                        over[max(one, two)] = min(one, two)
+            made: dict[tuple[int, int], list] = {}
+            for at, (x1, y1, x2, y2) in lattice.items():
+                b = made.setdefault(top(at), [*at, *at, x1, y1, x2, y2])
+                b[:] = [min(b[0], at[0]), min(b[1], at[1]), max(b[2], at[0]), max(b[3], at[1]), min(b[4], x1), min(b[5], y1), max(b[6], x2), max(b[7], y2)]
+            return list(made.values())
+
+        def settle() -> list[tuple]:
+            """Rows of the page's merged cells, which are then entered in squares of their average size."""
+            nonlocal squares, size
+            found, squares = boxes(), {}
+            if found:
+                size = (sum(b[6] - b[4] for b in found) / len(found), sum(b[7] - b[5] for b in found) / len(found))
+            for b in found:
+                for sx in range(floor(b[4] / size[0]), floor(b[6] / size[0]) + 1) if others else ():
+                    for sy in range(floor(b[5] / size[1]), floor(b[7] / size[1]) + 1):
+                        squares.setdefault((sx, sy), []).append(b)
+            return [(*page, b[0], b[1], b[2] - b[0] + 1, b[3] - b[1] + 1, *b[4:], False) for b in found]
+
+        def cells_of(found: list[tuple]) -> pa.RecordBatch:
+            columns = [pa.array(c, t) for c, t in zip(zip(*found), types)]
+            return pa.RecordBatch.from_arrays([*columns, *(pa.nulls(len(found), t) for t in types[len(columns) :])], shown)
+
+        for batch in batches:
+            found, taken, places = [], [], []
+            table = zip(*(batch.column(k).to_pylist() for k in keyed))
+            for i, (now, kind, upright, row, column, x1, y1, x2, y2) in enumerate(zip(table, *(batch.column(c).to_pylist() for c in ("_kind", "_upright", "row", "column", "x1", "y1", "x2", "y2")))):
+                if now != page:
+                    if lattice and squares is None:
+                        found += settle()
+                    page, walls, lattice, squares = now, {}, {}, None
+                if kind == 0:
+                    walls.setdefault((bool(upright), floor(x1 / (2 * slack))), []).append((x1, y1, y2))
+                elif kind == 1:
+                    lattice[row, column] = (x1, y1, x2, y2)
+                elif lattice:
+                    if squares is None:
+                        found += settle()
+                    for b in squares.get((floor(x1 / size[0]), floor(y1 / size[1])), ()):
+                        if b[4] <= x1 < b[6] and b[5] <= y1 < b[7]:
+                            taken.append(i)
+                            places.append((b[0], b[1]))
+            if found:
+                yield cells_of(found)
+            if taken:
+                at = pa.array(taken, pa.int32())
+                own = [batch.column(k).take(at) for k in keyed]
+                firsts = [pa.array(c, pa.int32()) for c in zip(*places)]
+                empty = [pa.nulls(len(taken), t) for t in types[len(own) + 2 : len(own) + len(box)]]
+                rest = [batch.column(c).take(at) for c in others]
+                yield pa.RecordBatch.from_arrays([*own, *firsts, *empty, pa.array([True] * len(taken)), *rest], shown)
+        if lattice and squares is None and (found := settle()):
+            yield cells_of(found)
+
+    return _by_page(rows, keys, "_kind", "row", "column").mapInArrow(run, schema)
 
 
 def grid_from_rules(items: DataFrame, rules: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
@@ -174,17 +259,11 @@ def grid_from_rules(items: DataFrame, rules: DataFrame, keys: Sequence[str], ord
 
     Items outside all cells belong to no table; cells without items have an empty text.
     """
-    cells = merged_cells(layout.lattice(rules, keys), rules, keys)
-    columns = cells.groupBy(*keys).agg(F.avg(F.col("x2") - F.col("x1")).alias("_w"), F.avg(F.col("y2") - F.col("y1")).alias("_h"))
-    # cells and items of one page meet in squares of its average cell's size
-    squared = cells.join(columns, list(keys))
-    for axis, size in (("x", "_w"), ("y", "_h")):
-        squared = squared.withColumn(f"_s{axis}", F.explode(F.sequence(F.floor(F.col(f"{axis}1") / F.col(size)), F.floor(F.col(f"{axis}2") / F.col(size)))))
-    at = items.join(columns, list(keys)).withColumn("_sx", F.floor(F.col("x") / F.col("_w"))).withColumn("_sy", F.floor(F.col("y") / F.col("_h")))
-    met = at.select(*keys, "_sx", "_sy", "x", "y", order, "text").join(squared, [*keys, "_sx", "_sy"])
-    inside = met.where((F.col("x") >= F.col("x1")) & (F.col("x") < F.col("x2")) & (F.col("y") >= F.col("y1")) & (F.col("y") < F.col("y2")))
-    texts = inside.groupBy(*keys, "row", "column").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, "text"))), lambda i: i["text"]), " ").alias("text"))
-    return cells.join(texts, [*keys, "row", "column"], "left").select(*keys, "row", "column", "row_span", "column_span", F.coalesce("text", F.lit("")).alias("text"))
+    met = _met(layout.lattice(rules, keys), rules, items.select(*keys, "x", "y", F.col(order).alias("_order"), "text"), keys, 0.5)
+    texts = F.sort_array(F.collect_list(F.when(F.col("_in"), F.struct("_order", "text"))))
+    return met.groupBy(*keys, "row", "column").agg(
+        F.max("row_span").alias("row_span"), F.max("column_span").alias("column_span"), F.array_join(F.transform(texts, lambda i: i["text"]), " ").alias("text")
+    )
 
 
 def grid_from_text(items: DataFrame, keys: Sequence[str], order: str, bucket: float = 3.0, least: int = 2, tab: float = 2.0) -> DataFrame:

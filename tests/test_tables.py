@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from quire.operators import joins, layout, tables
 
@@ -81,6 +82,19 @@ def test_cells_without_a_wall_are_one(spark):
     assert texts[1, 0] == "right" and texts[0, 1] == "top" and texts[0, 0] == ""
 
 
+def test_merged_cells_where_all_sides_are_dealt_by_page(spark):
+    """Many pages whose rules and items come out of aggregations by page, and a plan without rounds of components."""
+    pages = spark.range(3000).selectExpr("id AS page", "explode(sequence(0, 6)) AS n").groupBy("page").agg(F.collect_set("n").alias("ns"))
+    lines = [(0, 0, 30, 0), (0, 10, 30, 10), (0, 20, 30, 20), (0, 0, 0, 20), (10, 0, 10, 20), (20, 0, 20, 10), (30, 0, 30, 20)]
+    walls = "array(" + ", ".join("named_struct('x1', {}D, 'y1', {}D, 'x2', {}D, 'y2', {}D)".format(*w) for w in lines) + ")"
+    rules = pages.selectExpr("page", f"inline({walls})")
+    items = pages.selectExpr("page", "25D AS x", "explode(array(5D, 15D)) AS y", "0 AS n", "'t' AS text")
+    grid = tables.grid_from_rules(items, rules, ["page"], "n")
+    spans = {(r.row, r.column, r.row_span, r.column_span, r.text): r["count"] for r in grid.groupBy("row", "column", "row_span", "column_span", "text").count().collect()}
+    assert spans == {(0, 0, 1, 1, ""): 3000, (0, 1, 1, 1, ""): 3000, (0, 2, 1, 1, "t"): 3000, (1, 0, 1, 1, ""): 3000, (1, 1, 1, 2, "t"): 3000}
+    assert "quire/" not in grid._jdf.queryExecution().executedPlan().toString()
+
+
 def blocks(lines):
     out, ends = [], []
     for x, y, size in lines:

@@ -14,13 +14,11 @@ def inherit(styles: DataFrame, key: str, parent: str, properties: Sequence[str])
     """(key, properties): each style with the properties that it lacks from the nearest style up its chain.
 
     Ancestors are doubled each round, so a chain of n styles takes log n joins. A missing parent
-    ends a chain; a cycle is refused.
+    ends a chain, and so does a style that a chain meets again: in a cycle each looks once round.
     """
     rows = materialize(styles.select(key, F.col(parent).alias("_up"), *properties))
-    rounds = rows.count().bit_length() + 1
-    while rows.where("_up IS NOT NULL").limit(1).count():
-        if not rounds:
-            raise ValueError(f"{parent} has a cycle")
+    rounds = rows.count().bit_length()  # as many reach past all styles; what is then left goes round in a cycle
+    while rounds and rows.where("_up IS NOT NULL").limit(1).count():
         up = rows.select(F.col(key).alias("_up"), F.col("_up").alias("_next"), *(F.col(p).alias(f"_{p}") for p in properties))
         joined = rows.join(up, "_up", "left")
         rows = materialize(joined.select(key, F.col("_next").alias("_up"), *(F.coalesce(p, f"_{p}").alias(p) for p in properties)))

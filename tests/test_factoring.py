@@ -89,3 +89,22 @@ def test_nothing_to_factor(spark):
     cycle = spark.createDataFrame([(1, "a", "b", 0), (1, "b", "a", 1)], "doc int, wrapper string, parent string, place int")
     with pytest.raises(ValueError):
         factoring.chains(cycle, "doc", "wrapper", "parent")
+
+
+def test_few_lineage_cuts(spark, monkeypatch):
+    """A forest of four levels is written as often as one of a single level."""
+    written = []
+    monkeypatch.setattr(factoring, "materialize", lambda df, cut=factoring.materialize: written.append(1) or cut(df))
+    wdf = spark.createDataFrame([(1, str(k), str(k - 1) if k else None, k) for k in range(4)], "doc int, wrapper string, parent string, place int")
+    ldf = spark.createDataFrame([(1, f"x{k}", str(k % 4), k, "ff" if k < 2 else "g") for k in range(8)], "doc int, leaf string, wrapper string, place int, font string")
+    refs = factoring.factor(wdf, ldf, ["font"])[1]
+    assert [tuple(r) for r in refs.collect()] == [(1, "0", "s1")] and len(written) <= 7
+
+
+def test_large_documents_are_joined(spark, monkeypatch):
+    rows = [(d, str(k), str(k // 2) if k > 1 else None) for d, n in ((1, 9), (2, 2), (None, 2)) for k in range(1, n + 1)]
+    df = spark.createDataFrame(rows, "doc int, wrapper string, parent string")
+    found = sorted(map(repr, factoring.chains(df, "doc", "wrapper", "parent").collect()))
+    assert "Row(doc=1, wrapper='9', chain=['1', '2', '4', '9'])" in found and len(found) == len(rows)
+    monkeypatch.setattr(factoring, "HELD", 4)
+    assert sorted(map(repr, factoring.chains(df, "doc", "wrapper", "parent").collect())) == found

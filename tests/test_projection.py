@@ -68,3 +68,11 @@ def test_canonical_text(spark):
     assert {r.t: r.c for r in df.select("t", projection.canonical_text(F.col("t")).alias("c")).collect()} == cases
     with pytest.raises(Exception, match="JSON|json|Variant|VARIANT"):
         spark.createDataFrame([('{"a":',)], "t string").select(projection.canonical_text(F.col("t"))).collect()
+
+
+def test_nodes_alone_write_each_level_once(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(projection, "materialize", lambda df, cut=projection.materialize: written.append(1) or cut(df))
+    df = spark.createDataFrame([(1, str(k), str(k - 1) if k else None, k, "a", None, True) for k in range(3)], "doc int, node string, parent string, place long, kind string, content string, shared boolean")
+    assert projection.shared_nodes(df, F.col("shared")).count() == 3 and len(written) == 3
+    assert projection.shared_edges(df, F.col("shared")).count() == 2

@@ -17,12 +17,13 @@ import itertools
 import re
 import shutil
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from typing import Any
 
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,38 +33,37 @@ from quire.llm.texts import small_batches
 #: Memory of a worker's database; larger intermediate results go to the task's temporary folder.
 MEMORY = "128MB"
 #: Cached chunks and pieces of a worker, in bytes, about: half of them recent, half from before.
-CACHE_BYTES = 64 << 20
-#: Characters encoded, and tokens decoded, by one query at most, unless a single text has more.
-QUERY_CHARS = 2_000_000
+CACHE_BYTES = 160 << 20
+#: Characters encoded together, and four times the tokens decoded by one query, at most, unless a single text has more.
+QUERY_CHARS = 4_000_000
 #: Bytes of a piece that CONTRACT takes; CONTRACT_LONG takes longer ones.
 SHORT_PIECE = 64
-#: Rows that the recursion over short pieces keeps at most: a piece of n bytes keeps up to n * n / 2.
+#: Rows that the recursion over short pieces returns at most: a piece of n bytes keeps up to n * n / 2.
 QUERY_ROWS = 1_500_000
 
-#: A row's place is its piece's number times WIDTH plus its position, so a neighbour is the next
-#: place; best is, for each piece with a pair in the table, rank and place of the leftmost pair
-#: of least rank. Only pieces that changed go on, so a piece's tokens are the rows of its last step.
+#: A row's place is its piece's number times WIDTH plus its position; next is the token after it in
+#: its piece, negative at the end, so that a pair is one row. best is, for each piece with a pair in
+#: the table, rank and place of the leftmost pair of least rank: the pair's first row goes, its
+#: second takes the merged token and keeps its next. A row is done when its piece has no pair left.
 CONTRACT = """
-WITH RECURSIVE state(step, place, token) AS (
-    SELECT 0, place, token FROM start
+WITH RECURSIVE state(place, token, next, done) AS (
+    SELECT place, token, next, false FROM start
     UNION ALL
     (
         WITH best AS (
-            SELECT a.place // {width} AS piece, min(m.merged * {width} + a.place % {width}) AS least
-            FROM state a JOIN state b ON b.place = a.place + 1 JOIN merges m ON m.pair = a.token * {radix} + b.token
+            SELECT s.place // {width} AS piece, min(m.merged * {width} + s.place % {width}) AS least
+            FROM state s JOIN merges m ON m.pair = s.token * {radix} + s.next WHERE NOT s.done
             GROUP BY 1
         )
-        SELECT s.step + 1,
-               CASE WHEN s.place % {width} > least % {width} THEN s.place - 1 ELSE s.place END,
-               CASE WHEN s.place % {width} = least % {width} THEN least // {width} ELSE s.token END
-        FROM state s JOIN best ON best.piece = s.place // {width}
-        WHERE s.place % {width} <> least % {width} + 1
+        SELECT CASE WHEN s.place % {width} > least % {width} THEN s.place - 1 ELSE s.place END,
+               CASE WHEN s.place % {width} = least % {width} + 1 THEN least // {width} ELSE s.token END,
+               CASE WHEN s.place % {width} = least % {width} - 1 THEN least // {width} ELSE s.next END,
+               least IS NULL
+        FROM state s LEFT JOIN best ON best.piece = s.place // {width}
+        WHERE NOT s.done AND (least IS NULL OR s.place % {width} <> least % {width})
     )
 )
-SELECT s.place // {width} AS piece, s.token AS token
-FROM state s JOIN (SELECT place // {width} AS piece, max(step) AS step FROM state GROUP BY 1) l
-  ON l.piece = s.place // {width} AND l.step = s.step
-ORDER BY s.place
+SELECT place // {width} AS piece, token FROM state WHERE done ORDER BY place
 """
 
 #: The same result for long pieces. One step contracts all pairs of a piece's least rank that the
@@ -126,15 +126,21 @@ FROM (SELECT id, chars, unnest(range(1, length(chars))) AS at FROM tokens) t
 JOIN tokens l ON l.chars = left(t.chars, t.at) JOIN tokens r ON r.chars = substr(t.chars, t.at + 1)
 """
 
-DECODE = """
-SELECT place // {width} AS doc, string_agg(chars, '' ORDER BY place) AS chars
-FROM (SELECT place, chars FROM coded JOIN tokens USING (id)) GROUP BY 1
+#: Tokens of a document in a row of DECODE, so that fewer rows are put in order.
+RUN = 8
+
+#: id0 to id7 are a run of a document's tokens; what has no token, as at its end, gives no bytes.
+DECODE = f"""
+SELECT place // {{width}} AS doc, string_agg(concat({", ".join(f"t{i}.chars" for i in range(RUN))}), '' ORDER BY place) AS chars
+FROM coded {" ".join(f"LEFT JOIN tokens t{i} ON t{i}.id = id{i}" for i in range(RUN))} GROUP BY 1
 """
 
 #: White space other than the space and the line feed, and the bytes that hint at it in UTF-8.
 _OTHER = re.compile(r"[\t\r\v\f\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _HINTS = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
 _PAIRS = ("  ", " \n", "\n ", "\n\n")
+#: Marks that are a match of their own after letters at the end of a chunk.
+_ENDS = frozenset(",.;:!?")
 
 
 def _plain(text: str) -> bool:
@@ -189,12 +195,13 @@ class Vocabulary:
         self.db.execute(f"INSERT INTO {name} SELECT * FROM given")
         self.db.unregister("given")
 
-    def _cached(self, wanted: set[Any]) -> dict[Any, bytes | None]:
+    def _cached(self, wanted: Collection[Any]) -> dict[Any, bytes | None]:
         """What the cache has of each; what it has only from before becomes recent again."""
-        found = {x: self.recent.get(x) for x in wanted}
-        again = {x: self.before[x] for x, v in found.items() if v is None and x in self.before}
-        self._keep(again)
-        found.update(again)
+        found = dict(zip(wanted, map(self.recent.get, wanted)))
+        if self.before:
+            again = {x: self.before[x] for x, v in found.items() if v is None and x in self.before}
+            self._keep(again)
+            found.update(again)
         return found
 
     def _keep(self, coded: dict[Any, bytes]) -> None:
@@ -212,7 +219,10 @@ class Vocabulary:
         flat = np.frombuffer(b"".join(pieces), np.uint8)
         firsts = np.cumsum(sizes) - sizes
         place = np.repeat(np.arange(len(pieces)) * width - firsts, sizes) + np.arange(len(flat))
-        self.db.register("start", pa.table({"place": place, "token": self.base[flat]}))
+        token = self.base[flat]
+        after = np.append(token[1:], 0)
+        after[firsts + sizes - 1] = -self.radix * self.radix  # makes no pair
+        self.db.register("start", pa.table({"place": place, "token": token, "next": after}))
         found = self.db.execute(query.format(width=width, radix=self.radix)).fetchnumpy()
         self.db.unregister("start")
         ends = [0, *(4 * np.searchsorted(found["piece"], np.arange(1, len(pieces) + 1))).tolist()]
@@ -249,10 +259,15 @@ class Vocabulary:
         out.update((p, coded[p]) for p in fresh)
         return out
 
-    def _parts(self, chunk: str) -> list[bytes]:
-        """Pieces of a chunk that followed a space, or starts with a line feed."""
+    def _parts(self, chunk: str) -> list[str | bytes]:
+        """Pieces of a chunk that followed a space, or starts with a line feed; a space and letters as the letters alone, as text."""
+        if chunk.isascii():
+            if chunk.isalpha():  # one match of the pattern, as is a mark of _ENDS after it
+                return [chunk]
+            if chunk[-1:] in _ENDS and chunk[:-1].isalpha():
+                return [chunk[:-1], chunk[-1:].encode()]
         parts = ["\n", *self.split(chunk[1:])] if chunk[:1] == "\n" else self.split(" " + chunk)
-        return [p.encode() for p in parts]
+        return [p[1:] if p[0] == " " and p[1:].isascii() and p[1:].isalpha() else p.encode() for p in parts]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Token ids of each text, as the bytes of 32-bit integers."""
@@ -261,40 +276,58 @@ class Vocabulary:
             out += self._encode(some)
         return out
 
+    def _coded(self, parts: dict[Any, list[str | bytes]]) -> dict[Any, bytes]:
+        """Tokens of each item from those of its pieces, all of which are cached."""
+        coded = self._cached(set(itertools.chain.from_iterable(parts.values())))
+        named = {p: p if isinstance(p, bytes) else b" " + p.encode() for p, v in coded.items() if v is None}
+        found = self.pieces(set(named.values()))
+        new = {p: found[x] for p, x in named.items()}
+        coded.update(new)
+        new.update((x, b"".join(map(coded.__getitem__, pieces))) for x, pieces in parts.items() if pieces != [x])
+        self._keep(new)
+        coded.update(new)
+        return coded
+
     def _encode(self, texts: list[str]) -> list[bytes]:
         """Encode some texts together.
 
         A lone space or line feed between other characters always starts a match of the
         pattern, so plain texts are cut there into chunks; chunks after the first, without
-        their space, are cached whole. First chunks and other texts are split each time.
+        their space, are encoded once each and cached whole. First chunks and other texts are
+        split each time.
         """
-        heads, tails, fresh = [], [], set()
-        for text in texts:
-            head, *tail = text.replace("\n", " \n").split(" ") if _plain(text) else [text]
-            heads.append([p.encode() for p in self.split(head)])
-            tails.append(tail)
-            fresh.update(tail)
-        chunks, first = self._cached(fresh), self._cached(set(itertools.chain.from_iterable(heads)))
-        split = {x: self._parts(x) for x, v in chunks.items() if v is None}
-        unknown = [p for p, v in first.items() if v is None]
-        coded = self.pieces(set(itertools.chain(unknown, *split.values())))
-        new = {x: b"".join(map(coded.__getitem__, parts)) for x, parts in split.items()}
-        alone = {p: coded[p] for p in unknown}
-        self._keep(new)
-        self._keep(alone)
-        chunks.update(new)
-        first.update(alone)
-        return [b"".join([*map(first.__getitem__, h), *map(chunks.__getitem__, t)]) for h, t in zip(heads, tails)]
+        plain = [_plain(t) for t in texts]
+        cut = pc.split_pattern(pa.array([t.replace("\n", " \n") if p else "" for t, p in zip(texts, plain)], pa.large_string()), " ")
+        ends = cut.offsets.to_numpy()
+        first = np.zeros(len(cut.values), bool)
+        first[ends[:-1]] = True
+        heads = [h if p else t for h, t, p in zip(cut.values.filter(pa.array(first)).to_pylist(), texts, plain)]
+        tails = cut.values.filter(pa.array(~first)).dictionary_encode()
+        names = tails.dictionary.to_pylist()
+        chunks = self._cached(names)
+        chunks.update(self._coded({x: self._parts(x) for x, v in chunks.items() if v is None}))
+        split = [[p.encode() for p in self.split(h)] for h in heads]
+        starts = self._cached(set(itertools.chain.from_iterable(split)))
+        starts.update(self._coded({p: [p] for p, v in starts.items() if v is None}))
+        order = np.empty(len(first), np.int64)
+        order[~first], order[first] = tails.indices.to_numpy(), np.arange(len(names), len(names) + len(heads))
+        held = [*map(chunks.__getitem__, names), *(b"".join(map(starts.__getitem__, h)) for h in split)]
+        found = _ids(held).take(pa.array(order))
+        at, ids = 4 * found.offsets.to_numpy()[ends].astype(np.int64), found.values.to_numpy().tobytes()
+        return [ids[a:b] for a, b in zip(at.tolist(), at[1:].tolist())]
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """The bytes of each array of ids, in order."""
         out: list[bytes] = []
         for some in _groups(ids, list(map(len, ids)), QUERY_CHARS // 4):
             sizes = np.array([len(x) for x in some], np.int64)
-            width, flat = int(sizes.max(initial=0)) + 1, np.concatenate(some)
-            place = np.repeat(np.arange(len(some)) * width - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(flat))
+            runs = -(-sizes // RUN)
+            width, firsts = int(runs.max(initial=0)) + 1, np.cumsum(runs) - runs
+            flat = np.full(RUN * int(runs.sum()), -1, np.int64)
+            flat[np.repeat(RUN * firsts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())] = np.concatenate(some)
+            place = np.repeat(np.arange(len(some)) * width - firsts, runs) + np.arange(runs.sum())
             texts = [b""] * len(some)
-            self.db.register("coded", pa.table({"place": place, "id": flat}))
+            self.db.register("coded", pa.table({"place": place, **{f"id{i}": np.ascontiguousarray(flat[i::RUN]) for i in range(RUN)}}))
             for doc, text in self.db.execute(DECODE.format(width=width)).fetchall():
                 texts[doc] = text.encode("latin-1")
             self.db.unregister("coded")
@@ -316,6 +349,18 @@ def _groups(items: list[Any], sizes: list[int], most: int) -> Iterator[list[Any]
         yield group
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about QUERY_CHARS bytes, so that words are looked up once for many texts."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(x.nbytes for x in held) >= QUERY_CHARS:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 @contextlib.contextmanager
 def vocabulary(data: bytes, pattern: str) -> Iterator[Vocabulary]:
     """A rank file's tables for the length of a task, so that workers keep no memory for later stages."""
@@ -349,7 +394,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with vocabulary(data.value, pattern) as words:
-            for batch in batches:
+            for batch in _gathered(batches):
                 found = words.encode([t or "" for t in batch.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([batch.column(0), _ids(found)], [id_col, "ids"])
 
@@ -383,7 +428,7 @@ def tokenized(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with vocabulary(data.value, pattern) as words:
-            for batch in batches:
+            for batch in _gathered(batches):
                 found = words.encode([t or "" for t in batch.column(1).to_pylist()])
                 back = words.decode([np.frombuffer(x, np.int32) for x in found])
                 yield pa.RecordBatch.from_arrays([batch.column(0), _ids(found), pa.array(back, pa.binary())], [id_col, "ids", "decoded"])

@@ -69,3 +69,24 @@ def test_long_pieces_in_bounded_time_and_memory(library):
             piece = word(rng.randint(65, 400), rng.choice(["ab", "abc", "the ", string.ascii_lowercase, "-=", "0123456789"])).encode()
             assert np.frombuffer(words._contract(bpe.CONTRACT_LONG, [piece])[0], np.int32).tolist() == library._encode_single_piece(piece)
         assert words.held <= bpe.CACHE_BYTES
+
+
+def test_a_word_is_contracted_once(library):
+    """Before, a word was contracted anew with each mark after it, in each group of texts."""
+    words = ["qvxzaw", "zkwqpry", "Bxqlnot"]
+    texts = [" ".join(f"{w}{mark}" for w in words) for mark in ("", ".", ",", "!", "'s")]
+    with bpe.vocabulary(bpe._contents(PATH), PATTERN) as made:
+        seen, contract = [], made._contract
+        made._contract = lambda query, pieces: seen.extend(pieces) or contract(query, pieces)
+        for text in texts:
+            assert np.frombuffer(made.encode([f"so {text}"])[0], np.int32).tolist() == library.encode_ordinary(f"so {text}")
+        assert seen and len(seen) == len(set(seen))
+
+
+def test_gathered_batches_and_runs_of_tokens(spark, library):
+    """Documents of 0 to 20 tokens fill the runs that are decoded in every way; many small batches are encoded together."""
+    texts = ["".join(f" {'ab'[j % 2]}" for j in range(n)).strip() for n in range(21)] * 60
+    docs = spark.createDataFrame(pd.DataFrame({"doc_id": range(len(texts)), "text": texts}), "doc_id long, text string").repartition(1)
+    for row in bpe.tokenized(docs, PATH, PATTERN).collect():
+        assert row.ids == library.encode_ordinary(texts[row.doc_id])
+        assert bytes(row.decoded) == texts[row.doc_id].encode()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from math import floor
 
@@ -9,12 +10,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from quire.operators import layout
 
 #: Width of a column in which no item reports one.
 COLUMN_WIDTH = 40.0
+#: Rows of one batch of grids that leaves a task, until the page ends.
+GRID_ROWS = 10_000
 
 
 def place_cells(cells: DataFrame, keys: Sequence[str], row: str, order: str, row_span: str | None = None, column_span: str | None = None) -> DataFrame:
@@ -271,21 +274,72 @@ def grid_from_text(items: DataFrame, keys: Sequence[str], order: str, bucket: fl
 
     Lines are rows, from the top (y falls). A gap over tab em within a line starts a segment.
     Starts of segments that recur in a bucket of x on a page, at least so often, are its columns (all
-    starts where none recurs), and each segment goes to the nearest, the first of equals.
+    starts where none recurs), and each segment goes to the nearest, the first of equals. Pages with
+    a null key are left out. Pages come one after the other, and a task holds the items of one.
     """
-    lined = layout.lines_by_leader(items.withColumn("_down", -F.col("y")), keys, "y", "size", "_down")
-    along = Window.partitionBy(*keys, "line").orderBy("x", order)
-    gap = F.col("x") - F.lag(F.col("x") + F.coalesce("width", F.lit(0.0))).over(along) > tab * F.lag("size").over(along)
-    cut = layout.runs_by_gap(lined, [*keys, "line"], ["x", order], gap)
-    segments = cut.groupBy(*keys, "line", "run").agg(F.min("x").alias("x"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x", order, "text"))), lambda i: i["text"]), " ").alias("text"))
-    starts = segments.groupBy(*keys, (F.floor(F.col("x") / bucket + 0.5) * bucket).alias("at")).agg(F.count("*").alias("n"))
-    recurs = F.col("n") >= least
-    any_ = F.max(recurs).over(Window.partitionBy(*keys))
-    columns = starts.withColumn("_any", any_).where(recurs | ~F.col("_any")).select(*keys, "at", F.row_number().over(Window.partitionBy(*keys).orderBy("at")).alias("_n"))
-    held = columns.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_n", "at"))).alias("_columns"))  # as many as a page has columns
-    nearest = F.array_min(F.transform("_columns", lambda c: F.struct(F.abs(c["at"] - F.col("x")).alias("d"), c["_n"].alias("n"))))
-    rows = segments.join(held, list(keys)).select(*keys, F.col("line").cast("int").alias("row"), (nearest["n"] - 1).cast("int").alias("column"), "run", "text")
-    return rows.groupBy(*keys, "row", "column").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("run", "text"))), lambda i: i["text"]), " ").alias("text"))
+    number = lambda c: F.col(c).cast("double").alias(f"_{c}")
+    at = (F.floor(F.col("x") / bucket + 0.5) * bucket).alias("_at")
+    known = items.select("*", (-F.col("y")).alias("_down"), number("x"), number("y"), number("size"), F.coalesce("width", F.lit(0.0)).cast("double").alias("_width"), at)
+    for key in keys:
+        known = known.where(F.col(key).isNotNull())
+    within = lambda a, b: a is not None and b is not None and (a <= b or b != b)
+    first = lambda v: (v is not None, v is not None and v != v, v)
+
+    def cells(page: list[tuple]) -> dict[tuple[int, int], str]:
+        leaders, lines, segments = [], [], []
+        for item in page:
+            y, size = item[1], item[2]
+            reach = None if size is None else size * 0.5
+            line = next((n for n, leader in enumerate(leaders) if None not in (leader, y) and within(abs(leader - y), reach)), len(leaders))
+            if line == len(leaders):
+                leaders.append(y)
+                lines.append([])
+            lines[line].append(item)
+        for line, found in enumerate(lines):
+            end = em = None
+            for n, (x, _, size, width, start, place, text) in enumerate(sorted(found, key=lambda i: (first(i[0]), first(i[5])))):
+                if not n or None not in (x, end, em) and not within(x - end, tab * em):
+                    segments.append([line, None, None, []])
+                if segments[-1][1] is None:
+                    segments[-1][1:3] = x, start
+                if text is not None:
+                    segments[-1][3].append(text)
+                end, em = None if x is None else x + width, size
+        counts = Counter(start for _, _, start, _ in segments)
+        columns = sorted((start for start, n in counts.items() if n >= least), key=first) or sorted(counts, key=first)
+        texts: dict[tuple[int, int], list[str]] = {}
+        for line, x, _, words in segments:
+            apart = [None if x is None or start is None else abs(start - x) for start in columns]
+            column = min(range(len(columns)), key=lambda n: first(apart[n]))
+            texts.setdefault((line, column), []).append(" ".join(words))
+        return {cell: " ".join(parts) for cell, parts in texts.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, held, rows = None, [], []
+
+        def settled() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
+        for batch in batches:
+            table = zip(*(batch.column(k).to_pylist() for k in keys))
+            for now, item in zip(table, zip(*(batch.column(c).to_pylist() for c in ("_x", "_y", "_size", "_width", "_at", "_place", "_text")))):
+                if now != page:
+                    if held:
+                        rows += [(*page, *cell, text) for cell, text in cells(held).items()]
+                    page, held = now, []
+                    if len(rows) >= GRID_ROWS:
+                        yield settled()
+                        rows = []
+                held.append(item)
+        if held:
+            rows += [(*page, *cell, text) for cell, text in cells(held).items()]
+        if rows:
+            yield settled()
+
+    schema = StructType([*(items.schema[k] for k in keys), StructField("row", IntegerType()), StructField("column", IntegerType()), StructField("text", StringType())])
+    names, types = schema.names, [to_arrow_type(f.dataType) for f in schema.fields]
+    rest = [c for c in items.columns if c not in keys]
+    return _by_page(known, keys, "_down", *rest).select(*keys, "_x", "_y", "_size", "_width", "_at", F.col(order).alias("_place"), F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
 
 
 def slide_blocks(lines: DataFrame, keys: Sequence[str], order: str, align: float = 2.0, leading: float = 1.25, points: float = 1.0, share: float = 0.15) -> DataFrame:

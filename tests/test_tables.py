@@ -125,6 +125,15 @@ def test_columns_of_text_recur(spark):
     assert found == [(1, 0, 0, "a b"), (1, 0, 1, "c"), (1, 1, 0, "d"), (1, 1, 1, "e"), (1, 2, 1, "f"), (2, 0, 0, "alone")]
 
 
+def test_grid_from_text_deals_its_items_once(spark):
+    """Before, lines, segments and columns took several shuffles and sorts each, and segments were made twice."""
+    rows = [(1, 0, None, 100.0, "a"), (1, 1, 12.0, 100.0, None), (1, 2, 70.0, 98.0, "c"), (1, 3, 70.0, None, "d"), (None, 0, 1.0, 1.0, "e")]
+    df = spark.createDataFrame([(p, n, x, y, 1.0, 10.0, t) for p, n, x, y, t in rows], "page int, n int, x double, y double, width double, size double, text string")
+    found = tables.grid_from_text(df, ["page"], "n")
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    assert sorted((r.row, r.column, r.text) for r in found.collect()) == [(0, 0, "d"), (1, 0, "a c")]
+
+
 @pytest.mark.parametrize(("ys", "sizes", "expected"), [([100, 90, 80, 69.6, 50], [9] * 5, 10.0), ([100, 90, 79, 67], [9] * 4, 10.0), ([100, 40], [11, 11], 13.2), ([100, 89.6, 79.2, 50], [9] * 4, 10.5)])
 def test_line_spacing(spark, ys, sizes, expected):
     df = spark.createDataFrame([("p", k, float(y), float(s)) for k, (y, s) in enumerate(zip(ys, sizes))], "page string, k int, y double, size double")

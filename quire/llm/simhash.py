@@ -229,9 +229,9 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, bands:
 
     SimHash proposes: two bits of one fingerprint are too few for a similarity of 0.8, so
     each text has one for each band, over its longer words, and a pair meets where any band is
-    within two bits. Texts of the same words in another order meet as well, so a group is cut
-    by minima of its texts' shingles. Links are then checked on the whole texts, see alike_groups. Equal texts
-    are one text. Null and empty texts are equal to each other; rows with a null id take their
+    within two bits. Texts that meet, directly or by way of others, are one chain, see _chains. Texts of
+    the same words in another order meet as well, so a chain is cut into groups by minima of its texts'
+    shingles. Links are then checked on the whole texts, see alike_groups. Equal texts are one text. Null and empty texts are equal to each other; rows with a null id take their
     text's component.
     """
     small_batches(docs.sparkSession)
@@ -248,15 +248,28 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, bands:
     once = prints.groupBy("h").agg(F.min("id").alias("rep"), F.min_by("fps", "id").alias("fps"), F.min_by("minima", "id").alias("minima"))
     texts = materialize(once.withColumn("place", F.monotonically_increasing_id()))
     near, stars = _met_banded(texts.where("rep IS NOT NULL"), 4 * docs.sparkSession.sparkContext.defaultParallelism)
-    met = near.join(stars, ["band", "mid"]).select("band", "mid", "rep").distinct()
-    met = met.join(texts.select("rep", "minima"), "rep").select("band", "mid", "rep", F.posexplode("minima").alias("j", "least"))
-    members = met.select("band", F.xxhash64("mid", "j", "least").alias("mid"), "rep")
-    found = alike_groups(docs, members, width, similarity)
+    edges = materialize(near.join(stars, ["band", "mid"]).select(F.col("rep").alias("src"), "dst").distinct())
     discard(near, stars)
+    met = _chains(edges).join(texts.select("rep", "minima"), "rep").select("chain", "rep", F.posexplode("minima").alias("j", "least"))
+    members = met.select(F.lit(0).alias("band"), F.xxhash64("chain", "j", "least").alias("mid"), "rep")
+    found = alike_groups(docs, members, width, similarity)
     named = texts.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("h", F.coalesce("component", "rep").alias("component_id"))
     return prints.join(materialize(named), "h").select(F.col("id").alias("doc_id"), "component_id")
 
 
+def _chains(edges: DataFrame) -> DataFrame:
+    """(rep, chain): components of star edges (src, dst) in which each hub is a member of its own star.
+
+    A text is in many stars, so only its edge to the smallest hub enters the rounds at first;
+    of the others those whose ends that leaves apart.
+    """
+    labels = components(materialize(edges.groupBy("src").agg(F.min("dst").alias("dst"))))
+    label = lambda end: labels.select(F.col("node").alias(end), F.col("component").alias(f"_{end}"))
+    apart = edges.join(label("src"), "src").join(label("dst"), "dst").where("_src <> _dst").select(F.col("_src").alias("src"), F.col("_dst").alias("dst")).distinct()
+    found = components(materialize(forest(labels).union(apart)))
+    return found.select(F.col("node").alias("rep"), F.col("component").alias("chain"))
+
+
 def alike_groups(docs: DataFrame, members: DataFrame, width: int, similarity: float) -> DataFrame:
     """(node, component) by the alike pairs of ids that share a group (band, mid, rep).
 

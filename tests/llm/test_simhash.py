@@ -142,3 +142,21 @@ def test_groups_of_heavily_edited_copies_keep_every_link(spark):
     found = {r.node: r.component for r in simhash.alike_groups(docs, members, 5, 0.8).collect()}
     assert [found.get(i, i) for i in range(len(texts))] == label
     assert len(set(label)) < len(texts) - 10
+
+
+def test_texts_that_meet_in_many_bands_are_entered_once_a_minimum(spark, monkeypatch):
+    """Copies with one edit meet in most bands and in many midpoints of each; they are members of one group a minimum."""
+    base = [f"word{i:03d}" for i in range(150)]
+    texts = [" ".join(f"edit{k:03d}" if i == 3 * k else w for i, w in enumerate(base)) for k in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held, whole = [], simhash.alike_groups
+    monkeypatch.setattr(simhash, "alike_groups", lambda docs, members, *more: held.append(members.count()) or whole(docs, members, *more))
+    assert {r.component_id for r in simhash.near_copies(docs).collect()} == {0}
+    assert 0 < held[0] <= simhash.MINIMA * len(texts)
+
+
+def test_chains_are_the_components_of_their_edges(spark):
+    """Also where the smallest hubs of two texts leave apart what another hub joins."""
+    edges = [(1, 1), (2, 1), (2, 2), (3, 2), (3, 3), (4, 3), (9, 5), (5, 5), (9, 7), (7, 7), (8, 7), (8, 6), (6, 6)]
+    found = {r.rep: r.chain for r in simhash._chains(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert found == {1: 1, 2: 1, 3: 1, 4: 1} | dict.fromkeys(range(5, 10), 5)

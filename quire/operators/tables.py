@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from math import floor
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -70,75 +72,170 @@ def tagged_tables(nodes: DataFrame, items: DataFrame, page: str, row_span: str |
     nearest cell it is; what hangs elsewhere is no part of a table. Returns (page, table,
     row_index, column_index, row_span, column_span, text) and (page, table, column_index, width),
     the width being the extent of the items of the column's cells, COLUMN_WIDTH where none has one.
+    A task holds the nodes and items of some pages at once.
     """
-    spans = [F.col(c).cast("int") if c else F.lit(None).cast("int") for c in (row_span, column_span)]
-    tree = nodes.select(page, F.lit(0).alias("_kind"), "id", "parent", "type", F.col("place").alias("_place"), *(F.lit(None).cast("int").alias(c) for c in ("_row_span", "_column_span")))
-    cells = nodes.where(F.col("type").isin("TD", "TH")).select(page, F.lit(1).alias("_kind"), "id", spans[0].alias("_row_span"), spans[1].alias("_column_span"))
-    held = items.select(page, F.lit(2).alias("_kind"), F.col("node").alias("id"), "place", "x", "width", "text")
-    placed = _in_cells(tree.unionByName(cells, allowMissingColumns=True).unionByName(held, allowMissingColumns=True), page)
-    full = placed.groupBy(page, "table", "_row_order", "_order", "_cell").agg(
-        F.max("_row_span").alias("_row_span"),
-        F.max("_column_span").alias("_column_span"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("_kind") == 2, F.struct("place", "text")))), lambda i: i["text"]), " ").alias("text"),
-        F.min("x").alias("_x1"),
-        F.max(F.col("x") + F.coalesce("width", F.lit(0.0))).alias("_x2"),
-    )
-    full = place_cells(full, [page, "table"], "_row_order", "_order", "_row_span" if row_span else None, "_column_span" if column_span else None)
-    extent = F.max("_x2") - F.min("_x1")
-    columns = full.groupBy(page, "table", "column_index").agg(F.when(extent > 0, extent).otherwise(COLUMN_WIDTH).alias("width"))
-    return full.select(page, "table", "row_index", "column_index", "row_span", "column_span", "text"), columns
-
-
-def _in_cells(rows: DataFrame, page: str) -> DataFrame:
-    """Rows of cells and items (_kind above 0) that lie in a table, with table, _row_order, _order and _cell.
-
-    A page's tree (_kind 0) comes before its other rows. Its links are held while these pass, so a page's rows
-    go through one task; the rows themselves are not held.
+    down, across = (F.col(c).cast("int") if c else F.lit(None).cast("int") for c in (row_span, column_span))
+    known = F.col(page).isNotNull()
+    tree = nodes.where(known & F.col("id").isNotNull()).groupBy(page).agg(F.collect_list(F.struct("id", "parent", "type", "place", down.alias("down"), across.alias("across"))).alias("nodes"))
+    held = lambda *c: items.where(known & F.col("node").isNotNull()).groupBy(page).agg(F.collect_list(F.struct("node", *c)).alias("items"))
+    return tagged_cells(tree.join(held("place", "text"), page, "left"), page), tagged_columns(tree.join(held("x", "width"), page, "left"), page)
+
+
+def tagged_cells(pages: DataFrame, page: str) -> DataFrame:
+    """The cells of tagged_tables() from pages with nodes (id, parent, type, place, down, across) and items (node, place, text), arrays of structs."""
+
+    def cells(tree: _Tree) -> list:
+        at, place, text = tree.items("place", "text")
+        order = np.lexsort((place, at))
+        if ((at[order][1:] == at[order][:-1]) & (place[order][1:] == place[order][:-1])).any():
+            order = pc.sort_indices(pa.table({"at": at, "place": place, "text": text}), [("at", "ascending"), ("place", "ascending"), ("text", "ascending")], null_placement="at_start").to_numpy()
+        order = order[text.is_valid().to_numpy(zero_copy_only=False)[order]]
+        offsets = np.searchsorted(at[order], np.arange(len(tree.cells) + 1)).astype(np.int32)
+        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), text.take(pa.array(order))), " ")
+        return [*tree.keys(tree.tables), *(pa.array(c, pa.int32()) for c in (tree.rows, tree.columns, tree.downs, tree.acrosses)), texts]
+
+    more = "row_index int, column_index int, row_span int, column_span int, text string"
+    return _from_trees(pages, page, cells, more)
+
+
+def tagged_columns(pages: DataFrame, page: str) -> DataFrame:
+    """The columns of tagged_tables() from pages with nodes as in tagged_cells() and items (node, x, width)."""
+
+    def columns(tree: _Tree) -> list:
+        order = np.lexsort((tree.columns, tree.tables))
+        fresh = np.concatenate([[True], (tree.tables[order][1:] != tree.tables[order][:-1]) | (tree.columns[order][1:] != tree.columns[order][:-1])])
+        number = np.empty(len(order), np.int64)
+        number[order] = np.cumsum(fresh) - 1
+        at, x, width = tree.items("x", "width")
+        known = x.is_valid().to_numpy(zero_copy_only=False)
+        left = pc.cast(x, pa.float64()).to_numpy(zero_copy_only=False)[known]
+        right = left + pc.fill_null(pc.cast(width, pa.float64()), 0.0).to_numpy(zero_copy_only=False)[known]
+        column = number[at[known]]
+        low, high = np.full(fresh.sum(), np.nan), np.full(fresh.sum(), -np.inf)
+        np.fmin.at(low, column, left)
+        np.maximum.at(high, column, right)
+        widths = np.full(len(low), COLUMN_WIDTH)
+        held = np.zeros(len(low), bool)
+        held[column] = True
+        extent = (high - low)[held]
+        widths[held] = np.where(np.isnan(extent) | (extent > 0), extent, COLUMN_WIDTH)
+        firsts = order[fresh]
+        return [*tree.keys(tree.tables[firsts]), pa.array(tree.columns[firsts], pa.int32()), pa.array(widths)]
+
+    return _from_trees(pages, page, columns, "column_index int, width double")
+
+
+class _Tree:
+    """The trees of some pages: cells, by table and in order, with table, row, column and spans of each, and the items in them.
+
+    A node whose way up is a cycle has nothing above it; of nodes of a page with one id the last counts, with the largest spans.
     """
-    types = {f.name: f.dataType for f in rows.schema}
-    kept = [f for f in rows.schema if f.name not in ("id", "parent", "type", "_place")]
-    made = [StructField("table", types["id"]), StructField("_row_order", types["_place"]), StructField("_order", types["_place"]), StructField("_cell", types["id"])]
-    schema = StructType([*kept, *made])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, tree, found = None, {}, {}
-
-        def up(node: object, *kinds: str) -> object:
-            """The nearest node of these kinds at or above one; None where none is, and where the way is a cycle."""
-            seen = set()
-            while node in tree and tree[node][1] not in kinds:
-                if node in seen:
-                    return None
-                seen.add(node)
-                node = tree[node][0]
-            return node if node in tree else None
-
-        def place(node: object) -> tuple | None:
-            cell = up(node, "TD", "TH")
-            row = up(tree[cell][0], "TR") if cell is not None else None
-            table = up(tree[row][0], "Table") if row is not None else None
-            return None if table is None else (table, tree[row][2], tree[cell][2], cell)
+    def __init__(self, page: pa.Array, nodes: pa.Array, items: pa.Array) -> None:
+        tree, self._items = nodes.flatten(), items.flatten()
+        owner, below = (np.repeat(np.arange(len(page)), pc.fill_null(pc.list_value_length(x), 0).to_numpy()) for x in (nodes, items))
+        ids = tree.field("id")
+        names = pa.concat_arrays([ids, tree.field("parent").cast(ids.type), self._items.field("node").cast(ids.type)]).dictionary_encode()
+        codes = pc.fill_null(names.indices, -1).to_numpy().astype(np.int64)
+        n, every = len(ids), len(names.dictionary)
+        key = owner * every + codes[:n]
+        by_key = np.argsort(key, kind="stable")
+        sorted_ = key[by_key]
+
+        def found(pages: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+            """The node of that code on the page, n where none is."""
+            if not n:
+                return np.zeros(len(wanted), np.int64)
+            at = np.searchsorted(sorted_, pages * every + wanted, "right") - 1
+            return np.where((wanted >= 0) & (at >= 0) & (sorted_[at] == pages * every + wanted), by_key[at], n)
+
+        own = found(owner, codes[:n])
+        parent = np.append(found(owner, codes[n : 2 * n]), n)
+        steps = int(np.bincount(owner).max()).bit_length() + 1 if n else 0
+
+        def nearest(*kinds: str) -> tuple[np.ndarray, np.ndarray]:
+            """The nearest node of these kinds at or above each, n where none is, and whether a node is one."""
+            match = np.append(pc.fill_null(pc.is_in(tree.field("type"), pa.array(kinds, tree.field("type").type)), False).to_numpy(zero_copy_only=False), False)
+            up = np.where(match, np.arange(n + 1), parent)
+            for _ in range(steps):
+                up = up[up]
+            return np.where(match[up], up, n), match
+
+        cell, is_cell = nearest("TD", "TH")
+        row = nearest("TR")[0][parent[cell]]
+        table = nearest("Table")[0][parent[row]]
+        place = np.append(self._ranks(tree.field("place")), 0)
+        down, across = (np.append(np.maximum(pc.fill_null(tree.field(c), 1).to_numpy(), 1), 1) for c in ("down", "across"))
+        if (own != np.arange(n)).any():
+            np.maximum.at(down, own, down[:n])
+            np.maximum.at(across, own, across[:n])
+        kept = np.flatnonzero(is_cell[:n] & (own == np.arange(n)) & (table[:n] < n))
+        order = np.lexsort((codes[kept], place[kept], place[row[kept]], table[kept]))
+        self.cells = kept[order]
+        self.tables, self.acrosses = table[self.cells], across[self.cells]
+        rows = place[row[self.cells]]
+        fresh = np.concatenate([[True], self.tables[1:] != self.tables[:-1]]) if len(self.cells) else np.zeros(0, bool)
+        line = np.cumsum(fresh | np.concatenate([[True], rows[1:] != rows[:-1]])) - 1 if len(self.cells) else np.zeros(0, np.int64)
+        starts = np.flatnonzero(fresh)
+        of = np.cumsum(fresh) - 1
+        self.rows = line - line[starts][of]
+        lasts = self.rows[np.append(starts[1:], len(self.cells)) - 1] if len(starts) else starts
+        self.downs = np.minimum(down[self.cells], lasts[of] - self.rows + 1)
+        self.columns = self._columns(fresh, line)
+        position = np.full(n + 1, -1)
+        position[self.cells] = np.arange(len(self.cells))
+        at = position[cell[found(below, codes[2 * n :])]]
+        self._inside = np.flatnonzero(at >= 0)
+        self._at = at[self._inside]
+        self._page, self._owner, self._ids = page, owner, ids
+
+    @staticmethod
+    def _ranks(values: pa.Array) -> np.ndarray:
+        return pc.rank(values, sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy().astype(np.int64)
+
+    def _columns(self, fresh: np.ndarray, line: np.ndarray) -> np.ndarray:
+        """The first free columns of the cells, row by row."""
+        out, held, last, column = [], {}, -1, 0
+        for first, row, at, down, across in zip(fresh.tolist(), line.tolist(), self.rows.tolist(), self.downs.tolist(), self.acrosses.tolist()):
+            if first:
+                held = {}
+            if row != last:
+                last, column = row, 0
+            if across == 1:
+                while held.get(column, -1) >= at:
+                    column += 1
+            else:
+                while any(held.get(c, -1) >= at for c in range(column, column + across)):
+                    column += 1
+            out.append(column)
+            if down > 1:
+                for c in range(column, column + across):
+                    held[c] = at + down - 1
+            column += across
+        return np.array(out, np.int64)
+
+    def items(self, *names: str) -> list:
+        """The cells that items lie in, by number, and their values; of place its rank."""
+        inside = self._items.take(pa.array(self._inside))
+        return [self._at, *(self._ranks(inside.field(c)) if c == "place" else inside.field(c) for c in names)]
+
+    def keys(self, tables: np.ndarray) -> list:
+        return [self._page.take(pa.array(self._owner[tables])), self._ids.take(pa.array(tables))]
 
+
+def _from_trees(pages: DataFrame, page: str, made: Callable[[_Tree], list], more: str) -> DataFrame:
+    """(page, table, more): what is made of the trees of pages, one batch of pages after the other."""
+    nodes = pages.schema["nodes"].dataType.elementType
+    kinds = StructType([pages.schema[page], StructField("table", nodes["id"].dataType), *StructType.fromDDL(more)])
+    names = kinds.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            taken, places = [], []
-            for i, (now, kind, node, *link) in enumerate(zip(*(batch.column(c).to_pylist() for c in (page, "_kind", "id", "parent", "type", "_place")))):
-                if now != at:
-                    at, tree, found = now, {}, {}
-                if kind == 0:
-                    tree[node] = link
-                    continue
-                if node not in found:
-                    found[node] = place(node)
-                if found[node] is not None:
-                    taken.append(i)
-                    places.append(found[node])
-            if taken:
-                own = batch.select([f.name for f in kept]).take(pa.array(taken, pa.int32()))
-                more = [pa.array(c, t) for c, t in zip(zip(*places), (to_arrow_type(f.dataType) for f in made))]
-                yield pa.RecordBatch.from_arrays([*own.columns, *more], [f.name for f in schema])
+            tree = _Tree(*batch.columns)
+            if len(tree.cells):
+                yield pa.RecordBatch.from_arrays(made(tree), names)
 
-    known = rows.where(F.col(page).isNotNull() & F.col("id").isNotNull())
-    return _by_page(known, [page], "_kind").mapInArrow(run, schema)
+    return pages.where(F.col(page).isNotNull()).select(page, "nodes", "items").mapInArrow(run, kinds)
 
 
 def _by_page(rows: DataFrame, keys: Sequence[str], *order: str) -> DataFrame:

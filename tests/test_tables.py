@@ -5,8 +5,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from quire import catalog
 from quire.operators import joins, layout, tables
 
+catalog.load()
+
 
 def occupied(rows):
     """Places of cells (down, across) by rows: first free column, row by row."""
@@ -71,6 +74,23 @@ def test_tables_over_many_batches_take_few_exchanges(spark):
     assert plan.count("Exchange hashpartitioning") <= 3 and "FlatMapGroupsInArrow" not in plan
 
 
+def test_tagged_queries_deal_lines_by_order_and_page_once(spark):
+    """Before, each kind of node and item was a branch with shuffles of its own, and texts went through three more."""
+    for name in ("tables_tagged_cells", "tables_tagged_columns"):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") <= 3 and plan.count("FileScan parquet") == 2
+
+
+def test_one_id_twice_and_equal_places(spark):
+    """The last node of an id counts with the largest spans, items of one place come by text, and those without text are left out."""
+    nodes = [("t", None, "Table", 0, None), ("r", "t", "TR", 0, None), ("c", "r", "TD", 0, 3), ("c", "r", "TD", 0, 1), ("d", "r", "TD", 1, None), (None, "r", "TD", 2, None)]
+    tree = spark.createDataFrame([(1, *n) for n in nodes], "page int, id string, parent string, type string, place int, across int").coalesce(1)
+    items = spark.createDataFrame([(1, "c", 0, None, 1.0, "b"), (1, "c", 0, 2.0, None, "a"), (1, "c", 1, 3.0, 4.0, None), (2, "c", 0, 1.0, 1.0, "off"), (1, None, 0, 1.0, 1.0, "off")], "page int, node string, place int, x double, width double, text string")
+    cells, columns = tables.tagged_tables(tree, items, "page", None, "across")
+    assert sorted(map(tuple, cells.collect())) == [(1, "t", 0, 0, 1, 3, "a b"), (1, "t", 0, 3, 1, 1, "")]
+    assert sorted(map(tuple, columns.collect())) == [(1, "t", 0, 5.0), (1, "t", 3, 40.0)]
+
+
 def test_cells_without_a_wall_are_one(spark):
     # three by three; the middle row is open to the right, and the first column open downwards from there
     walls = [(0, 0, 90, 0), (0, 90, 90, 90), (0, 0, 0, 90), (90, 0, 90, 90), (0, 30, 90, 30), (30, 60, 90, 60), (30, 0, 30, 30), (60, 0, 60, 30), (30, 60, 30, 90), (60, 60.2, 60, 90)]

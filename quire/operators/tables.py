@@ -12,9 +12,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
-from quire.operators import layout
+from quire.operators.components import lowest
 
 #: Width of a column in which no item reports one.
 COLUMN_WIDTH = 40.0
@@ -86,13 +86,7 @@ def tagged_cells(pages: DataFrame, page: str) -> DataFrame:
 
     def cells(tree: _Tree) -> list:
         at, place, text = tree.items("place", "text")
-        order = np.lexsort((place, at))
-        if ((at[order][1:] == at[order][:-1]) & (place[order][1:] == place[order][:-1])).any():
-            order = pc.sort_indices(pa.table({"at": at, "place": place, "text": text}), [("at", "ascending"), ("place", "ascending"), ("text", "ascending")], null_placement="at_start").to_numpy()
-        order = order[text.is_valid().to_numpy(zero_copy_only=False)[order]]
-        offsets = np.searchsorted(at[order], np.arange(len(tree.cells) + 1)).astype(np.int32)
-        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), text.take(pa.array(order))), " ")
-        return [*tree.keys(tree.tables), *(pa.array(c, pa.int32()) for c in (tree.rows, tree.columns, tree.downs, tree.acrosses)), texts]
+        return [*tree.keys(tree.tables), *(pa.array(c, pa.int32()) for c in (tree.rows, tree.columns, tree.downs, tree.acrosses)), _texts(at, place, text, len(tree.cells))]
 
     more = "row_index int, column_index int, row_span int, column_span int, text string"
     return _from_trees(pages, page, cells, more)
@@ -125,6 +119,20 @@ def tagged_columns(pages: DataFrame, page: str) -> DataFrame:
     return _from_trees(pages, page, columns, "column_index int, width double")
 
 
+def _ranks(values: pa.Array) -> np.ndarray:
+    return pc.rank(values, sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy().astype(np.int64)
+
+
+def _texts(at: np.ndarray, place: np.ndarray, text: pa.Array, n: int) -> pa.Array:
+    """The texts at each of the numbers below n, by place, those of one place by text, as one text."""
+    order = np.lexsort((place, at))
+    if ((at[order][1:] == at[order][:-1]) & (place[order][1:] == place[order][:-1])).any():
+        order = pc.sort_indices(pa.table({"at": at, "place": place, "text": text}), [("at", "ascending"), ("place", "ascending"), ("text", "ascending")], null_placement="at_start").to_numpy()
+    order = order[text.is_valid().to_numpy(zero_copy_only=False)[order]]
+    offsets = np.searchsorted(at[order], np.arange(n + 1)).astype(np.int32)
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), text.take(pa.array(order))), " ")
+
+
 class _Tree:
     """The trees of some pages: cells, by table and in order, with table, row, column and spans of each, and the items in them.
 
@@ -164,7 +172,7 @@ class _Tree:
         cell, is_cell = nearest("TD", "TH")
         row = nearest("TR")[0][parent[cell]]
         table = nearest("Table")[0][parent[row]]
-        place = np.append(self._ranks(tree.field("place")), 0)
+        place = np.append(_ranks(tree.field("place")), 0)
         down, across = (np.append(np.maximum(pc.fill_null(tree.field(c), 1).to_numpy(), 1), 1) for c in ("down", "across"))
         if (own != np.arange(n)).any():
             np.maximum.at(down, own, down[:n])
@@ -189,10 +197,6 @@ class _Tree:
         self._at = at[self._inside]
         self._page, self._owner, self._ids = page, owner, ids
 
-    @staticmethod
-    def _ranks(values: pa.Array) -> np.ndarray:
-        return pc.rank(values, sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy().astype(np.int64)
-
     def _columns(self, fresh: np.ndarray, line: np.ndarray) -> np.ndarray:
         """The first free columns of the cells, row by row."""
         out, held, last, column = [], {}, -1, 0
@@ -217,7 +221,7 @@ class _Tree:
     def items(self, *names: str) -> list:
         """The cells that items lie in, by number, and their values; of place its rank."""
         inside = self._items.take(pa.array(self._inside))
-        return [self._at, *(self._ranks(inside.field(c)) if c == "place" else inside.field(c) for c in names)]
+        return [self._at, *(_ranks(inside.field(c)) if c == "place" else inside.field(c) for c in names)]
 
     def keys(self, tables: np.ndarray) -> list:
         return [self._page.take(pa.array(self._owner[tables])), self._ids.take(pa.array(tables))]
@@ -254,31 +258,18 @@ def merged_cells(cells: DataFrame, rules: DataFrame, keys: Sequence[str], slack:
     are one by components over neighbours, so a merged cell of any shape has one row, the box
     around it; row and column are its first.
     """
-    return _met(cells, rules, None, keys, slack).select(*keys, "row", "column", "row_span", "column_span", "x1", "y1", "x2", "y2")
-
-
-def _met(cells: DataFrame, rules: DataFrame, items: DataFrame | None, keys: Sequence[str], slack: float) -> DataFrame:
-    """Merged cells, and the items (x, y, others) that lie in each: (keys, row, column, spans, box, _in, others), the box and spans null for items.
-
-    A page's rules come first, its lattice cells by row and column, then its items, through one task
-    that holds the rules and cells of that page.
-    """
     upright = F.abs(F.col("x2") - F.col("x1")) <= slack
     low, high = (F.when(upright, f("y1", "y2")).otherwise(f("x1", "x2")).cast("double").alias(n) for f, n in ((F.least, "y1"), (F.greatest, "y2")))
     at = F.when(upright, F.col("x1")).otherwise(F.col("y1")).cast("double")
     lines = rules.select(*keys, F.lit(0).alias("_kind"), upright.alias("_upright"), at.alias("x1"), low, high).where("x1 IS NOT NULL AND y1 IS NOT NULL")
     rows = lines.unionByName(cells.select(*keys, F.lit(1).alias("_kind"), F.col("row").cast("int").alias("row"), F.col("column").cast("int").alias("column"), *(F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2"))), allowMissingColumns=True)
-    others = [] if items is None else [c for c in items.columns if c not in (*keys, "x", "y")]
-    if items is not None:
-        placed = items.select(*keys, F.lit(2).alias("_kind"), F.col("x").cast("double").alias("x1"), F.col("y").cast("double").alias("y1"), *others).where("x1 IS NOT NULL AND y1 IS NOT NULL")
-        rows = rows.unionByName(placed, allowMissingColumns=True)
     box = ["row", "column", "row_span", "column_span", "x1", "y1", "x2", "y2"]
     fields = {f.name: f for f in rows.schema.fields}
-    schema = StructType([*(fields[k] for k in keys), *(StructField(n, IntegerType()) for n in box[:4]), *(StructField(n, DoubleType()) for n in box[4:]), StructField("_in", BooleanType()), *(StructField(c, fields[c].dataType) for c in others)])
+    schema = StructType([*(fields[k] for k in keys), *(StructField(n, IntegerType()) for n in box[:4]), *(StructField(n, DoubleType()) for n in box[4:])])
     types, shown, keyed = [to_arrow_type(f.dataType) for f in schema], [f.name for f in schema], list(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        page, walls, lattice, squares, size = None, {}, {}, None, (1.0, 1.0)
+        page, walls, lattice = None, {}, {}
 
         def walled(upright: bool, at: float, middle: float) -> bool:
             near = floor(at / (2 * slack))
@@ -304,51 +295,26 @@ def _met(cells: DataFrame, rules: DataFrame, items: DataFrame | None, keys: Sequ
                 b[:] = [min(b[0], at[0]), min(b[1], at[1]), max(b[2], at[0]), max(b[3], at[1]), min(b[4], x1), min(b[5], y1), max(b[6], x2), max(b[7], y2)]
             return list(made.values())
 
-        def settle() -> list[tuple]:
-            """Rows of the page's merged cells, which are then entered in squares of their average size."""
-            nonlocal squares, size
-            found, squares = boxes(), {}
-            if found:
-                size = (sum(b[6] - b[4] for b in found) / len(found), sum(b[7] - b[5] for b in found) / len(found))
-            for b in found:
-                for sx in range(floor(b[4] / size[0]), floor(b[6] / size[0]) + 1) if others else ():
-                    for sy in range(floor(b[5] / size[1]), floor(b[7] / size[1]) + 1):
-                        squares.setdefault((sx, sy), []).append(b)
-            return [(*page, b[0], b[1], b[2] - b[0] + 1, b[3] - b[1] + 1, *b[4:], False) for b in found]
+        def settled() -> list[tuple]:
+            return [(*page, b[0], b[1], b[2] - b[0] + 1, b[3] - b[1] + 1, *b[4:]) for b in boxes()]
 
         def cells_of(found: list[tuple]) -> pa.RecordBatch:
-            columns = [pa.array(c, t) for c, t in zip(zip(*found), types)]
-            return pa.RecordBatch.from_arrays([*columns, *(pa.nulls(len(found), t) for t in types[len(columns) :])], shown)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), types)], shown)
 
         for batch in batches:
-            found, taken, places = [], [], []
+            found = []
             table = zip(*(batch.column(k).to_pylist() for k in keyed))
-            for i, (now, kind, upright, row, column, x1, y1, x2, y2) in enumerate(zip(table, *(batch.column(c).to_pylist() for c in ("_kind", "_upright", "row", "column", "x1", "y1", "x2", "y2")))):
+            for now, kind, upright, row, column, x1, y1, x2, y2 in zip(table, *(batch.column(c).to_pylist() for c in ("_kind", "_upright", "row", "column", "x1", "y1", "x2", "y2"))):
                 if now != page:
-                    if lattice and squares is None:
-                        found += settle()
-                    page, walls, lattice, squares = now, {}, {}, None
+                    found += settled()
+                    page, walls, lattice = now, {}, {}
                 if kind == 0:
                     walls.setdefault((bool(upright), floor(x1 / (2 * slack))), []).append((x1, y1, y2))
-                elif kind == 1:
+                else:
                     lattice[row, column] = (x1, y1, x2, y2)
-                elif lattice:
-                    if squares is None:
-                        found += settle()
-                    for b in squares.get((floor(x1 / size[0]), floor(y1 / size[1])), ()):
-                        if b[4] <= x1 < b[6] and b[5] <= y1 < b[7]:
-                            taken.append(i)
-                            places.append((b[0], b[1]))
             if found:
                 yield cells_of(found)
-            if taken:
-                at = pa.array(taken, pa.int32())
-                own = [batch.column(k).take(at) for k in keyed]
-                firsts = [pa.array(c, pa.int32()) for c in zip(*places)]
-                empty = [pa.nulls(len(taken), t) for t in types[len(own) + 2 : len(own) + len(box)]]
-                rest = [batch.column(c).take(at) for c in others]
-                yield pa.RecordBatch.from_arrays([*own, *firsts, *empty, pa.array([True] * len(taken)), *rest], shown)
-        if lattice and squares is None and (found := settle()):
+        if found := settled():
             yield cells_of(found)
 
     return _by_page(rows, keys, "_kind", "row", "column").mapInArrow(run, schema)
@@ -357,13 +323,134 @@ def _met(cells: DataFrame, rules: DataFrame, items: DataFrame | None, keys: Sequ
 def grid_from_rules(items: DataFrame, rules: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """(keys, row, column, row_span, column_span, text): items (x, y, text) in the merged cells of the lattice of a page's rules.
 
-    Items outside all cells belong to no table; cells without items have an empty text.
+    Items outside all cells belong to no table; cells without items have an empty text. Cells of one first row and
+    column are one. A task holds the rules and items of some pages at once.
     """
-    met = _met(layout.lattice(rules, keys), rules, items.select(*keys, "x", "y", F.col(order).alias("_order"), "text"), keys, 0.5)
-    texts = F.sort_array(F.collect_list(F.when(F.col("_in"), F.struct("_order", "text"))))
-    return met.groupBy(*keys, "row", "column").agg(
-        F.max("row_span").alias("row_span"), F.max("column_span").alias("column_span"), F.array_join(F.transform(texts, lambda i: i["text"]), " ").alias("text")
-    )
+    ruled = rules.groupBy(*keys).agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("rules"))
+    held = items.groupBy(*keys).agg(F.collect_list(F.struct("x", "y", F.col(order).alias("place"), "text")).alias("items"))
+    return ruled_grids(ruled.join(held, list(keys), "left"), keys)
+
+
+def ruled_grids(pages: DataFrame, keys: Sequence[str], slack: float = 0.5, least: float = 4.0, least_lines: int = 3) -> DataFrame:
+    """grid_from_rules() of pages with rules (x1, y1, x2, y2) and items (x, y, place, text), arrays of structs.
+
+    Boundaries and cells are those of layout.lattice, walls and merged cells those of merged_cells().
+    """
+    for key in keys:
+        pages = pages.where(F.col(key).isNotNull())
+    shape = StructType([*(pages.schema[k] for k in keys), *StructType.fromDDL("row int, column int, row_span int, column_span int, text string")])
+    names = shape.names
+
+    def count(groups: np.ndarray, values: np.ndarray, group: np.ndarray, value: np.ndarray, side: str) -> np.ndarray:
+        """How many of the sorted values of earlier groups, or of the group and below (side left) or up to (right) a value, there are."""
+        own = np.arange(len(groups) + len(group)) < len(groups)
+        order = np.lexsort((own if side == "left" else ~own, np.concatenate([values, value]), np.concatenate([groups, group])))
+        seen = np.cumsum(own[order])
+        out = np.empty(len(order), np.int64)
+        out[order] = seen
+        return out[len(groups) :]
+
+    def spread(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of rows of these sizes, and the places within them."""
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        return owner, np.arange(len(owner)) - (np.cumsum(sizes) - sizes)[owner]
+
+    def grids(batch: pa.RecordBatch) -> list[pa.Array] | None:
+        lists = [batch.column("rules"), batch.column("items")]
+        owner, below = (np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(x), 0).to_numpy()) for x in lists)
+        rules, items = (x.flatten() for x in lists)
+        number = lambda rows, c: pc.fill_null(pc.cast(rows.field(c), pa.float64()), float("nan")).to_numpy(zero_copy_only=False)
+        x1, y1, x2, y2 = (number(rules, c) for c in ("x1", "y1", "x2", "y2"))
+        width, height = np.abs(x2 - x1), np.abs(y2 - y1)
+        # boundaries: groups are twice the page, and one more for those along x
+        level, upright = (height <= slack) & (width >= least), (width <= slack) & (height >= least)
+        long = level | upright
+        group, at = (2 * owner + ~level)[long], np.where(level, y1, x1)[long]
+        order = np.lexsort((at, group))
+        group, at = group[order], at[order]
+        first = np.arange(len(at))
+        same = np.concatenate([[False], group[1:] == group[:-1]]) if len(at) else np.zeros(0, bool)
+        for i in np.flatnonzero(same & (np.diff(at, prepend=0.0) <= slack)).tolist():
+            if at[i] - at[first[i - 1]] <= slack:
+                first[i] = first[i - 1]
+        leads = first == np.arange(len(at))
+        group, at = group[leads], at[leads]
+        lines = np.bincount(group, minlength=2 * batch.num_rows)
+        begins = np.cumsum(lines) - lines
+        active = (lines[::2] >= least_lines) & (lines[1::2] >= least_lines)
+        down, across = np.where(active, lines[::2] - 1, 0), np.where(active, lines[1::2] - 1, 0)
+        page, place = spread(down * across)
+        if not len(page):
+            return None
+        row, column = place // across[page], place % across[page]
+        cell_of = np.cumsum(down * across) - down * across
+        # walls: a rule covers the boundaries near it over the intervals whose middles it spans
+        inner = np.flatnonzero(group[1:] == group[:-1])
+        middles, of = (at[inner] + at[inner + 1]) / 2, group[inner]
+        spans = np.maximum(lines - 1, 0)
+        starts = np.cumsum(spans) - spans
+        upright = width <= slack
+        beside = np.where(upright, x1, y1)
+        low, high = np.where(upright, np.fmin(y1, y2), np.fmin(x1, x2)), np.where(upright, np.fmax(y1, y2), np.fmax(x1, x2))
+        rule = np.flatnonzero(active[owner] & ~np.isnan(beside) & ~np.isnan(low))
+        own, other = 2 * owner[rule] + upright[rule], 2 * owner[rule] + ~upright[rule]
+        beside, low, high = beside[rule], low[rule], high[rule]
+        reach = 2 * slack * (1 + 1e-9)
+        nearest = count(group, at, own, beside - reach, "left")
+        hit, nth = spread(count(group, at, own, beside + reach, "right") - nearest)
+        line = nearest[hit] + nth
+        covers = np.abs(beside[hit] - at[line]) <= 2 * slack
+        hit, line = hit[covers], line[covers]
+        since, until = count(of, middles, other, low, "left")[hit], count(of, middles, other, high, "right")[hit]
+        own, other, some = own[hit], other[hit], since < until
+        sizes = lines * spans[np.arange(len(lines)) ^ 1]
+        offset = np.cumsum(sizes) - sizes
+        base = offset[own] + (line - begins[own]) * spans[other] - starts[other]
+        total = int(sizes.sum()) + 1
+        walls = np.cumsum(np.bincount((base + since)[some], minlength=total) - np.bincount((base + until)[some], minlength=total)) > 0
+        right = np.flatnonzero(column < across[page] - 1)
+        right = right[~walls[offset[2 * page[right] + 1] + (column[right] + 1) * down[page[right]] + row[right]]]
+        under = np.flatnonzero(row < down[page] - 1)
+        under = under[~walls[offset[2 * page[under]] + (row[under] + 1) * across[page[under]] + column[under]]]
+        labels = lowest(np.arange(len(page)), np.concatenate([right, under]), np.concatenate([right + 1, under + across[page[under]]]))
+        # merged cells: the box around each, those of one first row and column as one
+        order = np.argsort(labels, kind="stable")
+        heads = np.flatnonzero(np.concatenate([[True], labels[order][1:] != labels[order][:-1]]))
+        top, left = np.minimum.reduceat(row[order], heads), np.minimum.reduceat(column[order], heads)
+        bottom, far = np.maximum.reduceat(row[order], heads), np.maximum.reduceat(column[order], heads)
+        home, merged = page[order][heads], np.empty(len(page), np.int64)
+        merged[order] = np.cumsum(labels[order] != np.concatenate([[-1], labels[order][:-1]])) - 1
+        odd = np.bincount(home, (bottom - top + 1) * (far - left + 1) != np.diff(np.append(heads, len(order))), batch.num_rows) > 0
+        # items: in the cell that they lie in, and on pages with a cell that is no box in each box
+        x, y = number(items, "x"), number(items, "y")
+        known = np.flatnonzero(active[below] & ~np.isnan(x) & ~np.isnan(y))
+        r, c = (count(group, at, 2 * below[known] + axis, v[known], "right") - begins[2 * below[known] + axis] - 1 for axis, v in ((0, y), (1, x)))
+        inside = (r >= 0) & (c >= 0) & (r < down[below[known]]) & (c < across[below[known]])
+        known, r, c = known[inside], r[inside], c[inside]
+        target = merged[cell_of[below[known]] + r * across[below[known]] + c]
+        if odd[below[known]].any():
+            many = odd[below[known]]
+            boxes = np.bincount(home, minlength=batch.num_rows)
+            which, nth = spread(boxes[below[known[many]]])
+            box = (np.cumsum(boxes) - boxes)[below[known[many]]][which] + nth
+            row_, column_ = r[many][which], c[many][which]
+            within = (top[box] <= row_) & (row_ <= bottom[box]) & (left[box] <= column_) & (column_ <= far[box])
+            known, target = np.concatenate([known[~many], known[many][which][within]]), np.concatenate([target[~many], box[within]])
+        _, head, named = np.unique(cell_of[home] + top * across[home] + left, return_index=True, return_inverse=True)
+        tall, wide = np.zeros(len(head), np.int64), np.zeros(len(head), np.int64)
+        np.maximum.at(tall, named, bottom - top + 1)
+        np.maximum.at(wide, named, far - left + 1)
+        held = items.take(pa.array(known))
+        texts = _texts(named[target], _ranks(held.field("place")), held.field("text"), len(head))
+        found = pa.array(home[head])
+        return [*(batch.column(k).take(found) for k in keys), *(pa.array(v, pa.int32()) for v in (top[head], left[head], tall, wide)), texts]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if found := grids(batch):
+                yield pa.RecordBatch.from_arrays(found, names)
+
+    return pages.select(*keys, "rules", "items").mapInArrow(run, shape)
 
 
 def grid_from_text(items: DataFrame, keys: Sequence[str], order: str, bucket: float = 3.0, least: int = 2, tab: float = 2.0) -> DataFrame:

@@ -115,6 +115,20 @@ def test_merged_cells_where_all_sides_are_dealt_by_page(spark):
     assert "quire/" not in grid._jdf.queryExecution().executedPlan().toString()
 
 
+def test_grid_queries_deal_lines_once(spark):
+    """Before, every kind of rule and text was a branch with shuffles of its own."""
+    plan = catalog.QUERIES["grid_merged_cells"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("FileScan parquet") == 1
+
+
+def test_an_item_in_the_notch_of_a_cell_is_in_both(spark):
+    walls = [(0, 0, 20, 0), (0, 20, 20, 20), (0, 0, 0, 20), (20, 0, 20, 20), (10, 10, 10, 20), (10, 10, 20, 10.3)]
+    rules = spark.createDataFrame([(p, *map(float, w)) for p in (1, 2) for w in walls if p == 1 or w[0] != 10], "page int, x1 double, y1 double, x2 double, y2 double")
+    items = spark.createDataFrame([(1, 15.0, 15.0, 2, "notch"), (1, 5.0, 5.0, 2, "b"), (1, 5.0, 15.0, 2, "a"), (1, 5.0, 16.0, None, "first"), (1, 20.0, 5.0, 0, "off"), (2, 1.0, 1.0, 0, "no lattice")], "page int, x double, y double, n int, text string")
+    found = sorted(map(tuple, tables.grid_from_rules(items, rules, ["page"], "n").collect()))
+    assert found == [(1, 0, 0, 2, 2, "first a b notch"), (1, 1, 1, 1, 1, "notch")]
+
+
 def blocks(lines):
     out, ends = [], []
     for x, y, size in lines:
